@@ -142,3 +142,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", name: str = "compon
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         state = now
+
+
+#: Odd multipliers of the polynomial hashes and their inverses modulo 2**64.
+BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """A bijective scramble of uint64 values."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+class SpanHash:
+    """Hashes of spans of a sequence of symbols, from prefix sums of a polynomial modulo 2**64."""
+
+    def __init__(self, symbols: np.ndarray, base: int = BASES[0]):
+        n = len(symbols)
+        up, down = np.full(n + 1, base, np.uint64), np.full(n + 1, pow(base, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        self.down = np.cumprod(down)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(symbols * np.cumprod(up)[:n], out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return (self.sums[ends] - self.sums[starts]) * self.down[starts]

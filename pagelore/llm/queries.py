@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pagelore.llm import simhash
+from pagelore.llm import bpe, langid, linedup, simhash
 
 QUERIES = {
+    "op3_language_id": langid.op3,
+    "op5_line_dedup": linedup.op5,
+    "op6_byte_bpe": bpe.op6,
     "op10_simhash": simhash.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_line_dedup": linedup.OP5_SQL,
+}
