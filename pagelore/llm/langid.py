@@ -89,7 +89,7 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    rows.append({})  # after a symbol that the sample lacks: whatever follows is a new phrase
+    rows.append({})  # at the start and after a symbol that the sample lacks: whatever follows is a new phrase
     dead = len(rows) - 1
     to = to[: len(rows)]
     state = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
@@ -134,7 +134,7 @@ class Model:
         starts = start[order]
         for k, table in enumerate(self.tables):
             flat, width = table.ravel(), np.int32(table.shape[1])
-            state, count = np.zeros(len(order), np.int32), np.ones(len(order), np.int32)
+            state, count = np.full(len(order), len(table) - 1, np.int32), np.zeros(len(order), np.int32)
             for t in range(int(size.max())):
                 a = active[t]
                 step = flat[state[:a] * width + sym[starts[:a] + t]]
@@ -196,5 +196,23 @@ def identify(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double, phrases long, symbols long")
 
 
+def accepted(docs: DataFrame, most_phrases: float = 0.45) -> DataFrame:
+    """The rows of docs whose text is in a learned language.
+
+    Out go texts without a letter and those whose best parse has over
+    ``most_phrases`` phrases a symbol: no language explains them.
+    """
+    bounded_batches(docs.sparkSession)
+    sample, at = learn(docs), docs.columns.index("text")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lang, _, phrases, n = model(sample).predict(*text_buffer(b.column(at)))
+            known = np.array([x != "und" for x in lang], bool)
+            yield b.filter(pa.array(known & (phrases <= 1 + most_phrases * n)))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def op3(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pagelore.llm import bpe, langid, linedup, simhash
+from pagelore.llm import bpe, bwt, htmltext, langid, linedup, media, mixing, rlz, simhash, topk
 
 QUERIES = {
+    "op1_html_extraction": htmltext.op1,
+    "op2_exact_topk": topk.op2,
     "op3_language_id": langid.op3,
+    "op4_substring_dedup": rlz.op4,
     "op5_line_dedup": linedup.op5,
     "op6_byte_bpe": bpe.op6,
+    "op7_media_columns": media.op7,
+    "op8_suffix_dedup": bwt.op8,
+    "op9_mixing": mixing.op9,
     "op10_simhash": simhash.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_exact_topk": topk.OP2_SQL,
     "op5_line_dedup": linedup.OP5_SQL,
+    "op9_mixing": mixing.sql(),
 }

@@ -208,6 +208,15 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
     return prints.join(fps.join(lows, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
+    """docs without near-duplicates: of each component the row with the smallest doc_id (once). Rows with a null doc_id stay."""
+    keep = written(near_duplicates(docs, radius, words).where("doc_id = component_id").groupBy("doc_id").count(), "keepers")
+    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
+    if not keep.where("count > 1").isEmpty():
+        out = out.dropDuplicates(["doc_id"])
+    return out.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
 def op10(spark, sf_dir: str) -> DataFrame:
     """Contract digest: doc_id, fingerprint (16 hex digits), component_id."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
