@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes and rows, so that a run of very long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2500:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
 
