@@ -164,6 +164,7 @@ class Library:
             mine = self.table("decks").where(F.col("root_id") == r.id)
             changed, same = scan.changes(found, mine)
             tally["unchanged"] += same.count()
+            changed = vectors.work_table(changed, "changed")  # before the snapshot it was told from goes
             lost = vectors.work_table(mine.join(found, "path", "left_anti").select("id"), "vanished")
             tally["removed"] += (n := lost.count())
             if n:
