@@ -48,6 +48,27 @@ def rescaled(xml: bytes, s: Scale) -> bytes:
     return ET.tostring(root, encoding="UTF-8", xml_declaration=True)
 
 
+def merged_styles(sources: list[Presentation]) -> bytes | None:
+    """The decks' table styles, each id from the first deck that has it."""
+    root: ET.Element | None = None
+    seen: set[str | None] = set()
+    for p in sources:
+        part = p.package.target(p.part, "tableStyles")
+        if not part or part not in p.package.parts:
+            continue
+        try:
+            mine = ET.fromstring(p.package.parts[part])
+        except ET.ParseError:
+            continue
+        if root is None:
+            root = ET.Element(mine.tag, mine.attrib)
+        for style in mine:
+            if style.get("styleId") not in seen:
+                seen.add(style.get("styleId"))
+                root.append(style)
+    return None if root is None else ET.tostring(root, encoding="UTF-8", xml_declaration=True)
+
+
 class Composer:
     def __init__(self, width: int, height: int):
         self.size = (width, height)
@@ -129,7 +150,24 @@ class Composer:
             self.slides.append(new)
             self.report.slides += 1
 
-    def finish(self, title: str) -> Package:
+    def carry(self, sources: list[Presentation]) -> list[tuple[str, str]]:
+        """Parts of the presentation itself: properties of the first deck, table styles of all."""
+        out = []
+        first = sources[0]
+        for kind in ("presProps", "viewProps"):
+            part = first.package.target(first.part, kind)
+            if part and part in first.package.parts:
+                new = f"ppt/{kind}.xml"
+                self.parts[new] = first.package.parts[part]
+                out.append((kind, new))
+        if styles := merged_styles(sources):
+            self.parts["ppt/tableStyles.xml"] = styles
+            out.append(("tableStyles", "ppt/tableStyles.xml"))
+        for kind, new in out:
+            self.types.overrides[new] = f"application/vnd.openxmlformats-officedocument.presentationml.{kind}+xml"
+        return out
+
+    def finish(self, title: str, sources: list[Presentation]) -> Package:
         rels, ids = [], iter(range(1, 1 << 30))
         root = ET.Element(f"{{{P}}}presentation")
         masters, slides = ET.SubElement(root, f"{{{P}}}sldMasterIdLst"), ET.SubElement(root, f"{{{P}}}sldIdLst")
@@ -145,6 +183,8 @@ class Composer:
             self._list_layouts(master, layouts, number)
         for i, s in enumerate(self.slides):
             ref(slides, "sldId", 256 + i, "slide", s)
+        for kind, part in self.carry(sources):
+            rels.append(Rel(f"rId{next(ids)}", KIND + kind, posixpath.relpath(part, "ppt")))
         ET.SubElement(root, f"{{{P}}}sldSz", cx=str(self.size[0]), cy=str(self.size[1]))
         ET.SubElement(root, f"{{{P}}}notesSz", cx=str(self.size[1]), cy=str(self.size[0]))
         self.parts["ppt/presentation.xml"] = ET.tostring(root, encoding="UTF-8", xml_declaration=True)
@@ -189,4 +229,4 @@ def compose(picks: list[tuple[str, int]], read: Callable[[str], bytes], title: s
     for path, p in decks.items():
         if p.embedded_fonts()[0]:
             c.report.warnings.append(f"{path}: embedded fonts are not carried over")
-    return c.finish(title).write(), c.report
+    return c.finish(title, list(decks.values())).write(), c.report
