@@ -2,8 +2,8 @@
 
 A text's bytes, padded to a multiple of 192, are the 8-bit samples of a mono
 WAV. A rolling gear hash cuts the samples into chunks; joins on the chunk
-digest keep one copy of each chunk (its owner is the smallest doc_id and place
-that holds it), compressed by zstandard with a dictionary learned from a
+digest keep one copy of each chunk (its owner is the media and place that come
+first by key), compressed by zstandard with a dictionary learned from a
 bounded sample. Media that are equal throughout share an ordered chunk list;
 each list is joined with the chunks, rebuilt in order, verified chunk by chunk
 and as a whole, and gives its features once.
@@ -76,7 +76,7 @@ def cuts(data: np.ndarray) -> list[int]:
 @functools.lru_cache(maxsize=2)
 def packer(dictionary: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    return zstandard.ZstdCompressor(level=3, dict_data=d, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(level=9, dict_data=d, write_checksum=False, write_dict_id=False)
 
 
 @functools.lru_cache(maxsize=2)
@@ -142,9 +142,12 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
 
     lists = rows.mapInArrow(chunk_rows(False), "key binary, seq int, digest binary").distinct()
     held = rows.mapInArrow(chunk_rows(True), "key binary, seq int, digest binary, packed binary")
-    owners = held.select("digest", F.struct("key", "seq").alias("at")).groupBy("digest").agg(F.min("at").alias("at")).select("digest", "at.*")
-    # Batches that hold the owner's media alike offer the same bytes: one of them is enough.
-    chunks = held.join(owners, ["digest", "key", "seq"], "left_semi").groupBy("digest").agg(F.first("packed").alias("packed"))
+    owners = lists.groupBy("digest").agg(F.min(F.struct("key", "seq")).alias("at")).select("digest", F.col("at.key").alias("own_key"), F.col("at.seq").alias("own_seq"))
+    # The owner's place is compared without equalities, so that rows are dealt by digest alone: the
+    # aggregation and the join with the lists then need no further exchange of bytes. Batches that
+    # hold the owner's media alike offer the same bytes; one of them is enough.
+    here = (F.col("key") >= F.col("own_key")) & (F.col("key") <= F.col("own_key")) & (F.col("seq") >= F.col("own_seq")) & (F.col("seq") <= F.col("own_seq"))
+    chunks = held.join(owners, "digest").where(here).groupBy("digest").agg(F.first("packed").alias("packed"))
     return rows.mapInArrow(media, "doc_id long, key binary, n_bytes long"), lists, chunks
 
 
