@@ -122,6 +122,7 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
             for b in batches:
                 seen: set[bytes] = set()
                 out: list[tuple] = []
+                first: dict[bytes, tuple] = {}  # of each chunk of the batch, the place that comes first by key
                 for _, n, p in payloads(b):
                     key, last = hashlib.sha256(p + n.to_bytes(8, "big")).digest(), 0
                     if key in seen:  # equal media have equal lists
@@ -131,10 +132,10 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
                         digest = hashlib.sha256(p[last:end]).digest()
                         if not with_bytes:
                             out.append((key, seq, digest))
-                        elif digest not in seen:
-                            seen.add(digest)
-                            out.append((key, seq, digest, packer(dictionary).compress(p[last:end])))
+                        elif digest not in first or (key, seq) < first[digest][:2]:
+                            first[digest] = (key, seq, digest, p[last:end])
                         last = end
+                out += [(k, s, d, packer(dictionary).compress(x)) for k, s, d, x in first.values()]
                 types = [pa.binary(), pa.int32(), pa.binary(), pa.binary()][: 3 + with_bytes]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(types), types)], ["key", "seq", "digest", "packed"][: len(types)])
 
