@@ -500,3 +500,91 @@ def jn16(spark, sf):
 def cmp6(spark, sf):
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     return table(spark, sf, "orders").withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", F.col("o_orderkey").alias("first"))
+
+
+# Scan, mutations, trays
+
+NAMES = "CASE o_orderkey % 5 WHEN 0 THEN 'a.PPTX' WHEN 1 THEN '~$a.pptx' WHEN 2 THEN '.a.pptx' WHEN 3 THEN 'a.ppt' ELSE 'b.pptx' END"
+FOLDERS = "CASE o_orderkey % 7 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'x/.git/' WHEN 2 THEN 'old/' WHEN 3 THEN 'x/old/y/' ELSE 'new/' END"
+
+
+@query("src3_5_listing", f"SELECT o_orderkey FROM orders WHERE lower({NAMES}) LIKE '%.pptx' AND o_orderkey % 5 NOT IN (1, 2) AND o_orderkey % 7 NOT IN (0, 1, 2, 3)")
+def src3(spark, sf):
+    from pagelore.sources import scan
+
+    p = table(spark, sf, "orders").withColumn("rel", F.concat(F.expr(FOLDERS), F.expr(NAMES)))
+    return p.where(scan.is_deck(F.col("rel")) & ~scan.is_pruned(F.col("rel")) & ~scan.excluded(F.col("rel"), ["**/old/**"])).select("o_orderkey")
+
+
+@query("src8_snk7_changes", "SELECT path, CASE WHEN id % 10 = 0 THEN 'vanished' WHEN id % 3 = 0 THEN 'changed' ELSE 'same' END AS what FROM decks")
+def src8(spark, sf):
+    from pagelore.sources import scan
+
+    d = decks(spark, sf)
+    stored = d.select("path", "id", text.file_hash("modified_unix", "size_bytes", 3).alias("file_hash"))
+    size = F.when(F.col("id") % 3 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))
+    found = d.where("id % 10 <> 0").select("path", text.file_hash("modified_unix", size, 3).alias("file_hash"))
+    changed, same = scan.changes(found, stored)
+    lost = stored.join(found, "path", "left_anti")
+    return changed.select("path", F.lit("changed").alias("what")).unionByName(same.select("path", F.lit("same").alias("what"))).unionByName(lost.select("path", F.lit("vanished").alias("what")))
+
+
+@query("snk8_retention_cascade", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 50)")
+def snk8(spark, sf):
+    kept = stats.kept_last(table(spark, sf, "orders").select(F.col("o_orderkey").alias("id")), 50)
+    return table(spark, sf, "lineitem").join(kept, F.col("l_orderkey") == F.col("id"), "left_semi").select("l_orderkey", "l_linenumber")
+
+
+@query("snk14_toggle", "SELECT c_custkey FROM customer WHERE (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)")
+def snk14(spark, sf):
+    c = table(spark, sf, "customer").select("c_custkey")
+    have, toggled = c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0")
+    return have.join(toggled, "c_custkey", "left_anti").unionByName(toggled.join(have, "c_custkey", "left_anti"))
+
+
+@query("agg19_font_status", "SELECT family, embedded, CASE WHEN right(family, 1) = '1' THEN 'app' WHEN right(family, 1) IN ('1', '2') THEN 'system' WHEN right(family, 1) = '3' THEN 'downloadable' ELSE 'missing' END AS status FROM (SELECT p_brand AS family, max(p_size) > 25 AS embedded FROM part GROUP BY p_brand)")
+def agg19(spark, sf):
+    fonts = stats.font_families(table(spark, sf, "part").select(F.col("p_brand").alias("family"), (F.col("p_size") > 25).alias("embedded")))
+    having = lambda *ends: fonts.where(F.substring("family", -1, 1).isin(*ends)).select(F.upper("family").alias("family"))
+    return stats.font_status(fonts, having("1"), having("1", "2"), having("x"), having("2", "3"))
+
+
+@query("arr1_tray_sizes", "SELECT id, w <> first_value(w) OVER t OR h <> first_value(h) OVER t AS off_size, abs(w * first_value(h) OVER t - first_value(w) OVER t * h) * 1000 > first_value(w) OVER t * first_value(h) OVER t AS off_shape FROM (SELECT id, deck_id, slide_index, 16 * (1 + id % 3) AS w, 9 * (1 + id % 3) + CASE WHEN id % 11 = 0 THEN 1 ELSE 0 END AS h FROM slides) WINDOW t AS (PARTITION BY deck_id ORDER BY slide_index)")
+def arr1(spark, sf):
+    from pagelore import tray
+
+    w = 1 + F.col("id") % 3
+    p = slides(spark, sf).select("id", F.col("deck_id").alias("tray_id"), F.col("slide_index").alias("pos"), (16 * w).alias("width"), (9 * w + F.when(F.col("id") % 11 == 0, 1).otherwise(0)).alias("height"))
+    return tray.mismatched(p).select("id", "off_size", "off_shape")
+
+
+@query("strf4_png_names", "SELECT id, 'r' || (deck_id % 5) || '-' || lpad(slide_index::VARCHAR, 3, '0') || CASE WHEN row_number() OVER t > 1 THEN ' (' || row_number() OVER t || ')' ELSE '' END || '.png' AS file_name FROM slides WINDOW t AS (PARTITION BY deck_id % 5, slide_index ORDER BY id)")
+def strf4(spark, sf):
+    from pagelore import tray
+
+    p = slides(spark, sf).select("id", F.lit(1).alias("tray_id"), F.col("id").alias("pos"), F.concat(F.lit("/x/r"), (F.col("deck_id") % 5).cast("string"), F.lit(".pptx")).alias("deck_path"), "slide_index")
+    return tray.png_names(p).select("id", "file_name")
+
+
+@query("vec14_duplicate_groups", "SELECT 'exact' AS kind, min(doc_id) AS \"group\", count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+def vec14(spark, sf):
+    d = table(spark, sf, "documents")
+    s = d.select(F.col("doc_id").alias("id"), F.lit(1).alias("deck_id"), F.col("doc_id").alias("slide_index"), F.col("source").alias("title"), text.sha256("text").alias("content_hash"))
+    one = spark.createDataFrame([(1, "/x.pptx", 1)], "id int, path string, modified_unix int")
+    return duplicates.groups(s, one, None).select("kind", "group", "n")
+
+
+@query("flt14_tag_suggestions", "SELECT c_name AS name FROM customer WHERE lower(c_name) LIKE '%01%' AND c_name NOT IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)")
+def flt14(spark, sf):
+    from pagelore.plans import saved
+
+    c = table(spark, sf, "customer")
+    return saved.tag_suggestions(c.select(F.col("c_name").alias("name")), c.where("c_custkey % 3 = 0").select(F.upper("c_name").alias("name")), " 01 ")
+
+
+@query("srt15_contiguous", "SELECT s.id AS slide_id, s.slide_index FROM slide_deck s")
+def srt15(spark, sf):
+    from pagelore.plans import saved
+
+    rows = filters.slides_with_decks(slides(spark, sf), decks(spark, sf)).withColumnRenamed("id", "slide_id")
+    return saved.contiguous(rows, "exported", stats.export_counts(picks(spark, sf))).select("slide_id", "slide_index")
