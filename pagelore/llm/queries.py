@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_topk": topk.OP2_SQL,
+    "op4_substring_dedup": rlz.OP4_SQL,
     "op5_line_dedup": linedup.OP5_SQL,
     "op9_mixing": mixing.sql(),
 }

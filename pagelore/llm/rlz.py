@@ -81,3 +81,24 @@ def op4(spark, sf_dir: str) -> DataFrame:
     out = deduplicated(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=20)
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\t-\r]+') AS ws FROM documents
+), w AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, len(ws) AS n FROM d
+), v AS (
+  SELECT doc_id, pos, md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING)) AS h, n FROM w
+), k AS (
+  SELECT doc_id, pos, h FROM v WHERE pos + 19 <= n
+), f AS (
+  SELECT h, min({'d': doc_id, 'p': pos}) AS first FROM k GROUP BY h HAVING count(*) > 1
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(pos, pos + 20)) AS pos FROM k JOIN f USING (h) WHERE doc_id <> first.d OR pos <> first.p
+), s AS (
+  SELECT w.doc_id, count(g.pos) AS n_removed, string_agg(word, ' ' ORDER BY w.pos) FILTER (WHERE g.pos IS NULL) AS kept
+  FROM w LEFT JOIN g ON w.doc_id = g.doc_id AND w.pos = g.pos GROUP BY w.doc_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN s USING (doc_id)
+"""

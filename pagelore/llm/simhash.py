@@ -27,6 +27,8 @@ from pagelore.llm.common import LOWER, SPACE, bounded_batches, components, parts
 
 #: Fingerprints of one bucket that one task compares; larger buckets are dealt out as pairs of tiles.
 TILE = 4096
+#: Ids (8 bytes each) that may be broadcast.
+BROADCAST_ROWS = 200_000
 #: For each byte, its 8 bits as 8 counters of 8 bits.
 SPREAD = np.array([[x >> i & 1 for i in range(8)] for x in range(256)], dtype=np.uint8).view(np.uint64).ravel()
 
@@ -209,12 +211,20 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id (once). Rows with a null doc_id stay."""
-    keep = written(near_duplicates(docs, radius, words).where("doc_id = component_id").groupBy("doc_id").count(), "keepers")
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi")
-    if not keep.where("count > 1").isEmpty():
-        out = out.dropDuplicates(["doc_id"])
-    return out.select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """docs without near-duplicates: of each component the row with the smallest doc_id (once). Rows with a null doc_id stay.
+
+    Only the ids that go are joined with the texts, and they are broadcast if
+    they were counted to be few; more are joined by shuffle.
+    """
+    own = near_duplicates(docs, radius, words).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    own = written(own, "keepers")
+    go = own.where("NOT stays").select("doc_id")
+    if go.count() <= BROADCAST_ROWS:
+        go = F.broadcast(go)
+    out = docs.join(go, "doc_id", "left_anti").select(docs.columns)
+    if not own.where("stays AND n > 1").isEmpty():
+        out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return out
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

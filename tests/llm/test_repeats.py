@@ -104,3 +104,10 @@ def test_merge_is_a_suffix_order():
     assert [w for w, _ in rows] == sorted(w for w, _ in rows)
     assert len({w for w, _ in rows}) == len({i for _, i in rows}) == len(set(rows))
     assert len(rows) == sum(len(s) - 11 for s in strings)
+
+
+def test_words_as_sql(spark):
+    from oracle import duck, spark_rows
+
+    sf = "/root/testdata/sf0.01"
+    assert spark_rows(rlz.op4(spark, sf)) == duck(sf, rlz.OP4_SQL)

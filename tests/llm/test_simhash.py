@@ -70,3 +70,13 @@ def test_hot_bucket_in_tiles(spark, monkeypatch):
 
 def test_empty(spark, tmp_path):
     assert run(spark, [], tmp_path) == []
+
+
+def test_one_of_each(spark, monkeypatch):
+    long = " ".join(f"w{i % 97}" for i in range(400))
+    rows = [(5, long), (3, long), (3, long), (7, long + " end"), (None, long), (None, "alone in the world"), (8, "x y z"), (9, None), (10, "")]
+    df = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, count int")
+    for most in (200_000, -1):
+        monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+        got = sorted((str(r.doc_id) for r in simhash.one_of_each(df).collect()))
+        assert got == ["3", "8", "9", "None", "None"]
