@@ -105,7 +105,7 @@ def payloads(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
 
 
 def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """media (doc_id, key, n_bytes), lists (key, seq, digest) and chunks (digest, packed), the latter once each."""
+    """media (doc_id, key, n_bytes), lists (key, seq, digest, n_chunks) and chunks (digest, packed), the latter once each."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -128,20 +128,21 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
                     if key in seen:  # equal media have equal lists
                         continue
                     seen.add(key)
-                    for seq, end in enumerate(cuts(np.frombuffer(p, np.uint8))):
+                    ends = cuts(np.frombuffer(p, np.uint8))
+                    for seq, end in enumerate(ends):
                         digest = hashlib.sha256(p[last:end]).digest()
                         if not with_bytes:
-                            out.append((key, seq, digest))
+                            out.append((key, seq, digest, len(ends)))
                         elif digest not in first or (key, seq) < first[digest][:2]:
                             first[digest] = (key, seq, digest, p[last:end])
                         last = end
                 out += [(k, s, d, packer(dictionary).compress(x)) for k, s, d, x in first.values()]
-                types = [pa.binary(), pa.int32(), pa.binary(), pa.binary()][: 3 + with_bytes]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(types), types)], ["key", "seq", "digest", "packed"][: len(types)])
+                types = [pa.binary(), pa.int32(), pa.binary(), pa.binary() if with_bytes else pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, types)], ["key", "seq", "digest", "packed" if with_bytes else "n_chunks"])
 
         return work
 
-    lists = rows.mapInArrow(chunk_rows(False), "key binary, seq int, digest binary").distinct()
+    lists = rows.mapInArrow(chunk_rows(False), "key binary, seq int, digest binary, n_chunks int").distinct()
     held = rows.mapInArrow(chunk_rows(True), "key binary, seq int, digest binary, packed binary")
     owners = lists.groupBy("digest").agg(F.min(F.struct("key", "seq")).alias("at")).select("digest", F.col("at.key").alias("own_key"), F.col("at.seq").alias("own_seq"))
     # The owner's place is compared without equalities, so that rows are dealt by digest alone: the
@@ -154,8 +155,9 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
 
 def rebuilt(lists: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame:
     """key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each chunk list, read back from its chunks."""
-    parts_ = parts(lists.sparkSession)
-    dealt = lists.join(chunks, "digest").select("key", "seq", "digest", "packed").repartition(parts_, "key").sortWithinPartitions("key", "seq")
+    found = lists.join(chunks, "digest").select("key", "seq", "digest", "packed", "n_chunks")
+    # Media of one chunk are whole where they are; only longer ones are gathered from their chunks' places.
+    longer = found.where("n_chunks > 1").repartition(parts(lists.sparkSession), "key").sortWithinPartitions("key", "seq")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
@@ -171,7 +173,8 @@ def rebuilt(lists: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame
                 out.append((key[a], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(np.frombuffer(payload, np.uint8))))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names)
 
-    return dealt.mapInArrow(work, "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kind = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return found.where("n_chunks = 1").mapInArrow(work, kind).unionByName(longer.mapInArrow(work, kind))
 
 
 def feature(x: np.ndarray) -> str:
