@@ -85,8 +85,10 @@ def unpacker(dictionary: bytes) -> zstandard.ZstdDecompressor:
 
 
 def learn_dictionary(docs: DataFrame) -> bytes:
-    """A dictionary from the beginnings of SAMPLE_DOCS texts with the lowest hash of their id; none if there are too few."""
-    rows = docs.where(F.length("text") > 0).select(F.xxhash64("doc_id", F.lit(11)).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
+    """A dictionary from the beginnings of about SAMPLE_DOCS texts, picked by a hash of their id; none if there are too few."""
+    every = max(1, docs.count() // SAMPLE_DOCS)
+    picked = docs.where((F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(every)) == 0) & (F.length("text") > 0))
+    rows = picked.select(F.xxhash64("doc_id", F.lit(11)).alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_DOCS).collect()
     sample = [r.t[i : i + 800].encode() for r in rows for i in range(0, len(r.t), 800)]
     if len(sample) < 200:
         return b""
