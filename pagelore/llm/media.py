@@ -37,6 +37,11 @@ GEAR = (mix(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY = 512, 4000, 110_000
 
 
+def digest_of(data: bytes) -> bytes:
+    """128 bits that name a chunk or a media."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def wav(samples: bytes) -> bytes:
     """A mono WAV of 8-bit samples."""
     return b"RIFF" + struct.pack("<I", 36 + len(samples)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, RATE, RATE, 1, 8) + b"data" + struct.pack("<I", len(samples)) + samples
@@ -115,7 +120,7 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
         for b in batches:
             key, size = [], []
             for _, n, p in payloads(b):
-                key.append(hashlib.sha256(p + n.to_bytes(8, "big")).digest())
+                key.append(digest_of(p + n.to_bytes(8, "big")))
                 size.append(n)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(size, pa.int64())], ["doc_id", "key", "n_bytes"])
 
@@ -126,13 +131,13 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
                 out: list[tuple] = []
                 first: dict[bytes, tuple] = {}  # of each chunk of the batch, the place that comes first by key
                 for _, n, p in payloads(b):
-                    key, last = hashlib.sha256(p + n.to_bytes(8, "big")).digest(), 0
+                    key, last = digest_of(p + n.to_bytes(8, "big")), 0
                     if key in seen:  # equal media have equal lists
                         continue
                     seen.add(key)
                     ends = cuts(np.frombuffer(p, np.uint8))
                     for seq, end in enumerate(ends):
-                        digest = hashlib.sha256(p[last:end]).digest()
+                        digest = digest_of(p[last:end])
                         if not with_bytes:
                             out.append((key, seq, digest, len(ends)))
                         elif digest not in first or (key, seq) < first[digest][:2]:
@@ -168,7 +173,7 @@ def rebuilt(lists: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame
             out = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 got = [unpacker(dictionary).decompress(p) for p in packed[a:b]]
-                if any(hashlib.sha256(x).digest() != d for x, d in zip(got, digest[a:b], strict=True)):
+                if any(digest_of(x) != d for x, d in zip(got, digest[a:b], strict=True)):
                     raise ValueError("a chunk read back differs from its digest")
                 stored = wav(b"".join(got))
                 payload = samples_of(stored)
