@@ -9,6 +9,8 @@ length, document frequencies) cover the whole index, not the filtered part.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from functools import reduce
 
 import pyarrow as pa
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.functions import text
-from pagelore.plans.query_parser import Parsed, Term
+from pagelore.plans.query_parser import Group, Parsed, Term
 from pagelore.schema import BM25_B, BM25_K1, BM25_WEIGHTS, SNIPPET_TOKENS
 
 COLUMNS = tuple(BM25_WEIGHTS)
@@ -35,9 +37,6 @@ def lengths(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "sli
 
 def _tokens(t: Term) -> list[str]:
     """A term's tokens, folded as the index folds."""
-    import re
-    import unicodedata
-
     table = str.maketrans(text.MARKED, text.BARE)
     low = unicodedata.normalize("NFC", t.text).lower().translate(table)
     return re.findall(r"[^\W_]+", low)
@@ -120,8 +119,6 @@ def top(found: DataFrame, limit: int, key: str = "slide_id") -> DataFrame:
 
 def snippet(body: str | None, wanted: list[tuple[tuple[str, ...], str | None]], n: int = SNIPPET_TOKENS, opening: str = "<mark>", closing: str = "</mark>") -> str:
     """The best window of n tokens of a body: most distinct phrases, then earliest; hits marked, cut ends shown by an ellipsis."""
-    import re
-
     if not body:
         return ""
     table = str.maketrans(text.MARKED, text.BARE)
@@ -178,7 +175,7 @@ def snippet(body: str | None, wanted: list[tuple[tuple[str, ...], str | None]],
 
 def snippet_column(body: Column | str, parsed: Parsed) -> Column:
     """snippet() of a column, in Arrow batches; use it on the rows that are shown only."""
-    wanted = [p for p in phrases(Parsed([type(g)(g.required) for g in parsed.groups]))]
+    wanted = phrases(Parsed([Group(g.required) for g in parsed.groups]))
 
     @F.arrow_udf("string")
     def shown(b: pa.Array) -> pa.Array:
