@@ -86,8 +86,10 @@ class Library:
     def put(self, name: str, rows: DataFrame) -> None:
         """Replaces a table: the snapshot is written whole before the pointer moves."""
         version = uuid.uuid4().hex
-        schema = struct(name)
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in schema]).write.parquet(f"{self.path}/{name}/{version}")
+        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in struct(name)])
+        if name == "postings":  # by term, so that a query's terms prune row groups
+            rows = rows.repartitionByRange("term").sortWithinPartitions("term")
+        rows.write.parquet(f"{self.path}/{name}/{version}")
         old = self._names.get(name)
         self._names[name] = version
         out = self._fs.create(self._path(f"{self.path}/_current.json"), True)
@@ -137,13 +139,13 @@ class Library:
 
     def clear(self) -> None:
         """Drops what a scan can rebuild and the histories; keeps roots, favorites, tags, saved searches and vectors."""
-        for name in ("decks", "slides", "deck_fonts", "scan_history", "scan_issues", "search_history", "export_history", "export_picks", "render_issues"):
+        for name in ("decks", "slides", "postings", "lengths", "deck_fonts", "scan_history", "scan_issues", "search_history", "export_history", "export_picks", "render_issues"):
             self.put(name, self.table(name).limit(0))
         self.put("roots", self.table("roots").withColumn("last_scan_unix", F.lit(None).cast("long")))
 
     def _drop_decks(self, ids: DataFrame) -> None:
         ids = vectors.work_table(ids.select(F.col("id").alias("deck_id")), "gone")
-        for name in ("slides", "deck_fonts"):
+        for name in ("slides", "postings", "lengths", "deck_fonts"):
             self.put(name, self.table(name).join(ids, "deck_id", "left_anti"))
         self.put("decks", self.table("decks").join(ids.withColumnRenamed("deck_id", "id"), "id", "left_anti"))
 
@@ -195,6 +197,10 @@ class Library:
         for name, rows in (("slides", slides), ("deck_fonts", fonts)):
             self.put(name, self.table(name).join(new, "deck_id", "left_anti").unionByName(rows.select(self.table(name).columns)))
         self.put("decks", merged(self.table("decks"), decks, ["id"]))
+        words = self._index_rows().join(new, "deck_id", "left_semi")
+        of = words.select("slide_id", "deck_id")
+        for name, rows in (("postings", fulltext.postings(words)), ("lengths", fulltext.lengths(words))):
+            self.put(name, self.table(name).join(new, "deck_id", "left_anti").unionByName(rows.join(of, "slide_id").select(self.table(name).columns)))
 
     def _record_scan(self, started: int, ms: int, tally: dict, issues: list[tuple[str, str]]) -> None:
         new = self._next_id("scan_history")
@@ -235,7 +241,7 @@ class Library:
 
     def _index_rows(self) -> DataFrame:
         d = self.table("decks").select(F.col("id").alias("deck_id"), F.concat_ws(" ", "title", "file_name").alias("deck_title"))
-        return self.table("slides").join(d, "deck_id").select(F.col("id").alias("slide_id"), "title", F.col("body_text").alias("body"), "notes", "deck_title")
+        return self.table("slides").join(d, "deck_id").select("deck_id", F.col("id").alias("slide_id"), "title", F.col("body_text").alias("body"), "notes", "deck_title")
 
     def _admitted(self, f: Filters) -> DataFrame | None:
         if not f.active:
@@ -244,8 +250,7 @@ class Library:
         return filters.admitted(t("slides"), t("decks"), t("slide_favorites"), t("slide_tags"), f).select(F.col("id").alias("slide_id"))
 
     def _fulltext(self, parsed: Parsed, f: Filters, limit: int) -> DataFrame:
-        rows = self._index_rows()
-        found = fulltext.match(fulltext.postings(rows), fulltext.lengths(rows), parsed)
+        found = fulltext.match(self.table("postings"), self.table("lengths").select("slide_id", "n_tokens"), parsed)
         ok = self._admitted(f)
         return fulltext.top(found if ok is None else found.join(ok, "slide_id", "left_semi"), limit)
 

@@ -26,6 +26,8 @@ TABLES = {
     "roots": "id long, path string, last_scan_unix long, exclude_globs array<string>",
     "decks": "id long, root_id long, path string, file_name string, title string, author string, slide_count long, modified_unix long, size_bytes long, slide_width_emu long, slide_height_emu long, file_hash string, first_seen_unix long",
     "slides": "id long, deck_id long, slide_index long, title string, body_text string, notes string, thumb_path string, content_hash string, text_hash string",
+    "postings": "deck_id long, slide_id long, col string, pos int, term string",
+    "lengths": "deck_id long, slide_id long, n_tokens long",
     "slide_favorites": "deck_path string, slide_index long, added_unix long",
     "deck_favorites": "deck_path string, added_unix long",
     "tags": "id long, name string, created_unix long",
