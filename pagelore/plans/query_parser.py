@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from datetime import date
 
 FIELDS = {"title": "title", "body": "body", "notes": "notes", "deck": "deck_title"}
 
@@ -69,11 +70,7 @@ def lex(text: str) -> list[str]:
 
 def ymd_to_unix(y: int, m: int, d: int) -> int:
     """Midnight UTC; days past a month's end run over into the next."""
-    shifted = y - (m <= 2)
-    era = shifted // 400
-    of_era = shifted - era * 400
-    of_year = (153 * (m + (-3 if m > 2 else 9)) + 2) // 5 + d - 1
-    return (era * 146_097 + of_era * 365 + of_era // 4 - of_era // 100 + of_year - 719_468) * 86_400
+    return (date(y, m, 1).toordinal() - date(1970, 1, 1).toordinal() + d - 1) * 86_400
 
 
 def parse_date(s: str) -> int | None:
