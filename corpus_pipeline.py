@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelore.llm import bpe, langid, linedup, mixing, simhash
+from pagelore.llm import bpe, jaccard, langid, linedup, mixing
 from pagelore.llm.common import written
 
 
@@ -24,7 +24,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.one_of_each(docs, radius=4, words=4)
+    return jaccard.one_of_each(docs, words=5)
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,5 +51,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Language identification, SimHash components and the encoding are beyond SQL.
+#: Language identification, near-duplicate components and the encoding are beyond SQL.
 ORACLE_SQL = None

@@ -33,13 +33,11 @@ BROADCAST_ROWS = 200_000
 SPREAD = np.array([[x >> i & 1 for i in range(8)] for x in range(256)], dtype=np.uint8).view(np.uint64).ravel()
 
 
-def fingerprints(data: np.ndarray, offs: np.ndarray, words: int = 4) -> np.ndarray:
-    """SimHash (uint64) of each text over its word shingles."""
-    n = len(offs) - 1
+def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (uint64) of the word shingles of all texts, one after another, and their number per text."""
     starts, ends, first = word_spans(data, offs)
-    out = np.zeros(n, np.uint64)
     if not len(starts):
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(offs) - 1, np.int64)
     # One space after each word: slices from a word's start to another's end are the joined shingles.
     inner = ~SPACE[data]
     keep = inner.copy()
@@ -52,7 +50,15 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, words: int = 4) -> np.ndarr
     head = ragged(first[:-1], shingles)
     tail = head + np.repeat(np.minimum(count, words) - 1, shingles)
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[head].tolist(), ends[tail].tolist(), strict=True)), np.uint64, len(head))
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts[head].tolist(), ends[tail].tolist(), strict=True)), np.uint64, len(head)), shingles
+
+
+def folded(h: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """SimHash (uint64) of each text from the hashes of its shingles; zero of none."""
+    n = len(shingles)
+    out = np.zeros(n, np.uint64)
+    if not len(h):
+        return out
     # Counters of 8 bits hold 255 shingles: sum by segments, then by text.
     pieces = (shingles + 254) // 255
     bounds = ragged(np.zeros(n, np.int64), pieces) * 255 + np.repeat(np.cumsum(shingles) - shingles, pieces)
@@ -64,6 +70,11 @@ def fingerprints(data: np.ndarray, offs: np.ndarray, words: int = 4) -> np.ndarr
     return out
 
 
+def fingerprints(data: np.ndarray, offs: np.ndarray, words: int = 4) -> np.ndarray:
+    """SimHash (uint64) of each text over its word shingles."""
+    return folded(*shingle_hashes(data, offs, words))
+
+
 def fingerprint_table(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long) of every document."""
     bounded_batches(docs.sparkSession)
@@ -211,12 +222,17 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFra
 
 
 def one_of_each(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest doc_id (once). Rows with a null doc_id stay.
+    """docs without near-duplicates: of each component the row with the smallest doc_id (once). Rows with a null doc_id stay."""
+    return lowest_rows(docs, near_duplicates(docs, radius, words))
+
+
+def lowest_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is their component_id in found (once), and those with a null doc_id.
 
     Only the ids that go are joined with the texts, and they are broadcast if
     they were counted to be few; more are joined by shuffle.
     """
-    own = near_duplicates(docs, radius, words).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
+    own = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("n"))
     own = written(own, "keepers")
     go = own.where("NOT stays").select("doc_id")
     if go.count() <= BROADCAST_ROWS:
