@@ -12,7 +12,8 @@ one aggregation over it.
 
 Nulls: a null source or language is a value of its own. A null or empty text
 has no tokens, weighs nothing and is kept. A null doc_id has no hash and is
-kept. Documents that repeat an id are drawn alike.
+kept (as often as its rate has whole parts, if the mix is drawn). Documents that
+repeat an id are drawn alike.
 """
 
 from __future__ import annotations
@@ -107,10 +108,11 @@ def fit(cells: DataFrame, exponents: tuple[float, float, float], iterations: int
 
 
 def rated(docs: DataFrame, keep: float, exponents: tuple[float, float, float], iterations: int) -> DataFrame:
-    """docs with __tokens, __topic, __rate and __kept.
+    """docs with __tokens, __topic, __rate, __kept and __copies.
 
     A document's rate is keep times its cell's ratio of target to found weight.
-    Rates over one keep the document for certain and carry the rest as weight.
+    Rates over one keep the document for certain; what is over is carried as
+    weight, or by whole copies and a draw for the rest.
     """
     p = profiled(docs)
     cells = written(p.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "cells")
@@ -118,7 +120,9 @@ def rated(docs: DataFrame, keep: float, exponents: tuple[float, float, float], i
     j = p.join(ratio, ["__source", "__lang", "__topic"], "left")
     rate = F.when(F.col("__tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("__rate", F.lit(1.0)))
     draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    return j.withColumn("__rate", rate).withColumn("__kept", F.coalesce(draw < F.least(F.lit(1.0), "__rate"), F.lit(True)))
+    whole = F.floor("__rate")
+    copies = F.coalesce(whole + (draw < F.col("__rate") - whole).cast("long"), F.greatest(F.lit(1), whole))
+    return j.withColumn("__rate", rate).withColumns({"__kept": F.coalesce(draw < F.least(F.lit(1.0), "__rate"), F.lit(True)), "__copies": copies})
 
 
 def mixed(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = (0.5, 0.7, 0.7), iterations: int = ITERATIONS) -> DataFrame:
@@ -128,8 +132,9 @@ def mixed(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, flo
 
 
 def drawn(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = (0.5, 0.7, 0.7), iterations: int = ITERATIONS) -> DataFrame:
-    """The rows of docs that the mix draws."""
-    return rated(docs, keep, exponents, iterations).where("__kept").select(docs.columns)
+    """The rows of docs that the mix draws, each as often as its rate asks for, so that the drawn tokens meet the targets."""
+    r = rated(docs, keep, exponents, iterations).where("__copies > 0")
+    return r.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

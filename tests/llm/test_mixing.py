@@ -28,3 +28,15 @@ def test_edges(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert spark_rows(mixing.op9(spark, str(tmp_path))) == duck(str(tmp_path), mixing.sql())
     assert mixing.mixed(df.limit(0)).collect() == []
+
+
+def test_drawn_rows_meet_raised_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    rows = mixing.mixed(docs).collect()
+    n = {r.doc_id: r["count"] for r in mixing.drawn(docs).groupBy("doc_id").count().collect()}
+    assert {r.doc_id for r in rows if r.kept} == set(n) and max(n.values()) > 1
+    for r in rows:
+        assert int(r.weight) * r.kept <= n.get(r.doc_id, 0) <= -(-r.weight // 1)
+    want = sum(r.tokens * r.weight for r in rows if r.weight > 1)
+    got = sum(r.tokens * n[r.doc_id] for r in rows if r.weight > 1)
+    assert abs(got / want - 1) < 0.1
