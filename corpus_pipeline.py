@@ -32,7 +32,7 @@ def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digests(docs, bpe.vocabulary())
+    return bpe.digests(docs, bpe.vocabulary(), with_ids=True)
 
 
 STAGES = [

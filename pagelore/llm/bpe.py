@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import BASES, SpanHash, bounded_batches, ragged, text_buffer
+from pagelore.llm.common import BASES, SpanHash, bounded_batches, ragged, spans, text_buffer
 
 #: The pre-tokenisation that the scan below implements, and the code points of \s.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -34,6 +34,8 @@ WHITE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028,
 LETTER, NUMBER, OTHER, SHORT, LONG, JOIN, LAST, INNER = range(8)
 FREE, IN_L, IN_N, IN_O, JOINED, IN_W, ONE, TWO = range(8)
 LANE = 256
+#: Bytes of text that are encoded, and whose slices are hashed, at a time: a worker's arrays stay small whatever a batch holds.
+PIECE = 1 << 19
 
 
 def transitions() -> tuple[np.ndarray, np.ndarray]:
@@ -181,9 +183,14 @@ class Codec:
         """ids of all texts, their byte offsets, the index of each text's first id (n + 1), and each text's ids in decimal, joined by commas."""
         cut = self.slices(data, offs)
         starts, lengths = cut[:-1], np.diff(cut)
-        hashed = SpanHash(data.astype(np.uint64) + np.uint64(1))(starts, cut[1:]) + lengths.astype(np.uint64) * np.uint64(BASES[1])
+        hashed, pieces = np.empty(len(starts), np.uint64), list(spans(lengths, PIECE))
+        for lo, hi in pieces:
+            a, b = cut[lo], cut[hi]
+            hashed[lo:hi] = SpanHash(data[a:b].astype(np.uint64) + np.uint64(1))(starts[lo:hi] - a, cut[lo + 1 : hi + 1] - a)
+        hashed += lengths.astype(np.uint64) * np.uint64(BASES[1])
         _, one, same = np.unique(hashed, return_index=True, return_inverse=True)
-        if not (np.array_equal(lengths, lengths[one][same]) and np.array_equal(data, data[ragged(starts[one][same], lengths)])):
+        alike = np.array_equal(lengths, lengths[one][same])
+        if not (alike and all(np.array_equal(data[cut[lo] : cut[hi]], data[ragged(starts[one][same[lo:hi]], lengths[lo:hi])]) for lo, hi in pieces)):
             seen: dict[bytes, int] = {}  # two slices share a hash: go by the bytes
             raw = data.tobytes()
             same = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], np.int64)
@@ -220,17 +227,24 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def row_pieces(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, bytes and offsets of the rows of a batch (id, text), about PIECE bytes at a time."""
+    data, offs = text_buffer(b.column(1))
+    for lo, hi in spans(np.diff(offs), PIECE):
+        yield b.column(0).slice(lo, hi - lo), data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids array<int>, offsets array<int>: ids of each text and the byte at which each begins."""
     bounded_batches(docs.sparkSession)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = text_buffer(b.column(1))
-            ids, at, first, _ = codec(path).encode(data, offs)
-            at = at - np.repeat(offs[:-1], np.diff(first))
-            lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, at)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *lists], ["doc_id", "ids", "offsets"])
+            for names, data, offs in row_pieces(b):
+                ids, at, first, _ = codec(path).encode(data, offs)
+                at = at - np.repeat(offs[:-1], np.diff(first))
+                lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, at)]
+                yield pa.RecordBatch.from_arrays([names, *lists], ["doc_id", "ids", "offsets"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>, offsets array<int>")
 
@@ -246,20 +260,23 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text encoded and decoded again."""
+def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each text encoded and decoded again; with_ids adds ids array<int>."""
     bounded_batches(docs.sparkSession)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            data, offs = text_buffer(b.column(1))
-            ids, at, first, joined = codec(path).encode(data, offs)
-            back = codec(path).decode(ids)
-            ends = np.append(at, len(back))[first]
-            sums = [hashlib.sha256(back[x:y]).hexdigest() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string()), pa.array(sums, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+            for rows, data, offs in row_pieces(b):
+                ids, at, first, joined = codec(path).encode(data, offs)
+                back = codec(path).decode(ids)
+                ends = np.append(at, len(back))[first]
+                sums = [hashlib.sha256(back[x:y]).hexdigest() for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids.astype(np.int32)))] * with_ids
+                yield pa.RecordBatch.from_arrays([rows, pa.array(np.diff(first)), pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string()), pa.array(sums, pa.string()), *lists], names)
+
+    kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, kind)
 
 
 def vocabulary() -> str:

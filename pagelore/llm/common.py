@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def bounded_batches(spark: SparkSession) -> None:
     """Arrow batches are bounded by bytes and rows, so that a run of very long texts can't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2500:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2500")
 
@@ -91,6 +91,18 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - before, lengths)
 
 
+def spans(cost: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges whose cost is about ``most`` at most."""
+    if not len(cost):
+        return
+    total = np.cumsum(cost)
+    lo = 0
+    while lo < len(cost):
+        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right"))
+        yield lo, (hi := max(hi, lo + 1))
+        lo = hi
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
     """Tables of whole groups with the groups' starts (and the end), from batches sorted by keys.
 

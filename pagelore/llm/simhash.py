@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import LOWER, SPACE, bounded_batches, components, parts, ragged, sorted_groups, text_buffer, word_spans, written
+from pagelore.llm.common import LOWER, SPACE, bounded_batches, components, parts, ragged, sorted_groups, spans, text_buffer, word_spans, written
 
 #: Fingerprints of one bucket that one task compares; larger buckets are dealt out as pairs of tiles.
 TILE = 4096
@@ -90,7 +90,7 @@ def fingerprint_table(docs: DataFrame, words: int = 4) -> DataFrame:
 def close_pairs(fp: np.ndarray, start: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Indices of pairs within the radius, for sorted groups given by their starts and the end."""
     size = np.diff(start)
-    for lo, hi in _spans(size[size > 1], 1 << 16):
+    for lo, hi in spans(size[size > 1], 1 << 16):
         some = np.flatnonzero(size > 1)[lo:hi]
         first, n = start[some], size[some]
         blocks = (n + 63) // 64
@@ -104,7 +104,7 @@ def close_pairs(fp: np.ndarray, start: np.ndarray, radius: int) -> Iterator[tupl
         planes = np.stack([np.bitwise_or.reduceat((fp[row] >> np.uint64(i) & np.uint64(1)) << lane, edge) for i in range(64)])
         width = np.bitwise_or.reduceat(np.uint64(1) << lane, edge)
         last = np.repeat(block0 + blocks, n)
-        for a, b in _spans(last - own, 1 << 19):
+        for a, b in spans(last - own, 1 << 19):
             q = np.repeat(np.arange(a, b), (last - own)[a:b])
             block = ragged(own[a:b], (last - own)[a:b])
             later = np.where(block == own[q], ~((np.uint64(2) << lane[q]) - np.uint64(1)), ~np.uint64(0))
@@ -147,18 +147,6 @@ def beyond(one: np.ndarray, two: np.ndarray, four: np.ndarray, over: np.ndarray,
     return more
 
 
-def _spans(cost: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Index ranges whose cost is about ``most`` at most."""
-    if not len(cost):
-        return
-    total = np.cumsum(cost)
-    lo = 0
-    while lo < len(cost):
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right"))
-        yield lo, (hi := max(hi, lo + 1))
-        lo = hi
-
-
 def union(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Smallest index that each of n indices reaches."""
     label = np.arange(n)
