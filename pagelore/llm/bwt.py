@@ -1,17 +1,18 @@
 """Operator 8, suffix-array deduplication of byte strings by merging Burrows-Wheeler transforms.
 
-Only passages around anchors that occur in different contexts can hold a string
-that is repeated other than as part of a whole equal run (passages.py); they are
-gathered by anchor, so equal strings meet. The passages of a bucket are dealt to
-shards, each shard sorts its own rotations and writes its transform, and the
-shards' transforms are merged by interleave refinement: one stable pass over the
-merged symbols turns an interleave that is right for r symbols into one for
-r + 1, and the rows that part in it have a common prefix of r. After ``window``
-passes, intervals without a cut are the repeated strings; no suffix is sorted
-again.
+Each batch of texts is a shard whose suffixes are sorted; intervals of ``window``
+common bytes are its own repeats. What is new in its shard and may lie in others
+meets as passages, dealt by anchors (passages.py). Equal passages enter once, with
+all their places. They are dealt to shards again, each shard sorts its rotations
+and gives its transform, and the transforms are merged by interleave refinement:
+one stable pass over the merged symbols turns an interleave that is right for r
+symbols into one for more, and the rows that part in it have a common prefix of r.
+Passes take blocks of up to five symbols. After ``window`` symbols, intervals
+without a cut are the repeated strings; no suffix is sorted again.
 
 Nulls: a null or empty text has no bytes. See passages.py for null and repeated
-doc_ids. Matches are of bytes and may cut a character; ``kept`` is binary.
+doc_ids, ties, very long texts and empty tables. Matches are of bytes and may cut
+a character; ``kept`` is binary.
 """
 
 from __future__ import annotations
@@ -26,14 +27,47 @@ from pyspark.sql import functions as F
 from pagelore.llm import passages
 from pagelore.llm.anchors import groups
 from pagelore.llm.common import mix, ragged, text_buffer
+from pagelore.llm.suffixes import Suffixes, along
 
-#: Bytes of passages that are merged at a time, and the shards they are dealt to.
-CHUNK, SHARDS = 1 << 19, 4
+#: Bytes of an anchor gram, shards that a block of passages is dealt to, and symbols that a pass may take at once.
+GRAM, SHARDS, BLOCKS = 32, 4, (5, 4, 2)
 SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def byte_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return SYMBOLS[data], offs
+def byte_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return SYMBOLS[data], offs, data
+
+
+def eights(symbols: np.ndarray, after) -> np.ndarray:
+    """Eight symbols from each place on as one number."""
+    key, width = symbols.astype(np.uint64), 1
+    while width < 8:
+        key = key << np.uint64(8 * width) | key[after(width)]
+        width *= 2
+    return key
+
+
+def shard_repeats(data: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of the windows (8 bytes or more) that start earlier in the shard."""
+    n = len(data)
+    none = np.zeros(0, np.int64)
+    if not n:
+        return none, none
+    every = np.arange(n)
+    order = Suffixes(eights(data, lambda k: np.minimum(every + k, n - 1)), 8, along(n))
+    while 2 * order.width <= window and len(order.open):
+        order.to(2 * order.width)
+    half, rows = order.width, order.order[order.open]
+    string = np.searchsorted(first, rows, "right") - 1
+    whole = rows + window <= first[1:][string]
+    rows, string = rows[whole], string[whole]
+    pair = order.rank[rows] << 32 | order.rank[rows + window - half]
+    sort = np.argsort(pair)
+    new = groups(pair[sort])
+    many = sort[np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1]
+    string, offset = string[many], rows[many] - first[:-1][string[many]]
+    sort, _, later = passages.earliest((pair[many],), doc[string], start[string] + offset)
+    return string[sort[later]], offset[sort[later]]
 
 
 def rotations(symbols: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
@@ -41,28 +75,20 @@ def rotations(symbols: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
     size = np.diff(first)
     base, turn = np.repeat(first[:-1], size), np.repeat(size, size)
     place = np.arange(len(symbols)) - base
-    rank, width = symbols.astype(np.uint64), 1
-    while width < 8:  # eight symbols fit one key
-        rank = rank << np.uint64(8 * width) | rank[base + (place + width) % turn]
-        width *= 2
-    while True:
-        order = np.argsort(rank, kind="stable")
-        new = groups(rank[order])
-        if width >= depth or new.all():
-            return order
-        rank = np.empty(len(order), np.uint64)
-        rank[order] = np.cumsum(new)
-        rank = rank << np.uint64(32) | rank[base + (place + width) % turn]
-        width *= 2
+    key = eights(symbols, lambda k: base + (place + k) % turn)
+    return Suffixes(key, 8, lambda rows, k: base[rows] + (place[rows] + k) % turn[rows]).to(depth).order
+
 
+def merged(transforms: list[np.ndarray], depth: int, block: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of the shards' rows and the interval of each merged row: rows of one interval share ``depth`` symbols.
 
-def merged(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave of the shards' rows and the interval of each merged row: rows of one interval share ``depth`` symbols."""
+    transforms: of each row of a shard, the ``block`` symbols before it as one small number.
+    """
     source = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
     symbols = np.concatenate(transforms)
     along = np.empty_like(symbols)
     interval, count = np.zeros(len(symbols), np.int32), 1
-    for _ in range(depth):
+    for _ in range(0, depth, block):
         along[np.argsort(source, kind="stable")] = symbols
         order = np.argsort(along, kind="stable")
         source, interval, now = source[order], interval[order], along[order]
@@ -83,59 +109,53 @@ def intervals(strings: np.ndarray, first: np.ndarray, depth: int, shards: int =
     symbols = np.zeros(len(strings) + n, np.uint8)
     symbols[np.arange(len(strings)) + np.repeat(ends, size - 1)] = strings + np.uint8(1)
     bounds = first + np.arange(n + 1)
+    base, turn = np.repeat(bounds[:-1], size), np.repeat(size, size)
+    place = np.arange(len(symbols)) - base
     cuts = np.searchsorted(bounds, np.linspace(0, bounds[-1], shards + 1)[1:-1])
     cuts = np.unique(np.concatenate([[0], cuts, [n]]))
-    orders, transforms = [], []
+    # The symbols before each place; as many at once as leave numbers of two bytes.
+    block, before = 1, symbols[base + (place - 1) % turn]
+    for k in (k for k in BLOCKS if depth % k == 0):
+        code = np.zeros(len(symbols), np.uint64)
+        for j in range(k, 0, -1):
+            code = code << np.uint64(8) | symbols[base + (place - j) % turn]
+        seen, code = np.unique(code, return_inverse=True)
+        if len(seen) <= 1 << 16:
+            block, before = k, code.astype(np.uint16)
+            break
+    orders = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         lo, hi = int(bounds[a]), int(bounds[b])
-        order = rotations(symbols[lo:hi], bounds[a : b + 1] - lo, depth + 1) + lo
-        before = order - 1
-        heads = np.isin(order, bounds[a:b])
-        before[heads] = bounds[1:][np.searchsorted(bounds, order[heads])] - 1
-        orders.append(order)
-        transforms.append(symbols[before])
-    source, interval = merged(transforms, depth)
+        orders.append(rotations(symbols[lo:hi], bounds[a : b + 1] - lo, depth + block) + lo)
+    source, interval = merged([before[o] for o in orders], depth, block)
     at = np.empty(len(symbols), np.int64)
     at[np.argsort(source, kind="stable")] = np.concatenate(orders)
     string = np.searchsorted(bounds, at, "right") - 1
     return string, at - bounds[string], interval
 
 
-def settle_passages(blobs: list[bytes], plan: passages.Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """doc, start, count of the repeated windows of a bucket's passages (packed doc, start, count, anchor, then bytes)."""
-    parts, texts = [], []
-    for b in blobs:
-        n = int(np.frombuffer(b, np.int64, 1)[0])
-        head = 8 + 24 * n
-        parts.append(passages.unpack([b[:head]], np.int64, np.int32, np.int32, np.uint64))
-        texts.append(np.frombuffer(b, np.uint8, offset=head))
-    doc, start, count, anchor = (np.concatenate(x) for x in zip(*parts))
-    data = np.concatenate(texts)
-    size = count.astype(np.int64) + plan.window - 1
-    at = np.cumsum(size) - size
-    order = np.lexsort((start, doc, anchor))
-    kinds = np.cumsum(groups(anchor[order]))
-    total = np.cumsum(size[order])
-    found = []
-    lo = 0
-    while lo < len(order):
-        hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, "right"))
-        hi = int(np.searchsorted(kinds, kinds[min(max(hi, lo + 1), len(order)) - 1], "right"))  # passages of an anchor stay together
-        o, lo = order[lo:hi], hi
-        first = np.concatenate([[0], np.cumsum(size[o])])
-        string, offset, interval = intervals(data[ragged(at[o], size[o])], first, plan.window)
-        good = offset < count[o][string]  # whole windows
-        many = np.bincount(interval[good], minlength=int(interval.max()) + 1)[interval] > 1
-        use = np.flatnonzero(good & many)
-        d, s = doc[o][string[use]], (start[o][string[use]] + offset[use]).astype(np.int32)
-        sort, _, later = passages.earliest((interval[use],), d, s)
-        found.append((d[sort[later]], s[sort[later]]))
-    return passages.factors(*(np.concatenate(x) for x in zip(*found)))
-
-
-def deduplicated(docs: DataFrame, window: int = 100, gram: int = 32) -> DataFrame:
+def merged_repeats(data: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of the windows of passages that start earlier in the block, from the intervals of the merged transforms."""
+    seen: dict[bytes, int] = {}
+    raw, cut = data.tobytes(), first.tolist()
+    same = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip(cut[:-1], cut[1:], strict=True)], np.int64)
+    by = np.argsort(same, kind="stable")  # the places of each different passage
+    owners = np.bincount(same, minlength=len(seen))
+    begin = np.cumsum(owners) - owners
+    size = np.array([len(x) for x in seen], np.int64)
+    string, offset, interval = intervals(np.frombuffer(b"".join(seen), np.uint8), np.concatenate([[0], np.cumsum(size)]), window)
+    good = np.flatnonzero(offset + window <= size[string])
+    total = np.bincount(interval[good], owners[string[good]], int(interval.max(initial=0)) + 1)
+    good = good[total[interval[good]] > 1]
+    n = owners[string[good]]
+    passage, offset, interval = by[ragged(begin[string[good]], n)], np.repeat(offset[good], n), np.repeat(interval[good], n)
+    sort, _, later = passages.earliest((interval,), doc[passage], start[passage] + offset)
+    return passage[sort[later]], offset[sort[later]]
+
+
+def deduplicated(docs: DataFrame, window: int = 100) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes), spans array<struct<start, end>> of removed bytes."""
-    spans, plan = passages.repeated_windows(docs, byte_symbols, window, gram, settle_passages)
+    spans, plan = passages.repeated_windows(docs, byte_symbols, shard_repeats, merged_repeats, window, GRAM, np.uint8)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
     place = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

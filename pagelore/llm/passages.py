@@ -1,23 +1,27 @@
-"""Repeated windows of a corpus, found by anchored runs: shared by operators 4 and 8.
-
-1. Every batch of texts is cut into anchored runs (anchors.py). Runs that
-   repeat inside the batch are settled there; the first of each goes, packed by
-   the hundred, to a bucket of its anchor.
-2. A bucket settles equal runs (all but the earliest are copies as a whole) and
-   asks for the inside of runs whose anchor also occurs in other runs: these lie
-   at the ends of shared passages.
-3. Texts answer with those passages, and a finish of the operator's own settles
-   their single windows.
-
-Anchors that are frequent in a bounded sample of documents are dealt by run
-instead of by anchor, and all their passages are asked for: this spreads a hot
-passage over all buckets and changes no result. What a batch knows to be a copy
-never travels to a bucket, so copies of a text do not pile up anywhere.
+"""Repeated windows of a corpus: shared by operators 4 and 8, which differ in how a block of strings is searched.
+
+1. Every batch of texts is a block. The operator finds its windows that start
+   earlier in the same block. What is left is cut into anchored runs
+   (anchors.py), and only these go, packed, to a bucket of their anchor.
+2. A bucket asks for the runs whose anchor came from several places.
+3. Texts answer with passages (a run and the window it ends in), which meet in
+   the bucket of their anchor. There the operator searches them as a block
+   again, so that each removed window was found by its method, in step 1 or here.
+
+Anchors only decide where text is compared; equal windows have equal anchors.
+Grams in several of a bounded sample of documents are avoided as anchors, so
+that a common passage in many contexts spreads over the contexts' own grams.
+Windows that hold nothing else are the same everywhere: step 1 leaves one of
+each in a batch, these are dealt by home, searched, and what is left of them
+meets in the bucket of the anchor in one more round. The sample changes no result.
 
 A window counts as a copy if an equal one starts earlier (smaller doc_id, or
 the same doc_id and an earlier start). Rows with a null doc_id have no place in
 that order: nothing is removed from them and they are no reference. Rows that
 share a doc_id are one document: equal places in them are the same place.
+Texts shorter than a window, empty ones and nulls have no windows; long ones are
+whole strings of their block. An empty table gives an empty result. Other
+columns of the table are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,38 +34,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.anchors import Runs, groups
-from pagelore.llm.common import BASES, SpanHash, bounded_batches, parts, ragged, sorted_groups, text_buffer, written
+from pagelore.llm.anchors import Frequent, Runs, gram_hashes, groups
+from pagelore.llm.common import bounded_batches, mix, parts, ragged, sorted_groups, text_buffer, written
 
 #: Bytes of text for each bucket and for each home (the group of documents that a span returns to).
-BUCKET_BYTES, HOME_BYTES, MOST_BUCKETS = 2 << 20, 4 << 20, 1 << 16
-#: Sampled documents, and the share of them from which an anchor is hot.
-SAMPLE_DOCS, HOT_SHARE = 4000, 0.01
-#: Different runs of one anchor from which their windows are compared by fingerprints.
-MANY_RUNS = 64
-
-Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+BUCKET_BYTES, HOME_BYTES, MOST_BUCKETS = 2 << 20, 4 << 20, 1 << 24
+#: Sampled documents, and how many of them make a gram frequent.
+SAMPLE_DOCS, FREQUENT = 2000, 4
+#: Bytes of passages that are searched as one block; those of one anchor stay together.
+CHUNK = 1 << 19
+
+#: (symbols to hash, where texts begin, what the operator searches and passages carry) of a batch of texts.
+Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (raw units, where strings begin, doc_id and start of each string, window): string and offset of the windows that start earlier in the block.
+Search = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 ROWS = "bucket int, blob binary"
 
 
 @dataclass
 class Plan:
-    """What all steps share."""
+    """What all steps share. within searches a batch of texts, between a block of passages from many."""
 
     units: Units
+    within: Search
+    between: Search
     window: int
     gram: int
     buckets: int
     homes: int
-    hot: np.ndarray
+    frequent: Frequent
+
+    def bucket_of(self, anchor: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Frequent anchors are dealt by home as well."""
+        salt = np.where(self.frequent(anchor), mix(home_of(doc, self.homes).astype(np.uint64) + np.uint64(1)), np.uint64(0))
+        return ((anchor ^ salt) % np.uint64(self.buckets)).astype(np.int64)
 
 
 def home_of(ids: np.ndarray, homes: int) -> np.ndarray:
-    return (((ids & 0x7FFFFFFF) * 1640531527) >> 15) % homes
+    low = (ids ^ (ids.view(np.uint64) >> np.uint64(32)).view(np.int64)) & 0x7FFFFFFF
+    return ((low * 1640531527) >> 15) % homes
 
 
 def home_column(homes: int) -> Column:
-    return F.pmod(F.shiftright(F.col("doc_id").bitwiseAND(F.lit(0x7FFFFFFF)) * F.lit(1640531527), 15), F.lit(homes)).cast("int")
+    low = F.col("doc_id").bitwiseXOR(F.shiftrightunsigned("doc_id", 32)).bitwiseAND(F.lit(0x7FFFFFFF))
+    return F.pmod(F.shiftright(low * F.lit(1640531527), 15), F.lit(homes)).cast("int")
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -95,9 +111,9 @@ def batch_of(rows: Iterable[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in part], pa.int32()), pa.array([b for _, b in part], pa.binary())], ["bucket", "blob"])
 
 
-RUN = (np.uint64, np.uint64, np.int64, np.int32, np.int32)  # anchor, run, doc_id, start, count
+RUN = (np.uint64, np.int64, np.int32, np.int32)  # anchor, doc_id, start, count
 SPAN = (np.int64, np.int32, np.int32)  # doc_id, start, count of windows
-ASK = (np.int64, np.int32, np.int32, np.uint64)  # doc_id, start, count, anchor or 0 for fingerprints
+ASK = (np.int64, np.int32, np.int32, np.uint64)  # doc_id, start, count, anchor
 
 
 def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,10 +125,8 @@ def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -
     return order, first, later
 
 
-def texts_of(batch: pa.RecordBatch, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data, offs = text_buffer(batch.column("text"))
-    symbols, first = units(data, offs)
-    return batch.column("doc_id").to_numpy(), symbols, first
+def texts_of(batch: pa.RecordBatch, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    return np.ascontiguousarray(batch.column("doc_id").to_numpy()), *units(*text_buffer(batch.column("text")))
 
 
 def find_runs(docs: DataFrame, plan: Plan) -> DataFrame:
@@ -120,15 +134,21 @@ def find_runs(docs: DataFrame, plan: Plan) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, symbols, first = texts_of(b, plan.units)
-            r = Runs(symbols, first, plan.window, plan.gram)
-            doc, start, count = ids[r.text], r.start.astype(np.int32), r.count.astype(np.int32)
-            order, head, later = earliest((r.anchor, r.run), doc, start)
-            go, copy = order[head], order[later]
-            by_run = np.isin(r.anchor[go], plan.hot)
-            bucket = np.where(by_run, r.run[go], r.anchor[go]) % np.uint64(plan.buckets)
-            yield from batch_of(dealt(bucket.astype(np.int64), r.anchor[go], r.run[go], doc[go], start[go], count[go]))
-            yield from batch_of(dealt(home_of(doc[copy], plan.homes) + plan.buckets, doc[copy], start[copy], count[copy]))
+            ids, symbols, first, raw = texts_of(b, plan.units)
+            text, offset = plan.within(raw, first, ids, np.zeros(len(ids), np.int64), plan.window)
+            doc, start, count = joined(ids[text], offset)
+            yield from batch_of(dealt(home_of(doc, plan.homes) + plan.buckets, doc, start, count))
+            r = Runs(symbols, first, plan.window, plan.gram, plan.frequent)
+            # A run is narrowed to the windows that are new in this batch.
+            new = np.ones(len(raw) + 1, bool)
+            new[first[:-1][text] + offset] = False
+            new = np.flatnonzero(new)
+            head, past = np.searchsorted(new, r.at), np.searchsorted(new, r.at + r.count)
+            some = head < past
+            head, tail = new[head[some]], new[past[some] - 1]
+            doc, anchor = ids[r.text[some]], r.anchor[some]
+            start, count = (r.start[some] + head - r.at[some]).astype(np.int32), (tail - head + 1).astype(np.int32)
+            yield from batch_of(dealt(plan.bucket_of(anchor, doc), anchor, doc, start, count))
 
     return docs.select("doc_id", "text").mapInArrow(work, ROWS)
 
@@ -143,23 +163,12 @@ def settle_runs(runs: DataFrame, plan: Plan) -> DataFrame:
                 if bucket[a] >= plan.buckets:
                     yield from batch_of((bucket[a] - plan.buckets, x) for x in blobs[a:b])
                     continue
-                anchor, run, doc, start, count = unpack(blobs[a:b], *RUN)
-                order = np.argsort(anchor, kind="stable")
+                anchor, doc, start, count = unpack(blobs[a:b], *RUN)
+                order = np.argsort(anchor)
                 new = groups(anchor[order])
-                many = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1
-                some = order[many | np.isin(anchor[order], plan.hot)]
-                anchor, run, doc, start, count = (x[some] for x in (anchor, run, doc, start, count))
-                if not len(some):
-                    continue
-                order, head, later = earliest((anchor, run), doc, start)
-                copy, head = order[later], order[head]
-                yield from batch_of(dealt(home_of(doc[copy], plan.homes), doc[copy], start[copy], count[copy]))
-                kinds = groups(anchor[head])
-                size = np.diff(np.append(np.flatnonzero(kinds), len(kinds)))[np.cumsum(kinds) - 1]
-                hot = np.isin(anchor[head], plan.hot)
-                ask = head[(size > 1) | hot]
-                name = np.where((hot | (size > MANY_RUNS))[(size > 1) | hot], np.uint64(0), anchor[ask])
-                yield from batch_of(dealt(home_of(doc[ask], plan.homes) + plan.homes, doc[ask], start[ask], count[ask], name))
+                several = np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1
+                ask = order[several | plan.frequent(anchor[order])]
+                yield from batch_of(dealt(home_of(doc[ask], plan.homes) + plan.homes, doc[ask], start[ask], count[ask], anchor[ask]))
 
     return runs.repartition(parts(runs.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(work, ROWS)
 
@@ -202,70 +211,79 @@ class ByDoc:
         return np.repeat(np.arange(len(ids)), hi - lo), [a[at] for a in self.arrays[1:]]
 
 
-WINDOW = (np.uint64, np.uint64, np.int64, np.int32)  # two fingerprints, doc_id, start
+def passage_blobs(bucket: np.ndarray, anchor, doc, start, raw: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(bucket, packed passages): their anchors, places and sizes, then their units."""
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(groups(bucket[order])).tolist()
+    for a, b in zip(cut, [*cut[1:], len(order)]):
+        o = order[a:b]
+        yield int(bucket[o[0]]), pack(anchor[o], doc[o], start[o], size[o]) + raw[ragged(at[o], size[o])].tobytes()
 
 
-def find_windows(docs: DataFrame, asked: DataFrame, plan: Plan, passages: bool) -> DataFrame:
-    """Fingerprints of the windows asked for, by bucket; passages by buckets + bucket; spans by 2 * buckets + home."""
+def find_passages(docs: DataFrame, asked: DataFrame, plan: Plan) -> DataFrame:
+    """The passages asked for, by bucket."""
 
     def work(batch: pa.RecordBatch, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         if not blobs:
             return
-        ids, symbols, first = texts_of(batch, plan.units)
+        ids, _, first, raw = texts_of(batch, plan.units)
         text, (start, count, anchor) = ByDoc(blobs, ASK).of(ids)
-        if passages:
-            whole = anchor != 0
-            at = first[:-1][text[whole]] + start[whole]
-            size = count[whole].astype(np.int64) + plan.window - 1
-            yield from batch_of(passage_rows(anchor[whole], ids[text[whole]], start[whole], count[whole], at, size, batch) if whole.any() else ())
-            text, start, count = text[~whole], start[~whole], count[~whole]
-        if not len(text):
-            return
-        start = ragged(start, count).astype(np.int32)
-        text = np.repeat(text, count)
-        at = first[:-1][text] + start
-        one, two = (SpanHash(symbols, base)(at, at + plan.window) for base in BASES)
-        order, head, later = earliest((one, two), ids[text], start)
-        go, copy = order[head], order[later]
-        doc = ids[text]
-        yield from batch_of(dealt(((one[go] ^ (one[go] >> np.uint64(29))) % np.uint64(plan.buckets)).astype(np.int64), one[go], two[go], doc[go], start[go]))
-        yield from batch_of(dealt(home_of(doc[copy], plan.homes) + 2 * plan.buckets, doc[copy], start[copy], np.ones(len(copy), np.int32)))
-
-    def passage_rows(anchor, doc, start, count, at, size, batch):
-        data = text_buffer(batch.column("text"))[0]
-        bucket = anchor % np.uint64(plan.buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.flatnonzero(groups(bucket[order])).tolist()
-        for a, b in zip(cut, [*cut[1:], len(order)]):
-            o = order[a:b]
-            yield int(bucket[o[0]]) + plan.buckets, pack(doc[o], start[o], count[o], anchor[o]) + data[ragged(at[o], size[o])].tobytes()
+        # A place that a shorter row of the same doc_id lacks is no passage.
+        fits = first[:-1][text] + start + count + plan.window - 1 <= first[1:][text]
+        text, start, count, anchor = text[fits], start[fits], count[fits], anchor[fits]
+        if len(text):
+            yield from batch_of(passage_blobs(plan.bucket_of(anchor, ids[text]), anchor, ids[text], start, raw, first[:-1][text] + start, count.astype(np.int64) + plan.window - 1))
 
     return with_texts(docs, asked, plan, work, ROWS)
 
 
-def settle_windows(found: DataFrame, plan: Plan, finish: Callable | None) -> DataFrame:
-    """Spans by home. finish(blobs, plan) settles the passages of a bucket."""
+PASSAGE = (np.uint64, np.int64, np.int32, np.int64)  # anchor, doc_id, start, size
+
+
+def settle_passages(found: DataFrame, plan: Plan, again: bool, unit: type) -> DataFrame:
+    """Spans by home; with again, passages with frequent anchors that still hold new windows, by homes + their anchor's bucket."""
+    width = np.dtype(unit).itemsize
+    row = sum(np.dtype(t).itemsize for t in PASSAGE)
+
+    def blocks(blobs: list[bytes]) -> Iterator[tuple]:
+        heads, raws = [], []
+        for x in blobs:
+            end = 8 + row * int(np.frombuffer(x, np.int64, 1)[0])
+            heads.append(x[:end])
+            raws.append(np.frombuffer(x, unit, offset=end))
+        anchor, doc, start, size = unpack(heads, *PASSAGE)
+        raw = np.concatenate(raws)
+        at = np.cumsum(size) - size
+        order = np.lexsort((start, doc, anchor))
+        kinds = np.cumsum(groups(anchor[order]))
+        total = np.cumsum(size[order]) * width
+        lo = 0
+        while lo < len(order):
+            hi = int(np.searchsorted(total, (total[lo - 1] if lo else 0) + CHUNK, "right"))
+            hi = int(np.searchsorted(kinds, kinds[min(max(hi, lo + 1), len(order)) - 1], "right"))
+            o, lo = order[lo:hi], hi
+            yield anchor[o], doc[o], start[o], size[o], raw[ragged(at[o], size[o])]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at in sorted_groups(batches, ["bucket"]):
-            bucket, blobs = rows.column("bucket").to_pylist(), rows.column("blob").to_pylist()
+            blobs = rows.column("blob").to_pylist()
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                if bucket[a] >= 2 * plan.buckets:
-                    yield from batch_of((bucket[a] - 2 * plan.buckets, x) for x in blobs[a:b])
-                    continue
-                if bucket[a] >= plan.buckets:
-                    doc, start, count = finish(blobs[a:b], plan)
-                else:
-                    one, two, doc, start = unpack(blobs[a:b], *WINDOW)
-                    order, _, later = earliest((one, two), doc, start)
-                    copy = order[later]
-                    doc, start, count = factors(doc[copy], start[copy])
-                yield from batch_of(dealt(home_of(doc, plan.homes), doc, start, count))
+                for anchor, doc, start, size, raw in blocks(blobs[a:b]):
+                    first = np.concatenate([[0], np.cumsum(size)])
+                    string, offset = plan.between(raw, first, doc, start, plan.window)
+                    d, s, n = joined(doc[string], start[string] + offset)
+                    yield from batch_of(dealt(home_of(d, plan.homes), d, s, n))
+                    if again:
+                        left = size - plan.window + 1 > np.bincount(string, minlength=len(size))
+                        go = np.flatnonzero(left & plan.frequent(anchor))
+                        if len(go):
+                            bucket = (anchor[go] % np.uint64(plan.buckets)).astype(np.int64) + plan.homes
+                            yield from batch_of(passage_blobs(bucket, anchor[go], doc[go], start[go], raw, first[go], size[go]))
 
     return found.repartition(parts(found.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(work, ROWS)
 
 
-def factors(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def joined(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Single windows as maximal runs of consecutive ones: doc, start, count."""
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order].astype(np.int64)
@@ -275,36 +293,37 @@ def factors(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return doc[at], start[at].astype(np.int32), (start[last] - start[at] + 1).astype(np.int32)
 
 
-def hot_anchors(docs: DataFrame, units: Units, window: int, gram: int, n_docs: int) -> np.ndarray:
-    """Anchors in many of about SAMPLE_DOCS documents. Only a hint on how to deal rows."""
+def frequent_grams(docs: DataFrame, units: Units, gram: int, n_docs: int) -> Frequent:
+    """Grams in FREQUENT of about SAMPLE_DOCS documents. Only a hint on how to deal rows."""
     every = max(1, n_docs // SAMPLE_DOCS)
     sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            _, symbols, first = texts_of(b, units)
-            r = Runs(symbols, first, window, gram)
-            once = np.unique(np.stack([r.anchor, r.text.astype(np.uint64)]), axis=1)[0] if len(r.text) else r.anchor
-            anchor, n = np.unique(once, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(n)], ["anchor", "n"])
+            _, symbols, first, _ = texts_of(b, units)
+            h, text = gram_hashes(symbols, first, gram)
+            sort = np.lexsort((text, h))
+            h = h[sort][groups(h[sort], text[sort])]
+            h, n = np.unique(h, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["gram", "n"])
 
-    counts = sample.mapInArrow(work, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    rows = counts.where(F.col("n") >= max(8, HOT_SHARE * min(n_docs, SAMPLE_DOCS))).select("anchor").collect()
-    return np.array([r.anchor for r in rows], np.int64).view(np.uint64)
+    counts = sample.select("doc_id", "text").mapInArrow(work, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= FREQUENT).select("gram").toArrow()
+    return Frequent(rows.column(0).to_numpy().view(np.uint64))
 
 
-def repeated_windows(docs: DataFrame, units: Units, window: int, gram: int, finish: Callable | None = None) -> tuple[DataFrame, Plan]:
+def repeated_windows(docs: DataFrame, units: Units, within: Search, between: Search, window: int, gram: int, unit: type) -> tuple[DataFrame, Plan]:
     """(bucket = home, blob of SPAN rows) of all windows that have an earlier equal, and the plan that deals them."""
     bounded_batches(docs.sparkSession)
     docs = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     clamp = lambda x: int(min(max(1, x), MOST_BUCKETS))
-    plan = Plan(units, window, gram, clamp(size // BUCKET_BYTES), clamp(size // HOME_BYTES), hot_anchors(docs, units, window, gram, n))
-    settled = written(settle_runs(find_runs(docs, plan), plan), "runs")
-    spans = settled.where(F.col("bucket") < plan.homes)
-    asked = settled.where(F.col("bucket") >= plan.homes).withColumn("bucket", F.col("bucket") - plan.homes)
-    inner = written(settle_windows(find_windows(docs, asked, plan, finish is not None), plan, finish), "windows")
-    return spans.unionByName(inner), plan
+    plan = Plan(units, within, between, window, gram, clamp(size // BUCKET_BYTES), clamp(size // HOME_BYTES), frequent_grams(docs, units, gram, n))
+    split = lambda df: (df.where(F.col("bucket") < plan.homes), df.where(F.col("bucket") >= plan.homes).withColumn("bucket", F.col("bucket") - plan.homes))
+    early, asked = split(written(settle_runs(find_runs(docs, plan), plan), "runs"))
+    inner, left = split(written(settle_passages(find_passages(docs, asked, plan), plan, True, unit), "passages"))
+    last = written(settle_passages(left, plan, False, unit), "frequent")
+    return early.unionByName(inner).unionByName(last), plan
 
 
 def covered(spans: ByDoc, ids: np.ndarray, first: np.ndarray, window: int) -> np.ndarray:

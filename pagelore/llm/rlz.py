@@ -1,15 +1,20 @@
 """Operator 4, substring deduplication by relative Lempel-Ziv parsing of words.
 
-The whole corpus is the reference. It is indexed in blocks: a block holds, for
-its anchors, every distinct passage once, with its earliest place. A document is
-factored against each block in which one of its anchors occurs: a run that
-equals an indexed one is taken greedily as a factor, and where a factor ends
-(the passage goes on differently in another document) each window across the
-boundary is checked by itself. Factors of ``window`` words or more become
-duplicate spans; factors that touch or overlap join.
+A reference block is a set of strings of words with a suffix array over them.
+A document is parsed against it from left to right: the longest factor that
+also starts earlier (smaller doc_id, or same document, earlier start) is taken
+greedily, then the parse goes on behind it. A factor of ``window`` words or more
+is a duplicate span. Where two factors meet, the windows across their boundary
+are checked in the index; a window across two boundaries can't repeat, because
+the factor between would have been taken longer. Spans that touch or overlap join.
+
+The corpus is a row of blocks: each batch of texts is parsed against itself, and
+each bucket of passages against itself (passages.py deals every passage to the
+block in which an equal window could lie, so a document visits the blocks that
+matter and no others). Words are compared by 64-bit hashes.
 
 Nulls: a null or empty text has no words. See passages.py for null and repeated
-doc_ids.
+doc_ids, ties, very long texts and empty tables.
 """
 
 from __future__ import annotations
@@ -22,22 +27,151 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm import passages
+from pagelore.llm.anchors import groups
 from pagelore.llm.common import SpanHash, mix, ragged, text_buffer, word_spans
+from pagelore.llm.suffixes import Suffixes, along
 
-
-def word_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, first = word_spans(data, offs)
-    return mix(SpanHash(data.astype(np.uint64) + np.uint64(1))(starts, ends) + (ends - starts).astype(np.uint64)), first
+#: Words of an anchor gram.
+GRAM = 6
+#: Windows of a text that are parsed as one piece of it.
+PIECE = 64
 
 
-def duplicate_words(docs: DataFrame, window: int = 20, gram: int = 6) -> tuple[DataFrame, passages.Plan]:
-    """Spans of repeated windows, packed by home (see passages.repeated_windows)."""
-    return passages.repeated_windows(docs, word_symbols, window, gram)
+def word_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    starts, ends, first = word_spans(data, offs)
+    symbols = mix(SpanHash(data.astype(np.uint64) + np.uint64(1))(starts, ends) + (ends - starts).astype(np.uint64))
+    return symbols, first, symbols
+
+
+class Reference:
+    """A block of strings of symbols, indexed for factors that start earlier."""
+
+    def __init__(self, symbols: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int, longest: int):
+        """Strings lie between first; doc and start say where each comes from. Factors have ``longest`` symbols at most."""
+        size = np.diff(first)
+        string = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(symbols)) + string
+        _, codes = np.unique(symbols, return_inverse=True)
+        n = len(symbols) + len(size)
+        #: Symbols from 1; a 0 ends each string.
+        self.text = np.zeros(n + longest + 1, np.int64)
+        self.text[at] = codes + 1
+        self.first = first + np.arange(len(first))
+        # Places in the order of the corpus; what ends a string lies behind all.
+        self.place = np.full(n, np.iinfo(np.int64).max)
+        self.place[at] = np.unique(doc, return_inverse=True)[1][string] << 32 | (start[string] + np.arange(len(symbols)) - first[:-1][string])
+        order = Suffixes(self.text[:n] << 32 | self.text[1 : n + 1], 2, along(n))
+        half = 2
+        while 2 * half <= window:
+            half *= 2
+        rank = order.to(half).rank.copy()
+        self.order = order.to(longest).order
+        pos = self.place[self.order]
+        new = groups(rank[self.order], rank[np.minimum(self.order + window - half, n - 1)])
+        cut = np.flatnonzero(new)
+        #: Of each suffix, the earliest place of its first window symbols, and whether they recur.
+        self.low, self.again = np.empty(n, np.int64), np.empty(n, bool)
+        group = np.cumsum(new) - 1
+        self.low[self.order] = np.minimum.reduceat(pos, cut)[group] if n else pos
+        self.again[self.order] = np.diff(np.append(cut, n))[group] > 1
+        #: Earliest place of each power of two of neighbouring suffixes.
+        self.least = [pos]
+        while 2 << (len(self.least) - 1) <= n:
+            last, step = self.least[-1], 1 << (len(self.least) - 1)
+            self.least.append(np.minimum(last[:-step], last[step:]))
+        self.begins = np.searchsorted(self.text[self.order], np.arange(int(codes.max(initial=0)) + 3))
+
+    def earliest(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The earliest place among the suffixes a to b of the order (b > a)."""
+        level = np.frexp((b - a).astype(np.float64))[1] - 1
+        out = np.empty(len(a), np.int64)
+        for k in np.unique(level).tolist():
+            i = np.flatnonzero(level == k)
+            out[i] = np.minimum(self.least[k][a[i]], self.least[k][b[i] - (1 << k)])
+        return out
+
+    def bound(self, a: np.ndarray, b: np.ndarray, depth: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The first of the suffixes a to b (alike for depth symbols) whose next symbol is not below the given one."""
+        a, b = a.copy(), b.copy()
+        while len(live := np.flatnonzero(a < b)):
+            m = (a[live] + b[live]) >> 1
+            less = self.text[self.order[m] + depth[live]] < symbol[live]
+            a[live[less]] = m[less] + 1
+            b[live[~less]] = m[~less]
+        return a
+
+    def factors(self, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Piece, start and length of the greedy factors of the pieces text[lo:hi], in order. Symbols without an earlier equal are in none."""
+        piece, i = np.arange(len(lo)), lo.copy()
+        size, a, b = np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64), np.zeros(len(lo), np.int64)
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(piece):
+            more = i + size < hi[piece]
+            symbol = self.text[i + size]
+            x, y = self.begins[symbol], self.begins[symbol + 1]
+            old = np.flatnonzero(more & (size > 0))
+            if len(old):
+                x[old] = self.bound(a[old], b[old], size[old], symbol[old])
+                y[old] = self.bound(x[old], b[old], size[old], symbol[old] + 1)
+            longer = np.flatnonzero(more & (x < y))
+            longer = longer[self.earliest(x[longer], y[longer]) < self.place[i[longer]]]
+            ended = np.ones(len(piece), bool)
+            ended[longer] = False
+            a[longer], b[longer] = x[longer], y[longer]
+            size[longer] += 1
+            done = np.flatnonzero(ended & (size > 0))
+            out.append((piece[done], i[done], size[done]))
+            i[ended] += np.maximum(size[ended], 1)
+            size[ended] = 0
+            left = ~ended | (i < hi[piece])
+            if not left.all():
+                piece, i, size, a, b = (v[left] for v in (piece, i, size, a, b))
+        piece, i, size = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out) if out else [()] * 3))
+        order = np.lexsort((i, piece))
+        return piece[order], i[order], size[order]
+
+    def repeats(self, lo: np.ndarray, hi: np.ndarray, window: int) -> np.ndarray:
+        """Where in text the windows of the pieces text[lo:hi] begin that long factors hold or that a check at a boundary finds."""
+        piece, i, size = self.factors(lo, hi)
+        long = size >= window
+        inside = ragged(i[long], size[long] - window + 1)
+        meet = np.flatnonzero((piece[1:] == piece[:-1]) & (i[:-1] + size[:-1] == i[1:]) & (size[:-1] + size[1:] >= window))
+        head = np.maximum(i[meet], i[meet + 1] - window + 1)
+        tail = np.minimum(i[meet + 1] - 1, i[meet + 1] + size[meet + 1] - window)
+        across = ragged(head, np.maximum(tail - head + 1, 0))
+        return np.concatenate([inside, across[self.low[across] < self.place[across]]])
+
+
+def factored(symbols: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int, piece: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """String and offset of windows that start earlier in the block; strings are parsed in pieces of so many windows (0: whole)."""
+    none = np.zeros(0, np.int64)
+    if not len(symbols):
+        return none, none
+    windows = np.maximum(np.diff(first) - window + 1, 0)
+    piece = piece or int(windows.max())
+    if not piece:
+        return none, none
+    ref = Reference(symbols, first, doc, start, window, piece + window - 1)
+    n = -(-windows // piece)
+    part = ragged(np.zeros(len(n), np.int64), n)
+    string = np.repeat(np.arange(len(n)), n)
+    lo = ref.first[string] + part * piece
+    count = np.minimum(piece, windows[string] - part * piece)
+    # A piece none of whose windows recurs in the block has no factor of interest.
+    some = np.concatenate([[0], np.cumsum(ref.again)])
+    use = some[lo + count] > some[lo]
+    at = ref.repeats(lo[use], (lo + count + window - 1)[use], window)
+    string = np.searchsorted(ref.first, at, "right") - 1
+    return string, at - ref.first[string]
+
+
+def factored_texts(symbols: np.ndarray, first: np.ndarray, doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    return factored(symbols, first, doc, start, window, PIECE)
 
 
 def deduplicated(docs: DataFrame, window: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed, text (kept words joined by one space), spans array<struct<start, end>> of removed words."""
-    spans, plan = duplicate_words(docs, window)
+    spans, plan = passages.repeated_windows(docs, word_symbols, factored_texts, factored, window, GRAM, np.uint64)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     kind = "doc_id long, n_words long, n_removed long, text string, spans array<struct<start:long,end:long>>"
     place = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))

@@ -68,11 +68,9 @@ def cases():
 @pytest.mark.parametrize("op,brute", [(rlz.op4, brute4), (bwt.op8, brute8)])
 @pytest.mark.parametrize("small", [False, True])
 def test_as_brute_force(spark, tmp_path, monkeypatch, op, brute, small):
-    if small:  # many buckets, hot anchors, fingerprints beside passages
-        for k, v in {"BUCKET_BYTES": 3000, "HOME_BYTES": 5000, "SAMPLE_DOCS": 60, "HOT_SHARE": 0.05, "MANY_RUNS": 6}.items():
+    if small:  # many buckets, small blocks, frequent grams
+        for k, v in {"BUCKET_BYTES": 3000, "HOME_BYTES": 5000, "SAMPLE_DOCS": 60, "CHUNK": 4000}.items():
             monkeypatch.setattr(passages, k, v)
-        monkeypatch.setattr(anchors, "CHUNK", 512)
-        monkeypatch.setattr(bwt, "CHUNK", 4000)
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
     try:
         rows = cases()
@@ -82,6 +80,35 @@ def test_as_brute_force(spark, tmp_path, monkeypatch, op, brute, small):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def blocks():
+    r = random.Random(3)
+    for n in range(40):
+        strings = [[r.randrange(r.choice([2, 3, 30])) for _ in range(r.randrange(120))] for _ in range(1 + n % 8)]
+        strings.append(strings[0][5:90] + strings[-1][:20])
+        yield strings, r.sample(range(50), len(strings)), [r.randrange(900) for _ in strings]
+
+
+@pytest.mark.parametrize("search,kind", [(rlz.factored, np.uint64), (lambda *a: rlz.factored(*a, 7), np.uint64), (bwt.shard_repeats, np.uint8), (bwt.merged_repeats, np.uint8)])
+@pytest.mark.parametrize("window", [8, 20, 100])
+def test_blocks(search, kind, window):
+    """Every removed window is one that a factor, a check at a boundary or an interval gave: the searches alone find all."""
+    for strings, doc, start in blocks():
+        first = {}
+        every = [(tuple(s[j : j + window]), (d, at + j), (i, j)) for i, (s, d, at) in enumerate(zip(strings, doc, start)) for j in range(len(s) - window + 1)]
+        for k, place, _ in every:
+            first[k] = min(first.get(k, place), place)
+        flat = np.array([x for s in strings for x in s], kind)
+        got = search(flat, np.cumsum([0, *map(len, strings)]), np.array(doc), np.array(start), window)
+        assert set(zip(*(x.tolist() for x in got))) == {at for k, place, at in every if first[k] < place}
+
+
+def test_factors_are_longest_and_earlier():
+    text = [1, 2, 3, 4, 5, 1, 2, 3, 9, 3, 4, 5, 1, 2, 8]
+    ref = rlz.Reference(np.array(text, np.uint64), np.array([0, len(text)]), np.array([1]), np.array([0]), 3, len(text))
+    piece, at, size = ref.factors(np.array([0]), np.array([len(text)]))
+    assert list(zip(at.tolist(), size.tolist())) == [(5, 3), (9, 5)]
+
+
 @pytest.mark.parametrize("op,brute", [(rlz.op4, brute4), (bwt.op8, brute8)])
 def test_documents(spark, op, brute):
     sf = "/root/testdata/sf0.001"
@@ -95,6 +122,16 @@ def test_empty(spark, tmp_path, op):
     assert op(spark, str(tmp_path)).collect() == []
 
 
+def test_frequent_grams_are_avoided():
+    symbols = anchors.mix(np.arange(1, 400, dtype=np.uint64))
+    first = np.array([0, len(symbols)])
+    none, h = anchors.Frequent(np.zeros(0, np.uint64)), anchors.gram_hashes(symbols, first, 6)[0]
+    plain = anchors.Runs(symbols, first, 20, 6, none)
+    rare = anchors.Runs(symbols, first, 20, 6, anchors.Frequent(h[::2]))
+    assert not np.isin(rare.anchor, h[::2]).any() and np.isin(plain.anchor, h[::2]).any()
+    assert plain.count.sum() == rare.count.sum() == 399 - 20 + 1
+
+
 def test_merge_is_a_suffix_order():
     r = random.Random(4)
     strings = ["".join(r.choice("ab") for _ in range(r.randrange(20, 60))).encode() for _ in range(40)]
