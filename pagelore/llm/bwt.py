@@ -7,7 +7,7 @@ all their places. They are dealt to shards again, each shard sorts its rotations
 and gives its transform, and the transforms are merged by interleave refinement:
 one stable pass over the merged symbols turns an interleave that is right for r
 symbols into one for more, and the rows that part in it have a common prefix of r.
-Passes take blocks of up to five symbols. After ``window`` symbols, intervals
+Passes take blocks of up to ten symbols. After ``window`` symbols, intervals
 without a cut are the repeated strings; no suffix is sorted again.
 
 Nulls: a null or empty text has no bytes. See passages.py for null and repeated
@@ -30,7 +30,7 @@ from pagelore.llm.common import mix, ragged, text_buffer
 from pagelore.llm.suffixes import Suffixes, along
 
 #: Bytes of an anchor gram, shards that a block of passages is dealt to, and symbols that a pass may take at once.
-GRAM, SHARDS, BLOCKS = 32, 4, (5, 4, 2)
+GRAM, SHARDS, BLOCKS = 32, 2, (5, 10, 4, 2)
 SYMBOLS = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -66,8 +66,8 @@ def shard_repeats(data: np.ndarray, first: np.ndarray, doc: np.ndarray, start: n
     new = groups(pair[sort])
     many = sort[np.diff(np.append(np.flatnonzero(new), len(new)))[np.cumsum(new) - 1] > 1]
     string, offset = string[many], rows[many] - first[:-1][string[many]]
-    sort, _, later = passages.earliest((pair[many],), doc[string], start[string] + offset)
-    return string[sort[later]], offset[sort[later]]
+    late = passages.later(pair[many], doc[string], start[string] + offset)
+    return string[late], offset[late]
 
 
 def rotations(symbols: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
@@ -88,8 +88,10 @@ def merged(transforms: list[np.ndarray], depth: int, block: int = 1) -> tuple[np
     symbols = np.concatenate(transforms)
     along = np.empty_like(symbols)
     interval, count = np.zeros(len(symbols), np.int32), 1
+    bounds = np.cumsum([0, *map(len, transforms)]).tolist()
     for _ in range(0, depth, block):
-        along[np.argsort(source, kind="stable")] = symbols
+        for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
+            along[source == k] = symbols[a:b]
         order = np.argsort(along, kind="stable")
         source, interval, now = source[order], interval[order], along[order]
         cut = (interval[1:] != interval[:-1]) | (now[1:] != now[:-1])
@@ -115,14 +117,18 @@ def intervals(strings: np.ndarray, first: np.ndarray, depth: int, shards: int =
     cuts = np.unique(np.concatenate([[0], cuts, [n]]))
     # The symbols before each place; as many at once as leave numbers of two bytes.
     block, before = 1, symbols[base + (place - 1) % turn]
-    for k in (k for k in BLOCKS if depth % k == 0):
+    codes = {1: before}
+    for k in BLOCKS:
+        if depth % k or k < max(codes):
+            continue
+        most = max(j for j in codes if k % j == 0)
         code = np.zeros(len(symbols), np.uint64)
-        for j in range(k, 0, -1):
-            code = code << np.uint64(8) | symbols[base + (place - j) % turn]
+        for j in range(k - most, -1, -most):
+            code = code << np.uint64(64 * most // k) | codes[most][base + (place - j) % turn]
         seen, code = np.unique(code, return_inverse=True)
         if len(seen) <= 1 << 16:
-            block, before = k, code.astype(np.uint16)
-            break
+            codes[k] = code.astype(np.uint16)
+    block, before = max(codes.items())
     orders = []
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         lo, hi = int(bounds[a]), int(bounds[b])
@@ -149,8 +155,8 @@ def merged_repeats(data: np.ndarray, first: np.ndarray, doc: np.ndarray, start:
     good = good[total[interval[good]] > 1]
     n = owners[string[good]]
     passage, offset, interval = by[ragged(begin[string[good]], n)], np.repeat(offset[good], n), np.repeat(interval[good], n)
-    sort, _, later = passages.earliest((interval,), doc[passage], start[passage] + offset)
-    return passage[sort[later]], offset[sort[later]]
+    late = passages.later(interval, doc[passage], start[passage] + offset)
+    return passage[late], offset[late]
 
 
 def deduplicated(docs: DataFrame, window: int = 100) -> DataFrame:

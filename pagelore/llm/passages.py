@@ -1,8 +1,8 @@
 """Repeated windows of a corpus: shared by operators 4 and 8, which differ in how a block of strings is searched.
 
-1. Every batch of texts is a block. The operator finds its windows that start
-   earlier in the same block. What is left is cut into anchored runs
-   (anchors.py), and only these go, packed, to a bucket of their anchor.
+1. Every batch of texts is cut into anchored runs (anchors.py). Runs whose anchor
+   recurs in the batch are a block: the operator finds its windows that start
+   earlier in the same block. What is left goes, packed, to a bucket of its anchor.
 2. A bucket asks for the runs whose anchor came from several places.
 3. Texts answer with passages (a run and the window it ends in), which meet in
    the bucket of their anchor. There the operator searches them as a block
@@ -42,7 +42,7 @@ BUCKET_BYTES, HOME_BYTES, MOST_BUCKETS = 2 << 20, 4 << 20, 1 << 24
 #: Sampled documents, and how many of them make a gram frequent.
 SAMPLE_DOCS, FREQUENT = 2000, 4
 #: Bytes of passages that are searched as one block; those of one anchor stay together.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 #: (symbols to hash, where texts begin, what the operator searches and passages carry) of a batch of texts.
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
@@ -116,13 +116,13 @@ SPAN = (np.int64, np.int32, np.int32)  # doc_id, start, count of windows
 ASK = (np.int64, np.int32, np.int32, np.uint64)  # doc_id, start, count, anchor
 
 
-def earliest(keys: tuple[np.ndarray, ...], doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Order by keys, document and start; which of that order begin a group; which are later than their group's first."""
-    order = np.lexsort((start, doc, *reversed(keys)))
-    first = groups(*(k[order] for k in keys)) if len(order) else np.zeros(0, bool)
-    at = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) if len(order) else np.zeros(0, np.int64)
-    later = (doc[order] != doc[order][at]) | (start[order] != start[order][at])
-    return order, first, later
+def later(key: np.ndarray, doc: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which rows come after another place with their key, for rows sorted by key."""
+    if not len(key):
+        return np.zeros(0, bool)
+    place = np.unique(doc, return_inverse=True)[1] << 32 | start
+    new = groups(key)
+    return place > np.minimum.reduceat(place, np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
 def texts_of(batch: pa.RecordBatch, units: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -135,13 +135,21 @@ def find_runs(docs: DataFrame, plan: Plan) -> DataFrame:
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, symbols, first, raw = texts_of(b, plan.units)
-            text, offset = plan.within(raw, first, ids, np.zeros(len(ids), np.int64), plan.window)
-            doc, start, count = joined(ids[text], offset)
-            yield from batch_of(dealt(home_of(doc, plan.homes) + plan.buckets, doc, start, count))
             r = Runs(symbols, first, plan.window, plan.gram, plan.frequent)
+            # Stretches of runs whose anchors recur in the batch are its block.
+            _, same, often = np.unique(r.anchor, return_inverse=True, return_counts=True)
+            again = np.flatnonzero(often[same] > 1)
+            lo, hi = r.at[again], r.at[again] + r.count[again]
+            opens = np.append(lo[:1] == lo[:1], lo[1:] != hi[:-1])
+            lo, hi, text = lo[opens], hi[np.append(opens[1:], opens[:1])], r.text[again][opens]
+            size = hi - lo + plan.window - 1
+            string, offset = plan.within(raw[ragged(lo, size)], np.concatenate([[0], np.cumsum(size)]), ids[text], lo - first[:-1][text], plan.window)
+            copies = lo[string] + offset
+            doc, start, count = joined(ids[text[string]], copies - first[:-1][text[string]])
+            yield from batch_of(dealt(home_of(doc, plan.homes) + plan.buckets, doc, start, count))
             # A run is narrowed to the windows that are new in this batch.
             new = np.ones(len(raw) + 1, bool)
-            new[first[:-1][text] + offset] = False
+            new[copies] = False
             new = np.flatnonzero(new)
             head, past = np.searchsorted(new, r.at), np.searchsorted(new, r.at + r.count)
             some = head < past
