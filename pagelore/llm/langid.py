@@ -6,12 +6,16 @@ parsed greedily into longest matches against each automaton; phrases times the
 logarithm of the sample's length, per symbol, estimate the cross entropy, and
 the lowest wins (ties: the first language by name).
 
-Texts are parsed whole, in segments of SEGMENT symbols that begin a phrase
-each, so that any number of segments of any texts advance in lockstep.
+Texts are parsed whole. Segments of all texts advance in lockstep as if each began
+a phrase; then each takes up the state in which the segment before it ended and is
+parsed again until both parses are in one state, so the phrases are those of an
+unbroken parse. A letter that a language's sample lacks never matches there.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0, as is
 every text if no labelled text was learned. Rows with a null lang or doc_id are
-predicted but teach nothing. Repeated rows are predicted alike.
+predicted but teach nothing. Repeated rows are predicted alike. Texts of any
+length are parsed to their end. An empty table gives an empty result. Other columns
+are not read; ``accepted`` passes them through, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +31,9 @@ from pyspark.sql.window import Window
 
 from pagelore.llm.common import bounded_batches, ragged, text_buffer
 
-#: Bounds of the sample that a model is learned from.
-DOCS_PER_LANGUAGE = 48
-CHARS_PER_DOC = 800
-#: Letters that have a symbol of their own; others never match.
-ALPHABET = 60
+#: Bounds of the sample that a model is learned from, for each language: rows, and characters that their whole texts may have together (one text may have more).
+DOCS_PER_LANGUAGE, SAMPLE_CHARS = 48, 60_000
+#: Symbols that advance in lockstep. No result depends on it.
 SEGMENT = 256
 NEW = np.int32(1 << 30)
 
@@ -61,7 +63,7 @@ def letters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def automaton(text: np.ndarray, width: int) -> np.ndarray:
-    """Transitions [state, symbol] of the suffix automaton of text; a missing one is NEW plus the state after the symbol alone. The last column keeps the state."""
+    """Transitions [state, symbol] of the suffix automaton of text; a missing one is NEW plus the state after the symbol alone."""
     most = 2 * len(text) + 3
     to = np.full((most, width), -1, np.int32)
     rows: list[dict[int, int]] = [{}]
@@ -95,9 +97,7 @@ def automaton(text: np.ndarray, width: int) -> np.ndarray:
     state = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     to[state, np.fromiter((c for r in rows for c in r), np.int64, len(state))] = np.fromiter((s for r in rows for s in r.values()), np.int32, len(state))
     fresh = np.where(to[0] < 0, dead, to[0]) + NEW
-    to = np.where(to < 0, fresh, to).astype(np.int32)
-    to[:, -1] = np.arange(len(rows))
-    return to
+    return np.where(to < 0, fresh, to).astype(np.int32)
 
 
 class Model:
@@ -109,40 +109,67 @@ class Model:
         for _, text in sample:
             raw = np.frombuffer(text.encode(), np.uint8)
             parts.append(letters(raw, np.array([0, len(raw)]))[0])
-        seen, count = np.unique(np.concatenate([*parts, np.zeros(1, np.uint32)]), return_counts=True)
-        common = sorted(seen[np.argsort(-count, kind="stable")][:ALPHABET].tolist())
-        #: Symbols: the common letters, then any other letter, then the filler.
-        self.symbol = np.full(0x110000, len(common), np.uint8)
-        self.symbol[common] = np.arange(len(common))
-        self.filler, width = len(common) + 1, len(common) + 2
-        self.tables = [automaton(self.symbol[p], width) for p in parts]
+        seen = np.unique(np.concatenate([*parts, np.zeros(0, np.uint32)]))
+        #: Symbols of all samples, 0 for letters that none holds; then, for each language, its own, the last for letters that it lacks.
+        self.symbol = np.zeros(0x110000, np.int32)
+        self.symbol[seen] = np.arange(1, len(seen) + 1)
+        self.own, self.tables = [], []
+        for p in parts:
+            letters_ = np.unique(self.symbol[p])
+            own = np.full(len(seen) + 1, len(letters_), np.int32)
+            own[letters_] = np.arange(len(letters_))
+            self.own.append(own)
+            self.tables.append(automaton(own[self.symbol[p]], len(letters_) + 1))
         self.logs = np.array([np.log2(len(p) + 2) for p in parts])
 
     def phrases(self, points: np.ndarray, first: np.ndarray) -> np.ndarray:
         """[text, language]: phrases of the greedy parse of each text."""
         n = np.diff(first)
         pieces = -(-n // SEGMENT)
-        start = np.repeat(first[:-1], pieces) + ragged(np.zeros(len(n), np.int64), pieces) * SEGMENT
+        part = ragged(np.zeros(len(n), np.int64), pieces)
+        start = np.repeat(first[:-1], pieces) + part * SEGMENT
         size = np.minimum(SEGMENT, np.repeat(first[1:], pieces) - start)
         out = np.zeros((len(n), len(self.tables)), np.int64)
         some = np.flatnonzero(pieces)
         if not len(some):
             return out
         order = np.argsort(-size, kind="stable")
-        sym = np.append(self.symbol[points], np.full(SEGMENT, self.filler, np.uint8))
-        active = np.searchsorted(-size[order], -np.arange(SEGMENT), "left")
-        starts = start[order]
+        lane = np.empty(len(order), np.int64)
+        lane[order] = np.arange(len(order))
+        # Of each lane, the lane of the next segment of its text, or -1.
+        follows = np.full(len(order), -1)
+        more = np.flatnonzero(part > 0)
+        follows[lane[more - 1]] = lane[more]
+        start, size = start[order], size[order]
+        active = np.searchsorted(-size, -np.arange(SEGMENT), "left")
+        code = self.symbol[points]
         for k, table in enumerate(self.tables):
-            flat, width = table.ravel(), np.int32(table.shape[1])
-            state, count = np.full(len(order), len(table) - 1, np.int32), np.zeros(len(order), np.int32)
-            for t in range(int(size.max())):
+            sym, flat, width = self.own[k][code], table.ravel(), np.int32(table.shape[1])
+            states, new = np.empty((int(size.max()), len(order)), np.int32), np.zeros((int(size.max()), len(order)), bool)
+            state = np.full(len(order), len(table) - 1, np.int32)
+            for t in range(len(states)):
                 a = active[t]
-                step = flat[state[:a] * width + sym[starts[:a] + t]]
-                count[:a] += step >> 30
-                state[:a] = step & (NEW - 1)
-            back = np.empty(len(order), np.int64)
-            back[order] = count
-            out[some, k] = np.add.reduceat(back, (np.cumsum(pieces) - pieces)[some])
+                step = flat[state[:a] * width + sym[start[:a] + t]]
+                new[t, :a] = step >> 30
+                state[:a] = states[t, :a] = step & (NEW - 1)
+            again = np.flatnonzero(follows >= 0)
+            while len(again):  # segments whose predecessor ended in another state than was assumed
+                now, at = states[size[again] - 1, again], follows[again]
+                ended: list[np.ndarray] = []
+                for t in range(len(states)):
+                    step = flat[now * width + sym[start[at] + t]]
+                    now = step & (NEW - 1)
+                    differ = now != states[t, at]
+                    new[t, at], states[t, at] = step >> 30, now
+                    last = size[at] == t + 1
+                    ended.append(at[differ & last])
+                    go = differ & ~last
+                    now, at = now[go], at[go]
+                    if not len(at):
+                        break
+                again = np.concatenate(ended)
+                again = again[follows[again] >= 0]
+            out[some, k] = np.add.reduceat(new.sum(0, dtype=np.int64)[lane], (np.cumsum(pieces) - pieces)[some])
         return out
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -172,14 +199,17 @@ def held_out() -> F.Column:
 
 
 def learn(docs: DataFrame) -> tuple[tuple[str, str], ...]:
-    """The sample: of each language the texts of DOCS_PER_LANGUAGE documents with the lowest hash, CHARS_PER_DOC of each."""
-    teach = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    near = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "text")
-    picked = teach.select("lang", "doc_id", F.substring("text", 1, CHARS_PER_DOC).alias("text")).withColumn("n", F.row_number().over(near)).where(F.col("n") <= DOCS_PER_LANGUAGE)
-    by: dict[str, list[str]] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.n)):
-        by.setdefault(r.lang, []).append(r.text)
-    return tuple((k, "\n".join(v)) for k, v in sorted(by.items()) if any(c.isalpha() for t in v for c in t))
+    """The sample: of each language, whole texts of the documents with the lowest hashes, as many as the bounds allow (one at least)."""
+    teach = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
+    teach = teach.select(F.col("lang").cast("string"), F.col("doc_id").cast("string"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
+    near = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "mark")
+    named = teach.select("lang", "doc_id", "mark", F.length("text").alias("size")).withColumn("n", F.row_number().over(near)).where(F.col("n") <= DOCS_PER_LANGUAGE)
+    fits = named.withColumn("total", F.sum("size").over(Window.partitionBy("lang").orderBy("n"))).where((F.col("total") <= SAMPLE_CHARS) | (F.col("n") == 1))
+    by: dict[str, dict[int, str]] = {}
+    for r in teach.join(F.broadcast(fits.select("lang", "doc_id", "mark", "n")), ["lang", "doc_id", "mark"]).dropDuplicates(["lang", "n"]).collect():
+        by.setdefault(r.lang, {})[r.n] = r.text
+    found = ((k, "\n".join(v[n] for n in sorted(v))) for k, v in sorted(by.items()))
+    return tuple((k, t) for k, t in found if any(c.isalpha() for c in t))
 
 
 def identify(docs: DataFrame) -> DataFrame:

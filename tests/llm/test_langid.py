@@ -1,3 +1,6 @@
+import math
+import random
+import re
 import zlib
 
 import numpy as np
@@ -20,7 +23,7 @@ def test_held_out_accuracy(spark):
 def test_phrases_as_by_hand():
     sample = (("de", "der hund und die katze und der vogel ä"), ("en", "the dog and the cat and the bird"))
     m = langid.Model(sample)
-    texts = ["Und der Vogel", "xx thé dog!!", "", "12", "and and the cat " * 60]
+    texts = ["Und der Vogel", "xx thé dog!!", "", "12", "and and the cat " * 60, "жж the žž äää", "the dog and the cat" * 300, "д" * 600, "a bird, und eine katze " * 90]
     raw = [t.encode() for t in texts]
     offs = np.cumsum([0, *map(len, raw)])
     points, first = langid.letters(np.frombuffer(b"".join(raw), np.uint8), offs)
@@ -29,15 +32,53 @@ def test_phrases_as_by_hand():
     for i, t in enumerate(texts):
         seq = "".join(chr(c) if c else " " for c in points[first[i] : first[i + 1]])
         for k, (_, known) in enumerate(sample):
-            n = 0
-            for s in range(0, len(seq), langid.SEGMENT):
-                part, at = seq[s : s + langid.SEGMENT], 0
-                while at < len(part):
-                    size = 1
-                    while at + size < len(part) and part[at : at + size + 1] in norm(known):
-                        size += 1
-                    at, n = at + size, n + 1
-            assert got[i, k] == n, (t, k)
+            assert got[i, k] == phrases(seq, norm(known)), (t, k)
+
+
+def phrases(seq, known):
+    n = at = 0
+    while at < len(seq):
+        size = 1
+        while at + size < len(seq) and seq[at : at + size + 1] in known:
+            size += 1
+        at, n = at + size, n + 1
+    return n
+
+
+def test_prediction_and_score_as_by_hand(spark):
+    r = random.Random(8)
+    talk = {"aa": "one two three four five six", "bb": "uno dos tres cuatro cinco seis", "cc": "один два три четыре пять"}
+    text = lambda k, n: " ".join(r.choice(talk[k].split()) for _ in range(n))
+    rows = [(i, text(k, r.randrange(1, 400)), k) for i, k in enumerate(r.choice(sorted(talk)) for _ in range(40))]
+    rows += [(100, text("aa", 50) + " " + text("bb", 30), None), (101, "漢字仮名" * 200, None), (102, "Ж", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.identify(df).collect()}
+    letters = lambda s: re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in s.lower()))
+    known = {k: letters(t) for k, t in langid.learn(df)}
+    for d, t, _ in rows:
+        seq = letters(t)
+        cost = sorted((phrases(seq, s) * math.log2(len(s) + 2) / len(seq), k) for k, s in known.items())
+        assert got[d].lang_pred == cost[0][1] and abs(got[d].score - (1 - cost[0][0] / cost[1][0])) < 1e-9
+    assert got[101].score < 0.15  # no sample holds the script: no language is much better
+    assert {x.doc_id for x in langid.accepted(df).collect()} == {d for d, *_ in rows} - {101}
+
+
+def test_accepted_edges(spark):
+    rows = [(1, "the dog and the cat", "en", "x", 1), (None, "the cat and the dog", "en", "x", 2), (2, None, "en", "x", 3), (3, "", None, "x", 4), (4, "12 !", "en", "x", 5), (5, "the dog and the cat", None, "x", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, held_out string, lang_pred int")
+    assert sorted((tuple(r) for r in langid.accepted(df).collect()), key=str) == sorted([rows[0], rows[1], rows[5]], key=str)
+    assert sorted(r.lang_pred for r in langid.identify(df).collect()) == ["en"] * 3 + ["und"] * 3
+    assert langid.accepted(df.limit(0)).collect() == []
+
+
+def test_sample_holds_whole_texts_within_its_bounds(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 100)
+    rows = [(i, f"text number {i} " * (1 + i % 3), "en") for i in range(60)] + [(99, "lang " * 5000, "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = dict(langid.learn(df))
+    assert set(sample["en"].split("\n")) <= {t for _, t, _ in rows} and len(sample["en"]) <= 100 + 5
+    if zlib.crc32(b"99") % 4 != 2:
+        assert sample["xx"] == "lang " * 5000
 
 
 def test_edges(spark):
