@@ -10,7 +10,8 @@ Nulls: a vector that is null, empty, or holds a null or non-finite component
 takes no part, as query or as candidate, nor does a row with a null id. Vectors
 are compared with vectors of their length only. Rows that repeat an id are
 candidates each; a query never meets a row with its own id. Ties go to the
-smaller id. Components must fit 31 bits after scaling.
+smaller id. Scores are exact; components so large that a score may not fit 63 bits
+raise an error. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,17 +38,23 @@ class Block:
         self.ids, self.rows = ids[by_id], rows[by_id]
         self.order = np.argsort(-self.rows, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(self.rows, self.order, 0)
-        self.top = float(np.abs(self.rows).max(initial=0))
+        self.top = max(abs(int(self.rows.max(initial=0))), abs(int(self.rows.min(initial=0))))
         self.exact = self.rows.astype(np.float64)
 
+    def most(self, query: np.ndarray) -> int:
+        """What no score, nor any sum on the way to it, exceeds."""
+        return self.top * max(abs(int(query.max())), abs(int(query.min()))) * len(query)
+
     def score(self, at: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
-        if self.top * float(np.abs(query).max()) * len(query) < 2.0**53:
+        if self.most(query) < 1 << 53:
             return (self.exact[at] @ query.astype(np.float64)).astype(np.int64)
         return (self.rows[at] * query).sum(1)
 
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but those with the id ``own``."""
-        n, dims = self.rows.shape
+        if self.most(query) >= 1 << 63:
+            raise ValueError("scores of these vectors do not fit a long")
+        n = len(self.rows)
         up = query >= 0
         seen = np.zeros(n, bool)
         best, score = np.zeros(0, np.int64), np.zeros(0, np.int64)

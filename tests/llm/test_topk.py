@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from oracle import duck, spark_rows
 
 from pagelore.llm import topk
@@ -29,6 +30,16 @@ def test_bound_stops_early():
     assert ids.tolist() == [4998, 4997, 4996, 4995, 4994] and sum(met) < 600
 
 
+def test_large_components_are_exact_or_refused():
+    rows = np.array([[1 << 34, 5], [(1 << 34) + 1, -7], [3, 4]])
+    b = topk.Block(np.arange(3), rows)
+    q = np.array([(1 << 26) + 1, 3])
+    ids, score = b.search(q, 2, 9)
+    assert dict(zip(ids.tolist(), score.tolist())) == {i: sum(int(x) * int(y) for x, y in zip(rows[i], q)) for i in (0, 1)}
+    with pytest.raises(ValueError):
+        b.search(np.array([1 << 34, 0]), 2, 9)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert topk.op2(spark, str(tmp_path)).collect() == []
