@@ -5,15 +5,22 @@ raked until the marginals of source, language and topic meet their targets, and
 documents are drawn by the calibrated probabilities with a hash of their id, so
 a rerun draws the same ones.
 
-The fitted weight of a cell is its source's factor times its language's and
-topic's. Only language-by-topic sums (a bounded table, checked) visit the
-driver; sources, however many, stay in the cells' table, and an iteration is
-one aggregation over it.
+Targets are given by value, or found shares are flattened by an exponent. The rake
+goes on until no marginal is further than TOLERANCE from its target (relative), or
+for MOST_ROUNDS: targets that exclude each other are never met, and the residual
+says so. The fitted weight of a cell is its source's factor times its language's
+and topic's. Only the sums by language and topic visit the driver; sources,
+however many, stay in the cells' table, and a round is one aggregation over it.
+
+The topic is a column of the table, or the form of the text: mostly capitals, many
+digits, short lines, or prose.
 
 Nulls: a null source or language is a value of its own. A null or empty text
 has no tokens, weighs nothing and is kept. A null doc_id has no hash and is
 kept (as often as its rate has whole parts, if the mix is drawn). Documents that
-repeat an id are drawn alike.
+repeat an id are drawn alike, ties need no rule, and texts of any length are
+profiled whole. An empty table gives an empty one. Columns of the table are carried
+in a struct, so that no name can clash.
 """
 
 from __future__ import annotations
@@ -26,9 +33,9 @@ from pyspark.sql import types as T
 
 from pagelore.llm.common import bounded_batches, text_buffer, word_spans, written
 
-#: Languages times topics that the driver may hold.
-MOST_STRATA = 100_000
-ITERATIONS = 8
+TOLERANCE, MOST_ROUNDS = 1e-9, 40
+#: Exponents of the found shares of source, language and topic: 0 makes all alike, 1 leaves them as they are.
+EXPONENTS = (0.5, 0.7, 0.7)
 TOPICS = ("shouting", "figures", "lines", "prose")
 
 
@@ -53,35 +60,43 @@ def key(c: Column) -> Column:
     return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))
 
 
-def profiled(docs: DataFrame) -> DataFrame:
+def profiled(docs: DataFrame, topic: str | None) -> DataFrame:
+    """row (the columns of docs as a struct), source, lang, topic (keys) and tokens."""
     bounded_batches(docs.sparkSession)
-    p = docs.withColumn("__p", text_profile(F.col("text").cast("string")))
-    return p.withColumns({"__source": key(F.col("source")), "__lang": key(F.col("lang")), "__topic": F.col("__p.topic"), "__tokens": F.col("__p.tokens")}).drop("__p")
+    p = docs.select(F.struct(*docs.columns).alias("row"), text_profile(F.col("text").cast("string")).alias("p"))
+    return p.select("row", key(F.col("row.source")).alias("source"), key(F.col("row.lang")).alias("lang"), (key(F.col("row").getField(topic)) if topic else F.concat(F.lit("+"), F.col("p.topic"))).alias("topic"), F.col("p.tokens").alias("tokens"))
 
 
-def fit(cells: DataFrame, exponents: tuple[float, float, float], iterations: int = ITERATIONS) -> DataFrame:
-    """source, strata (array of lang, topic, tokens), ratio per stratum: target weight over tokens of each cell.
+def shares(found: dict[str, float], power: float, given: dict | None) -> dict[str, float]:
+    """Target shares of the found values: as given (values that are not named share nothing), or by the exponent."""
+    raw = {k: float(v) ** power for k, v in found.items()} if given is None else {k: float(given.get(None if k == "-" else k[1:], 0.0)) for k in found}
+    total = sum(raw.values())
+    return {k: v / total if total else 0.0 for k, v in sorted(raw.items())}
 
-    Targets: a value's share of tokens to the power of the marginal's exponent
-    (0: all alike, 1: as found), made to sum to one.
-    """
-    strata = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    rows = strata.limit(MOST_STRATA + 1).collect()
-    if len(rows) > MOST_STRATA:
-        raise ValueError(f"more than {MOST_STRATA} languages times topics")
+
+def fit(cells: DataFrame, exponents: tuple[float, float, float] = EXPONENTS, targets: dict[str, dict] | None = None) -> tuple[DataFrame, float]:
+    """(source, lang, topic, ratio of target weight to tokens) of each cell, and the largest relative distance of a marginal from its target."""
+    targets = targets or {}
+    rows = cells.where("tokens > 0").groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).collect()
     total = float(sum(r.tokens for r in rows))
 
-    def target(name: str, power: float) -> dict[str, float]:
+    def found(name: str) -> dict[str, float]:
         by: dict[str, float] = {}
         for r in rows:
             by[r[name]] = by.get(r[name], 0.0) + float(r.tokens)
-        raw = {k: v**power for k, v in by.items() if v > 0}
-        return {k: v / sum(raw.values()) for k, v in sorted(raw.items())}
+        return by
 
-    langs, topics = target("lang", exponents[1]), target("topic", exponents[2])
+    langs, topics = (shares(found(name), e, targets.get(name)) for name, e in zip(("lang", "topic"), exponents[1:]))
     by_source = cells.where("tokens > 0").groupBy("source").agg(F.sum("tokens").alias("all"), F.sort_array(F.collect_list(F.struct("lang", "topic", "tokens"))).alias("strata"))
-    spread = by_source.agg(F.sum(F.pow(F.col("all").cast("double"), exponents[0]))).first()[0] or 1.0
-    by_source = written(by_source.withColumn("goal", F.pow(F.col("all").cast("double"), exponents[0]) / F.lit(spread)), "sources")
+    if "source" in targets:
+        given = [(None if k is None else str(k), float(v)) for k, v in targets["source"].items()]
+        named = cells.sparkSession.createDataFrame([("-" if k is None else "+" + k, v) for k, v in given], "source string, raw double")
+        by_source = by_source.join(named, "source", "left").withColumn("raw", F.coalesce("raw", F.lit(0.0)))
+    else:
+        by_source = by_source.withColumn("raw", F.pow(F.col("all").cast("double"), exponents[0]))
+    by_source = written(by_source, "sources")
+    spread = by_source.agg(F.sum("raw")).first()[0] or 1.0
+    by_source = by_source.withColumn("goal", F.col("raw") / F.lit(spread))
     b, c = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
 
     def factors(name: str, d: dict[str, float]) -> Column:
@@ -89,52 +104,63 @@ def fit(cells: DataFrame, exponents: tuple[float, float, float], iterations: int
         return F.element_at(pairs, F.col(f"x.{name}"))
 
     def raked() -> DataFrame:
+        """Weights whose sums by source meet their targets: a cell's share of its source's goal."""
         x = by_source.select("source", "goal", F.explode("strata").alias("x"))
         x = x.withColumn("m", F.col("x.tokens") * factors("lang", b) * factors("topic", c))
-        a = x.groupBy("source").agg((F.first("goal") / F.sum("m")).alias("a"))
-        return x.join(a, "source").select("source", "x.lang", "x.topic", "x.tokens", (F.col("a") * F.col("m")).alias("w"))
+        a = x.groupBy("source").agg((F.first("goal") / F.nullif(F.sum("m"), F.lit(0.0))).alias("a"))
+        return x.join(a, "source").select("source", "x.lang", "x.topic", "x.tokens", F.coalesce(F.col("a") * F.col("m"), F.lit(0.0)).alias("w"))
 
-    for _ in range(iterations if total else 0):
+    residual = 0.0
+    for _ in range(MOST_ROUNDS if total else 0):
         w = {(r.lang, r.topic): r.w for r in raked().groupBy("lang", "topic").agg(F.sum("w").alias("w")).collect()}
-        for k in b:
-            mass = sum(v for (l, _), v in w.items() if l == k)
-            scale = langs[k] / mass if mass > 0 else 1.0
-            b[k] *= scale
-            w = {(l, t): v * (scale if l == k else 1.0) for (l, t), v in w.items()}
-        for k in c:
-            mass = sum(v for (_, t), v in w.items() if t == k)
-            c[k] *= topics[k] / mass if mass > 0 else 1.0
-    return raked().select("source", "lang", "topic", "tokens", (F.col("w") * F.lit(total) / F.col("tokens")).alias("ratio"))
-
-
-def rated(docs: DataFrame, keep: float, exponents: tuple[float, float, float], iterations: int) -> DataFrame:
-    """docs with __tokens, __topic, __rate, __kept and __copies.
+        residual = 0.0
+        for i, (factor, goal) in enumerate(((b, langs), (c, topics))):
+            mass = dict.fromkeys(goal, 0.0)
+            for k, v in w.items():
+                mass[k[i]] += v
+            scale = {k: goal[k] / m if m > 0 else 1.0 for k, m in mass.items()}
+            residual = max([residual, *(abs(mass[k] - g) / (g or 1.0) for k, g in goal.items())])
+            for k, s in scale.items():
+                factor[k] *= s
+            w = {k: v * scale[k[i]] for k, v in w.items()}
+        if residual <= TOLERANCE:
+            break
+    return raked().select("source", "lang", "topic", (F.col("w") * F.lit(total) / F.col("tokens")).alias("ratio")), residual
+
+
+def rated(docs: DataFrame, keep: float, exponents: tuple[float, float, float], targets: dict[str, dict] | None, topic: str | None) -> DataFrame:
+    """row, tokens, topic, rate, kept and copies.
 
     A document's rate is keep times its cell's ratio of target to found weight.
     Rates over one keep the document for certain; what is over is carried as
     weight, or by whole copies and a draw for the rest.
     """
-    p = profiled(docs)
-    cells = written(p.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "cells")
-    ratio = written(fit(cells, exponents, iterations), "ratios").select(F.col("source").alias("__source"), F.col("lang").alias("__lang"), F.col("topic").alias("__topic"), (F.lit(keep) * F.col("ratio")).alias("__rate"))
-    j = p.join(ratio, ["__source", "__lang", "__topic"], "left")
-    rate = F.when(F.col("__tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("__rate", F.lit(1.0)))
-    draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    whole = F.floor("__rate")
-    copies = F.coalesce(whole + (draw < F.col("__rate") - whole).cast("long"), F.greatest(F.lit(1), whole))
-    return j.withColumn("__rate", rate).withColumns({"__kept": F.coalesce(draw < F.least(F.lit(1.0), "__rate"), F.lit(True)), "__copies": copies})
-
-
-def mixed(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = (0.5, 0.7, 0.7), iterations: int = ITERATIONS) -> DataFrame:
-    """docs with tokens, topic, probability, weight and kept (in place of columns of these names)."""
-    new = {"tokens": F.col("__tokens"), "topic": F.col("__topic"), "probability": F.least(F.lit(1.0), "__rate"), "weight": F.greatest(F.lit(1.0), "__rate"), "kept": F.col("__kept")}
-    return rated(docs, keep, exponents, iterations).select(*[c for c in docs.columns if c not in new], *[c.alias(k) for k, c in new.items()])
+    p = profiled(docs, topic)
+    cells = written(p.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells")
+    ratio = written(fit(cells, exponents, targets)[0], "ratios")
+    j = p.join(ratio, ["source", "lang", "topic"], "left")
+    rate = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.coalesce(F.lit(keep) * F.col("ratio"), F.lit(1.0)))
+    draw = F.conv(F.substring(F.md5(F.col("row.doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    whole = F.floor("rate")
+    copies = F.coalesce(whole + (draw < F.col("rate") - whole).cast("long"), F.greatest(F.lit(1), whole))
+    value = F.when(F.col("topic") != "-", F.expr("substring(topic, 2)"))
+    return j.withColumn("rate", rate).select("row", "tokens", value.alias("topic"), "rate", F.coalesce(draw < F.least(F.lit(1.0), "rate"), F.lit(True)).alias("kept"), copies.alias("copies"))
+
+
+def mixed(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = EXPONENTS, targets: dict[str, dict] | None = None, topic: str | None = None) -> DataFrame:
+    """docs with tokens, topic, probability, weight and kept (in place of columns of these names).
+
+    targets: {"source" | "lang" | "topic": {value: weight}}; topic: the name of a column, else the text's form.
+    """
+    new = {"tokens": F.col("tokens"), "topic": F.col("topic"), "probability": F.least(F.lit(1.0), "rate"), "weight": F.greatest(F.lit(1.0), "rate"), "kept": F.col("kept")}
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in new]
+    return rated(docs, keep, exponents, targets, topic).select(*own, *[c.alias(k) for k, c in new.items()])
 
 
-def drawn(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = (0.5, 0.7, 0.7), iterations: int = ITERATIONS) -> DataFrame:
+def drawn(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = EXPONENTS, targets: dict[str, dict] | None = None, topic: str | None = None) -> DataFrame:
     """The rows of docs that the mix draws, each as often as its rate asks for, so that the drawn tokens meet the targets."""
-    r = rated(docs, keep, exponents, iterations).where("__copies > 0")
-    return r.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    r = rated(docs, keep, exponents, targets, topic).where("copies > 0")
+    return r.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
@@ -142,7 +168,7 @@ def op9(spark, sf_dir: str) -> DataFrame:
     return mixed(docs).select("doc_id", "tokens", "topic", F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"), "kept")
 
 
-def sql(keep: float = 0.6, exponents: tuple[float, float, float] = (0.5, 0.7, 0.7), iterations: int = ITERATIONS) -> str:
+def sql(keep: float = 0.6, exponents: tuple[float, float, float] = EXPONENTS, rounds: int = MOST_ROUNDS) -> str:
     """The same in DuckDB SQL: one common table for each rake."""
     words = r"[^\x20\t-\r]+"
     out = [
@@ -157,7 +183,7 @@ def sql(keep: float = 0.6, exponents: tuple[float, float, float] = (0.5, 0.7, 0.
     for k, e in zip("slt", exponents):
         out.append(f"g{k} AS (SELECT {k}, pow(sum(n), {e}) / sum(pow(sum(n), {e})) OVER () AS goal FROM w0 GROUP BY {k})")
     last = "w0"
-    for i, k in enumerate([*"slt" * iterations, "s"], 1):
+    for i, k in enumerate([*"slt" * rounds, "s"], 1):
         out.append(f"w{i} AS MATERIALIZED (SELECT s, l, t, n, w * goal / sum(w) OVER (PARTITION BY {k}) AS w FROM {last} JOIN g{k} USING ({k}))")
         last = f"w{i}"
     return ", ".join(out) + f""", r AS (

@@ -10,7 +10,7 @@ def test_documents(spark):
 
 def test_marginals_meet_their_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    m = mixing.mixed(docs, keep=0.01, iterations=40)  # no rate reaches one
+    m = mixing.mixed(docs, keep=0.01)  # no rate reaches one
     rows = m.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("n"), F.sum(F.col("tokens") * F.col("probability")).alias("w")).collect()
     for name, e in (("source", 0.5), ("lang", 0.7), ("topic", 0.7)):
         n, w = {}, {}
@@ -19,7 +19,7 @@ def test_marginals_meet_their_targets(spark):
             w[r[name]] = w.get(r[name], 0) + r.w
         goal = {k: v**e for k, v in n.items()}
         for k in n:
-            assert abs(w[k] / sum(w.values()) - goal[k] / sum(goal.values())) < 2e-3
+            assert abs(w[k] / sum(w.values()) - goal[k] / sum(goal.values())) < 1e-6
 
 
 def test_edges(spark, tmp_path):
@@ -40,3 +40,34 @@ def test_drawn_rows_meet_raised_targets(spark):
     want = sum(r.tokens * r.weight for r in rows if r.weight > 1)
     got = sum(r.tokens * n[r.doc_id] for r in rows if r.weight > 1)
     assert abs(got / want - 1) < 0.1
+
+
+def test_given_targets_are_met_by_what_is_drawn(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang", "source")
+    targets = {"lang": {"en": 2, "fr": 3, "de": 3, "es": 2}, "topic": {"prose": 0.9, "lines": 0.04, "figures": 0.02, "shouting": 0.04}}
+    form = mixing.mixed(docs).select("doc_id", "topic", "tokens")
+    got = mixing.drawn(docs, targets=targets).join(form, "doc_id")
+    for name in ("lang", "topic"):
+        n = {r[name]: r.n for r in got.groupBy(name).agg(F.sum("tokens").alias("n")).collect()}
+        for k, v in targets[name].items():
+            assert abs(n[k] / sum(n.values()) - v / sum(targets[name].values())) < 0.03, (name, k)
+
+
+def test_fit_converges_and_tells_what_is_out_of_reach(spark):
+    cells = spark.createDataFrame([("+a", "+x", "+t", 10), ("+a", "+y", "+t", 30), ("+b", "+x", "+t", 5), ("+b", "+y", "+t", 5)], "source string, lang string, topic string, tokens long")
+    ratio, residual = mixing.fit(cells, targets={"source": {"a": 1, "b": 1}, "lang": {"x": 1, "y": 3}})
+    assert residual < 1e-9
+    w = {(r.source, r.lang): r.ratio for r in ratio.collect()}
+    assert abs(w["+a", "+x"] * 10 + w["+a", "+y"] * 30 - 25) < 1e-6 and abs(w["+a", "+x"] * 10 + w["+b", "+x"] * 5 - 12.5) < 1e-6
+    lone = spark.createDataFrame([("+a", "+x", "+t", 10), ("+b", "+y", "+t", 30)], cells.schema)
+    assert mixing.fit(lone, targets={"source": {"a": 1, "b": 1}, "lang": {"x": 9, "y": 1}})[1] > 0.1
+
+
+def test_topic_column_and_clashing_names(spark):
+    cols = ["tokens", "topic", "rate", "kept", "copies", "row", "p", "ratio", "weight"]
+    df = spark.createDataFrame([(i, "w " * (1 + i % 5), "en", f"s{i % 3}", *[f"k{i % 2}"] * 9) for i in range(60)], "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in cols))
+    out = mixing.drawn(df, keep=1.0, topic="topic")
+    assert out.columns == df.columns and out.schema == df.schema and out.count() > 0
+    assert set(out.subtract(df).collect()) == set()
+    assert {r.topic for r in mixing.mixed(df, topic="topic").collect()} == {"k0", "k1"}
+    assert mixing.drawn(df.limit(0)).collect() == []
