@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from pagelore.llm.common import bounded_batches, text_buffer, word_spans, written
 
-TOLERANCE, MOST_ROUNDS = 1e-9, 40
+TOLERANCE, MOST_ROUNDS = 1e-9, 25
 #: Exponents of the found shares of source, language and topic: 0 makes all alike, 1 leaves them as they are.
 EXPONENTS = (0.5, 0.7, 0.7)
 TOPICS = ("shouting", "figures", "lines", "prose")
@@ -99,16 +99,17 @@ def fit(cells: DataFrame, exponents: tuple[float, float, float] = EXPONENTS, tar
     by_source = by_source.withColumn("goal", F.col("raw") / F.lit(spread))
     b, c = dict.fromkeys(langs, 1.0), dict.fromkeys(topics, 1.0)
 
-    def factors(name: str, d: dict[str, float]) -> Column:
-        pairs = F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) if d else F.create_map(F.lit(""), F.lit(1.0))
-        return F.element_at(pairs, F.col(f"x.{name}"))
+    def factor_of(x: Column, name: str, d: dict[str, float]) -> Column:
+        pairs = F.create_map(*[F.lit(v) for kv in d.items() for v in kv]) if d else F.create_map(F.lit(""), F.lit(1.0))
+        return F.element_at(pairs, x[name])
 
     def raked() -> DataFrame:
         """Weights whose sums by source meet their targets: a cell's share of its source's goal."""
-        x = by_source.select("source", "goal", F.explode("strata").alias("x"))
-        x = x.withColumn("m", F.col("x.tokens") * factors("lang", b) * factors("topic", c))
-        a = x.groupBy("source").agg((F.first("goal") / F.nullif(F.sum("m"), F.lit(0.0))).alias("a"))
-        return x.join(a, "source").select("source", "x.lang", "x.topic", "x.tokens", F.coalesce(F.col("a") * F.col("m"), F.lit(0.0)).alias("w"))
+        m = F.transform("strata", lambda x: F.struct(x["lang"].alias("lang"), x["topic"].alias("topic"), x["tokens"].alias("tokens"), (x["tokens"] * factor_of(x, "lang", b) * factor_of(x, "topic", c)).alias("m")))
+        x = by_source.select("source", "goal", m.alias("strata"))
+        a = F.col("goal") / F.nullif(F.aggregate("strata", F.lit(0.0), lambda t, v: t + v["m"]), F.lit(0.0))
+        x = x.select("source", a.alias("a"), F.explode("strata").alias("x"))
+        return x.select("source", "x.lang", "x.topic", "x.tokens", F.coalesce(F.col("a") * F.col("x.m"), F.lit(0.0)).alias("w"))
 
     residual = 0.0
     for _ in range(MOST_ROUNDS if total else 0):
