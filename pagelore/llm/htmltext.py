@@ -4,19 +4,24 @@ A tree builder with implied tags turns a page into nodes; visibility rules drop
 what a browser would not show; a renderer walks the tree once and emits all
 visible text: blocks on lines of their own with blank lines around paragraphs,
 list items with their marks and indents, preformatted text as it stands, and
-tables with aligned columns. All walks use explicit stacks, so depth is bounded
-by memory only.
+tables with aligned columns over row and column spans. Cells wrap between words at
+WRAP columns, as in a window; a longer word stands out of its column in its line.
+All walks use explicit stacks, so depth is bounded by memory only.
 
-Nulls: null or empty html gives empty text and no title. Null ids, repeated
-rows and extra columns are passed through or ignored; any page is rendered by
-itself.
+Nulls: null or empty html gives empty text and no title. A null id keeps its row;
+repeated rows (ties) are rendered alike, very long pages whole, an empty table gives
+an empty one, and other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import textwrap
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,9 +31,9 @@ from pagelore.llm.common import bounded_batches
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Never shown. (An iframe's or object's fallback shows only where the browser can't load it.)
-HIDDEN = frozenset("head script style template noscript iframe object audio video canvas svg math datalist select textarea title meta link noframes".split())
+HIDDEN = frozenset("head script style template noscript iframe object audio video canvas datalist title meta link noframes defs desc metadata symbol annotation annotation-xml rp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl figure table hr fieldset".split())
-BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd figcaption details summary legend center dialog menu dir search caption option optgroup".split())
+BLOCKS = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd figcaption details summary legend center dialog menu dir search caption option optgroup textarea text".split())
 #: A start tag of the key ends an open element of the value, up to a barrier.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre search section summary table ul li dt dd".split())
 IMPLIED = {
@@ -47,10 +52,17 @@ IMPLIED = {
 #: What an end tag of an inline element or a paragraph may not reach through.
 SCOPE = frozenset("table td th caption html template".split())
 HEAD_ONLY = frozenset("base link meta title style script noscript template".split())
-INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
+#: Where a part of a table may stand; elements in between are ended. Text and other elements there go before the table.
+ROW_GROUPS = frozenset({"tbody", "thead", "tfoot"})
+CONTEXT = {"tr": ROW_GROUPS | {"table"}, "td": ROW_GROUPS | {"table", "tr"}, "th": ROW_GROUPS | {"table", "tr"}} | dict.fromkeys(("tbody", "thead", "tfoot", "caption", "colgroup"), frozenset({"table"}))
+BETWEEN_CELLS = ROW_GROUPS | {"table", "tr"}
+AT_HOME_THERE = frozenset(CONTEXT) | {"col", "script", "style", "template", "table"}
+GONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)\b", re.I)
 BLANK = re.compile(r"[ \t\n\f\r]+")
-#: Cells wider than this are not padded, so one huge cell does not blow up its column.
-WIDEST = 80
+INTEGER = re.compile(r"[ \t\n\f\r]*([-+]?\d+)")
+#: Columns at which the lines of a table cell wrap.
+WRAP = 80
 
 
 class Node:
@@ -94,6 +106,11 @@ class Tree(HTMLParser):
             self.end_of(frozenset({"p"}), SCOPE | {"button"})
         if tag in IMPLIED:
             self.end_of(*IMPLIED[tag])
+        if tag in CONTEXT and self.open.get("table"):
+            while self.stack[-1].name not in CONTEXT[tag] and len(self.stack) > 1:
+                self.pop()
+        elif tag == "table":
+            self.end_of(frozenset({"table"}), frozenset({"td", "th", "caption", "table"}) - {"table"}) if self.stack[-1].name in BETWEEN_CELLS else None
         if tag in ("td", "th") and self.stack[-1].name in ("table", "tbody", "thead", "tfoot"):
             self.push("tr", {})
         self.push(tag, dict(attrs))
@@ -102,10 +119,20 @@ class Tree(HTMLParser):
 
     def push(self, tag: str, attrs: dict[str, str | None]) -> None:
         node = Node(tag, attrs)
-        self.stack[-1].children.append(node)
+        self.put(node, tag in AT_HOME_THERE or (tag == "input" and (attrs.get("type") or "").lower() == "hidden"))
         self.stack.append(node)
         self.open[tag] = self.open.get(tag, 0) + 1
 
+    def put(self, child: Node | str, at_home: bool) -> None:
+        """Adds a child, before the table if it may not stand between its cells."""
+        if at_home or self.stack[-1].name not in BETWEEN_CELLS or not self.open.get("table"):
+            self.stack[-1].children.append(child)
+            return
+        i = max(i for i, n in enumerate(self.stack) if n.name == "table")
+        siblings = self.stack[i - 1].children
+        at = max((k for k in range(len(siblings) - 1, -1, -1) if siblings[k] is self.stack[i]), default=len(siblings))
+        siblings.insert(at, child)
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
@@ -120,15 +147,32 @@ class Tree(HTMLParser):
         if data:
             if self.stack[-1].name == "head" and data.strip():
                 self.end_of(frozenset({"head"}), frozenset())
-            self.stack[-1].children.append(data)
+            self.put(data, not data.strip())
 
 
-def visible(n: Node) -> bool:
-    if n.name in HIDDEN or "hidden" in n.attrs and n.attrs["hidden"] != "until-found":
-        return False
-    if n.name == "dialog" and "open" not in n.attrs:
+def laid_out(n: Node) -> bool:
+    """Whether an element takes part in the layout."""
+    if n.name in HIDDEN or "hidden" in n.attrs or (n.name == "dialog" and "open" not in n.attrs):
         return False
-    return not INVISIBLE.search(n.attrs.get("style") or "")
+    return not GONE.search(n.attrs.get("style") or "")
+
+
+def shown_children(n: Node) -> list:
+    """The children that an element shows: of closed details the summary, of a drop-down list the chosen option."""
+    if n.name == "details" and "open" not in n.attrs:
+        return next(([c] for c in n.children if isinstance(c, Node) and c.name == "summary"), [])
+    if n.name == "select" and "multiple" not in n.attrs and number(n.attrs.get("size"), 1) <= 1:
+        options, stack = [], list(reversed(n.children))
+        while stack:
+            c = stack.pop()
+            if isinstance(c, Node):
+                if c.name == "option":
+                    options.append(c)
+                else:
+                    stack.extend(reversed(c.children))
+        chosen = [c for c in options if "selected" in c.attrs] or [c for c in options if "disabled" not in c.attrs and "hidden" not in c.attrs]
+        return chosen[-1:] if any("selected" in c.attrs for c in options) else chosen[:1]
+    return n.children
 
 
 class Lines:
@@ -167,32 +211,68 @@ class Lines:
         self.blank = True
 
 
-def number(v: str | None, least: int, most: int) -> int:
-    return min(max(int(v), least), most) if v and re.fullmatch(r"\s*-?\d{1,9}\s*", v) else least
+def number(v: str | None, default: int) -> int:
+    """An attribute's integer; one that does not fit 32 bits is none, as in browsers."""
+    m = INTEGER.match(v or "")
+    if not m or len(m[1].lstrip("+-").lstrip("0")) > 10:
+        return default
+    n = int(m[1])
+    return n if -(1 << 31) <= n < 1 << 31 else default
+
+
+def columns(s: str) -> int:
+    """Columns that a line takes: wide characters two, combining ones none."""
+    if s.isascii():
+        return len(s)
+    return sum(2 if unicodedata.east_asian_width(c) in "WF" else 0 if unicodedata.combining(c) else 1 for c in s)
 
 
 class Table:
+    """Rows of cells (lines, column span, row span) and the row groups they end in."""
+
     def __init__(self):
-        self.rows: list[list[tuple[list[str], int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+        self.ends: list[int] = []
+
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """Of each row the cells' columns, spans and lines; cells that reach down take their columns in the rows below."""
+        out, busy = [], {}  # busy: column -> the first row in which it is free
+        ends = sorted({*self.ends, len(self.rows)})
+        for r, row in enumerate(self.rows):
+            at, cells = 0, []
+            last = next(e for e in ends if e > r)
+            for lines, span, down in row:
+                while busy.get(at, 0) > r:
+                    at += 1
+                free = last if down == 0 else min(r + down, last)
+                if free > r + 1:
+                    busy.update(dict.fromkeys(range(at, at + span), free))
+                cells.append((at, span, [w for x in lines for w in (textwrap.wrap(x, WRAP, break_long_words=False, break_on_hyphens=False, drop_whitespace=True) if columns(x) > WRAP else [x])]))
+                at += span
+            out.append(cells)
+        return out
 
     def drawn(self) -> list[str]:
+        rows = self.placed()
         width: dict[int, int] = {}
-        for row in self.rows:
-            at = 0
-            for lines, span in row:
-                w = max(map(len, lines), default=0)
-                if span == 1 and w <= WIDEST:
-                    width[at] = max(width.get(at, 0), w)
-                at += span
+        for row in rows:
+            for at, span, lines in row:
+                if span == 1:
+                    width[at] = max([width.get(at, 0), *(w for x in lines if (w := columns(x)) <= WRAP)])
+        # Columns that no cell has to itself take no room.
+        used = sorted(width)
+        left = dict(zip(used, accumulate((width[c] + 2 for c in used), initial=0)))
         out = []
-        for row in self.rows:
-            for i in range(max((len(lines) for lines, _ in row), default=0)):
-                at, parts = 0, []
-                for lines, span in row:
-                    w = sum(width.get(c, 0) for c in range(at, min(at + span, at + 100))) + 2 * (min(span, 100) - 1)
-                    parts.append((lines[i] if i < len(lines) else "").ljust(w))
-                    at += span
-                out.append("  ".join(parts).rstrip())
+        for row in rows:
+            for i in range(max((len(lines) for *_, lines in row), default=0)):
+                line, end = "", 0
+                for at, _, lines in row:
+                    k = bisect_left(used, at)
+                    start = left[used[k]] if k < len(used) else left[used[-1]] + width[used[-1]] + 2 if used else 0
+                    if i < len(lines) and lines[i]:
+                        room = max(start - end, 2 if end else 0)
+                        line, end = line + " " * room + lines[i], end + room + columns(lines[i])
+                out.append(line.rstrip())
         return out
 
 
@@ -205,11 +285,14 @@ def render(root: Node) -> str:
     lists: list[list] = []  # open ones: kind, next number
     tables: list[Table] = []
     pre = 0
-    stack: list[tuple[Node | str, bool, object]] = [(root, True, None)]
+    # Nodes to enter (or to leave, with what was begun) and whether they are visible.
+    stack: list[tuple[Node | str, bool, object, bool]] = [(root, True, None, True)]
     while stack:
-        n, entering, kept = stack.pop()
+        n, entering, kept, seen = stack.pop()
         out = outs[-1]
         if isinstance(n, str):
+            if not seen:
+                continue
             if pre:
                 first, *rest = n.replace("\r\n", "\n").split("\n")
                 out.now.append(first)
@@ -221,8 +304,10 @@ def render(root: Node) -> str:
             continue
         name = n.name
         if entering:
-            if not visible(n):
+            if not laid_out(n):
                 continue
+            if v := VISIBILITY.search(n.attrs.get("style") or ""):
+                seen = v[1].lower() == "visible"
             if name == "br":
                 out.put("".join(out.now))
                 out.now, out.gap = [], False
@@ -234,7 +319,7 @@ def render(root: Node) -> str:
                 continue
             if name in ("img", "input", "area", "col", "embed", "wbr"):
                 shown = n.attrs.get("alt") if name == "img" else n.attrs.get("value") if name == "input" and (n.attrs.get("type") or "text").lower() in ("submit", "button", "reset", "text") else ""
-                if shown:
+                if shown and seen:
                     out.word(shown)
                 continue
             if name == "tr" and tables:
@@ -255,45 +340,52 @@ def render(root: Node) -> str:
             elif name in BLOCKS:
                 out.end()
             if name in ("ul", "ol", "menu", "dir"):
-                lists.append([name, number(n.attrs.get("start"), 1, 10**9) if name == "ol" else 0])
+                lists.append([name, number(n.attrs.get("start"), 1) if name == "ol" else 0])
+            if name == "li" and lists:
+                lists[-1][1] = number(n.attrs.get("value"), lists[-1][1])
+                kept = ("item", lists[-1][1])
             if name == "blockquote" or name == "dd":
                 outs.append(Lines())
                 kept = "indent"
-            if name == "pre":
+            if name in ("pre", "textarea"):
                 pre += 1
                 if n.children and isinstance(n.children[0], str) and n.children[0][:1] == "\n":
                     n.children[0] = n.children[0][1:]
-            if name == "q":
+            if name == "q" and seen:
                 out.word('"')
-            stack.append((n, False, kept))
-            stack.extend((c, True, None) for c in reversed(n.children))
+            stack.append((n, False, kept, seen))
+            stack.extend((c, True, None, seen) for c in reversed(shown_children(n)))
             continue
         # Leaving.
-        if name == "q":
+        if name == "q" and seen:
             out.gap = False
             out.word('"')
-        if name == "pre":
+        if name in ("pre", "textarea"):
             pre -= 1
+        if name in ROW_GROUPS and tables:
+            tables[-1].ends.append(len(tables[-1].rows))
         if name in ("ul", "ol", "menu", "dir"):
             lists.pop()
         if kept == "cell":
             out.end()
             outs.pop()
-            tables[-1].rows[-1].append((out.lines, number(n.attrs.get("colspan"), 1, 1000)))
+            # The bounds of spans are those of HTML.
+            span, down = number(n.attrs.get("colspan"), 1), number(n.attrs.get("rowspan"), 1)
+            tables[-1].rows[-1].append((out.lines, min(span, 1000) if span > 0 else 1, min(down, 65534) if down >= 0 else 1))
         elif kept == "table":
             for line in tables.pop().drawn():
                 out.put(line)
             out.space()
-        elif kept in ("item", "indent"):
+        elif kept == "indent" or name == "li":
             out.end()
             outs.pop()
             mark = "    "
-            if kept == "item":
-                mark = MARKS[(len(lists) or 1) % 3 - 1] if not lists or lists[-1][0] != "ol" else f"{number(n.attrs.get('value'), lists[-1][1], 10**9)}. "
+            if name == "li":
+                mark = f"{kept[1]}. " if lists and lists[-1][0] == "ol" else MARKS[(len(lists) or 1) % 3 - 1]
                 if lists:
-                    lists[-1][1] += 1
+                    lists[-1][1] = kept[1] + 1
             for i, line in enumerate(out.lines):
-                outs[-1].put(mark + line if i == 0 and kept == "item" else (" " * len(mark) + line if line else ""))
+                outs[-1].put(mark + line if i == 0 and name == "li" else (" " * len(mark) + line if line else ""))
             if kept == "indent" and name == "blockquote":
                 outs[-1].space()
         elif name in SPACED and not (name in ("ul", "ol") and lists):

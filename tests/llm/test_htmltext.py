@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from pagelore.llm.htmltext import extract, extracted
@@ -6,7 +8,15 @@ PAGES = [
     ("<p>One<p>Two <b>bold</b>\n text</p>", "One\n\nTwo bold text"),
     ("<title>T &amp; x</title><div>a</div><div>b<br>c</div>", "a\nb\nc"),
     ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>after", "- a\n- b\n  * c\n- d\n\nafter"),
-    ("<ol start=9><li>x<li>y<li value=20>z<li>w</ol>", "9. x\n10. y\n20. z\n12. w"),
+    ("<ol start=9><li>x<li>y<li value=20>z<li>w</ol>", "9. x\n10. y\n20. z\n21. w"),
+    ("<ol><li value=7>a<li value=3>b<li>c<li value=-2>d<li value=99999999999>e</ol>", "7. a\n3. b\n4. c\n-2. d\n-1. e"),
+    ("<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e</table>", "a  b  c\n   d  e"),
+    ("<table><tr><td>k<td>漢字<td>x<tr><td>k<td>ab<td>y</table>", "k  漢字  x\nk  ab    y"),
+    ("<table>lost<tr><td>a<div>b</div><td>c</table>", "lost\n\na  c\nb"),
+    ("<details><summary>s</summary>no</details><details open><summary>t</summary>yes</details>", "s\nt\nyes"),
+    ("a<i style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</i>b", "ayesb"),
+    ("<textarea>\n two\n  lines</textarea><select><option>no<option selected>this</select>", " two\n  lines\nthis"),
+    ("<svg><title>no</title><text>label</text></svg><math><mi>x</mi></math>", "label\nx"),
     ("<table><tr><th>name<th>n<tr><td>long cell<td>1<tr><td>b<td>22</table>", "name       n\nlong cell  1\nb          22"),
     ("<table><caption>c</caption><tr><td colspan=2>wide one<td>x<tr><td>a<td>b<td>y</table>", None),
     ("a<script>no</script><style>no</style><span hidden>no</span><i style='display: none'>no</i><template>no</template>b", "ab"),
@@ -34,6 +44,8 @@ def test_title_and_wide_cells():
     assert extract("<title> A\n b </title>x")[1] == "A b"
     got = extract("<table>" + "<tr><td>" + "w" * 5000 + "<td>x" + "<tr><td>s<td>y" * 300 + "</table>")[0]
     assert len(got) < 10_000 and got.splitlines()[1] == "s  y"
+    rows = extract("<table><tr><td>" + "word " * 60 + "<td>x<tr><td>s<td>y</table>")[0].splitlines()
+    assert len(rows) == 5 and [r.index(c) for r, c in ((rows[0], "x"), (rows[4], "y"))] == [81 - 1 + 1] * 2 and " ".join(rows).split().count("word") == 60
 
 
 def test_deep_and_long_pages():
@@ -56,3 +68,63 @@ def test_edges(spark):
     df = spark.createDataFrame([(1, None, "t"), (None, "<p>x", "t"), (2, "", "t"), (2, "", "t")], "page_id long, html string, text string")
     assert sorted((str(r.page_id), r.text) for r in extracted(df).collect()) == [("1", ""), ("2", ""), ("2", ""), ("None", "x")]
     assert extracted(df.limit(0)).collect() == []
+
+
+class Page:
+    """Random pages written beside their text, by rules of their own: no parser and no tree."""
+
+    def __init__(self, seed):
+        self.r = random.Random(seed)
+
+    def words(self):
+        return " ".join(self.r.choice(["alpha", "beta", "gamma", "delta", "x", "über"]) for _ in range(self.r.randrange(1, 6)))
+
+    def inline(self):
+        w = self.words()
+        tag = self.r.choice(["b", "i", "span", "a", None])
+        hidden = self.r.choice(["", "", "<span hidden>no</span>", "<i style='display:none'>no</i>", "<script>no</script>", "<!-- no -->"])
+        return (f"<{tag}>{w}</{tag}>" if tag else w.replace(" ", " \n ")) + hidden, w
+
+    def paragraph(self):
+        html, text = self.inline()
+        return f"<p>{html}" + self.r.choice(["", "</p>"]), [text], True
+
+    def division(self):
+        html, text = self.inline()
+        return f"<div>{html}</div>", [text], False
+
+    def list_(self, depth=1):
+        html, lines = [], []
+        ordered = self.r.random() < 0.5
+        at = self.r.randrange(1, 12)
+        html.append(f"<ol start={at}>" if ordered else "<ul>")
+        for _ in range(self.r.randrange(1, 4)):
+            h, t = self.inline()
+            mark = f"{at}. " if ordered else "-*+"[(depth - 1) % 3] + " "
+            at += 1
+            below = self.list_(depth + 1) if depth < 3 and self.r.random() < 0.3 else ("", [], False)
+            html.append(f"<li>{h}{below[0]}" + self.r.choice(["", "</li>"]))
+            lines += [mark + t] + [" " * len(mark) + x for x in below[1]]
+        html.append("</ol>" if ordered else "</ul>")
+        return "".join(html), lines, True
+
+    def table(self):
+        cells = [[self.inline() for _ in range(3)] for _ in range(self.r.randrange(1, 4))]
+        wide = [max(len(row[i][1]) for row in cells) for i in range(3)]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td>{h}" + self.r.choice(["", "</td>"]) for h, _ in row) for row in cells) + "</table>"
+        return html, ["  ".join(t.ljust(w) for (_, t), w in zip(row, wide)).rstrip() for row in cells], True
+
+    def whole(self):
+        html, text, apart = "", [], False
+        for _ in range(self.r.randrange(1, 7)):
+            h, lines, spaced = self.r.choice([self.paragraph, self.division, self.list_, self.table])()
+            if text and (apart or spaced):
+                text.append("")
+            html, text, apart = html + h, text + lines, spaced
+        return html, "\n".join(text)
+
+
+def test_as_written_beside():
+    for seed in range(400):
+        html, text = Page(seed).whole()
+        assert extract(html)[0] == text, html
