@@ -1,6 +1,8 @@
 """Near-duplicates by Jaccard similarity of word shingles, exact at 0.8 or more.
 
-A text is the set of its shingles' hashes; texts of equal sets are one node.
+A text is the set of its shingles' hashes; texts of equal sets are one node. Only
+the first fifths of sets are stored; whole sets are made again, of one document for
+each node that some pair holds.
 Shingles are ordered by how often a bounded sample holds them, then by hash;
 two sets that share 8 of 9 parts of their sizes' sum (similarity 0.8) have
 their first common shingle within the first fifth of both. So every pair meets
@@ -8,12 +10,12 @@ in the bucket of such a shingle, and sizes and places rule out most others.
 What remains is compared in full.
 
 Pairs come in two rounds, so that a large group of near copies costs no
-square: first, pairs linked by SimHash and pairs with each bucket's first
-node; then, in every bucket, all pairs that the components so far leave apart.
+square: first, pairs linked by SimHash, and each node with one of its buckets'
+first nodes; then, in every bucket, all pairs that the components so far leave apart.
 The sample decides the cost only; the result is exact but for collisions of
 64-bit hashes.
 
-Nulls: as in ``simhash``; texts without words are alike.
+Nulls: as in ``simhash``; texts without words are alike. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelore.llm.common import bounded_batches, components, parts, ragged, sorted_groups, text_buffer, written
-from pagelore.llm.simhash import folded, links, lowest_rows, shingle_hashes
+from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows, shingle_hashes
 
 #: Nodes that the shingle sample holds, how many of them make a shingle common, and how many common ones are kept.
 SAMPLE_NODES, COMMON, MOST_COMMON = 4096, 3, 100_000
@@ -37,25 +39,19 @@ SEEN = 200_000
 STEP = 1 << 20
 
 
-def set_table(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, node (hash of the set), fp (SimHash), hashes (the set, sorted) of every document."""
-    bounded_batches(docs.sparkSession)
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, count = shingle_hashes(*text_buffer(b.column(1)), words)
-            fp = folded(h, count).view(np.int64)
-            owner = np.repeat(np.arange(len(count)), count)
-            h = h.view(np.int64)
-            h = h[np.lexsort((h, owner))]
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-            h = h[new]
-            at = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(count)))])
-            node = np.array([xxhash.xxh64_intdigest(h[i:j].tobytes(), 7) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(fp), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h))], ["doc_id", "node", "fp", "hashes"])
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, node long, fp long, hashes array<long>")
+def shingle_sets(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the sorted set of its shingles' hashes, one after another; where sets begin (n + 1); their hashes (nodes); the SimHashes."""
+    h, count = shingle_hashes(*text_buffer(text), words)
+    fp = folded(h, count).view(np.int64)
+    owner = np.repeat(np.arange(len(count)), count)
+    h = h.view(np.int64)
+    h = h[np.lexsort((h, owner))]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h = h[new]
+    at = np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(count)))])
+    node = np.array([xxhash.xxh64_intdigest(h[i:j].tobytes(), 7) for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], np.uint64).view(np.int64)
+    return h, at, node, fp
 
 
 def lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -64,49 +60,88 @@ def lists(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return col.values.to_numpy()[at[0] : at[-1]], (at - at[0]).astype(np.int64)
 
 
-def common_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def rows_of(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("mark"), F.col("text").cast("string"))
+
+
+def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted hashes that several nodes of a sample hold, and how many do."""
-    nodes = sets.select("node").distinct().count()
-    picked = sets.where(F.pmod(F.xxhash64("node"), F.lit(max(1, nodes // SAMPLE_NODES))) == 0).select("node", F.explode("hashes").alias("h")).distinct()
-    rows = picked.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
-    h, n = np.array([r.h for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+    picked = rows.where(F.pmod(F.xxhash64("mark"), F.lit(max(1, rows.count() // SAMPLE_NODES))) == 0).select("text")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, at, node, _ = shingle_sets(b.column(0), words)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, np.diff(at))), pa.array(h)], ["node", "h"])
+
+    counts = picked.mapInArrow(work, "node long, h long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
+    h, n = np.array([r.h for r in found], np.int64), np.array([r.n for r in found], np.int64)
     return h[np.argsort(h)], n[np.argsort(h)]
 
 
-def heads(sets: DataFrame) -> DataFrame:
-    """k (shingle), node, size, place: the first fifth of each set in the common order, where k has several nodes; low is k's first node and low_size its size."""
-    common, often = common_shingles(sets)
+def head_table(rows: DataFrame, words: int) -> DataFrame:
+    """doc_id, mark, node (hash of the set), fp (SimHash), size and head (the first fifth of the set in the common order) of every document."""
+    common, often = common_shingles(rows, words)
 
-    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node = b.column(0).to_numpy()
-            h, at = lists(b.column(1))
+            h, at, node, fp = shingle_sets(b.column(2), words)
             size = np.diff(at)
             rank = np.zeros(len(h), np.int64)
             if len(common):
                 i = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 rank = np.where(common[i] == h, often[i], 0)
             h = h[np.lexsort((h, rank, np.repeat(np.arange(len(size)), size)))]
+            most = np.minimum(size, size - (4 * size + 4) // 5 + 1)
+            head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(h[ragged(at[:-1], most)]))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(fp), pa.array(size.astype(np.int32)), head], ["doc_id", "mark", "node", "fp", "size", "head"])
+
+    return rows.mapInArrow(work, "doc_id long, mark long, node long, fp long, size int, head array<long>")
+
+
+def in_several(sets: DataFrame) -> DataFrame:
+    """k (shingle), node, size, place: the heads' shingles that several nodes hold; low is k's first node and low_size its size."""
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            node, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+            h, at = lists(b.column(2))
             if len(seen) > SEEN:
                 seen.clear()
             some = np.array([x not in seen and not seen.add(x) for x in node.tolist()], bool)
-            most = np.where(some, np.minimum(size, size - (4 * size + 4) // 5 + 1), 0)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[ragged(at[:-1], most)], np.repeat(node, most), np.repeat(size, most).astype(np.int32), ragged(np.zeros_like(most), most).astype(np.int32))], ["k", "node", "size", "place"])
+            most = np.where(some, np.diff(at), 0)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h[ragged(at[:-1], most)], np.repeat(node, most), np.repeat(size, most), ragged(np.zeros_like(most), most).astype(np.int32))], ["k", "node", "size", "place"])
 
     def several(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in sorted_groups(batches, ["k"]):
-            k, node, size, place = (t.column(c).combine_chunks().to_numpy() for c in ("k", "node", "size", "place"))
-            new = np.ones(len(k), dtype=bool)
-            new[1:] = (k[1:] != k[:-1]) | (node[1:] != node[:-1])
-            group = np.repeat(np.arange(len(at) - 1), np.diff(at))
-            first = at[group]
-            rows = np.flatnonzero(new & (np.bincount(group[new], minlength=len(at) - 1)[group] > 1))
-            for i in range(0, len(rows), STEP):
-                r = rows[i : i + STEP]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (k[r], node[r], size[r], place[r], node[first[r]], size[first[r]])], ["k", "node", "size", "place", "low", "low_size"])
-
-    dealt = sets.select("node", "hashes").mapInArrow(deal, "k long, node long, size int, place int").repartition(parts(sets.sparkSession), "k").sortWithinPartitions("k", "node")
+        names = ["k", "node", "size", "place"]
+        # The first row of the group that a batch leaves open, and whether it went out.
+        held: pa.RecordBatch | None = None
+        known = False
+        for b in batches:
+            if not b.num_rows:
+                continue
+            known &= held is not None and held.column(0)[0] == b.column(0)[0]
+            own = held is not None and held.column(0)[0] == b.column(0)[0]
+            t = pa.Table.from_batches([held, b] if own else [b]).combine_chunks()
+            k, node, size, place = (t.column(c).to_numpy() for c in names)
+            new = np.ones(len(k), bool)
+            new[1:] = k[1:] != k[:-1]
+            other = new.copy()
+            other[1:] |= node[1:] != node[:-1]
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            many = np.bincount(first[other], minlength=len(k))[first] > 1
+            if known:
+                many |= first == 0
+            go = other & many
+            go[0] &= not known
+            r, known = np.flatnonzero(go), bool(many[-1])
+            held = t.slice(int(first[-1]), 1).to_batches()[0]
+            for i in range(0, len(r), STEP):
+                x = r[i : i + STEP]
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k[x], node[x], size[x], place[x], node[first[x]], size[first[x]])], [*names, "low", "low_size"])
+
+    dealt = sets.select("node", "size", "head").mapInArrow(deal, "k long, node long, size int, place int").repartition(parts(sets.sparkSession), "k").sortWithinPartitions("k", "node")
     return dealt.mapInArrow(several, "k long, node long, size int, place int, low long, low_size int")
 
 
@@ -135,11 +170,22 @@ def apart(rows: DataFrame) -> DataFrame:
     return rows.repartition(parts(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(work, "a long, b long")
 
 
-def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of 0.8 or more."""
+def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose sets have a Jaccard similarity of 0.8 or more. One document of each node is read again."""
     pairs = written(pairs.where("a <> b").distinct(), "pairs")
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    some = written(sets.select("node", "hashes").join(needed, "node", "left_semi").dropDuplicates(["node"]), "compared")
+    one = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
+    one = written(one.select(F.col("x.doc_id").alias("id"), F.col("x.mark").alias("its")), "representatives")
+    if one.count() <= BROADCAST_ROWS:
+        one = F.broadcast(one)
+
+    def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, at, node, _ = shingle_sets(b.column(0), words)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h))], ["node", "hashes"])
+
+    read = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its")), "left_semi")
+    some = written(read.select("text").mapInArrow(sets_of, "node long, hashes array<long>"), "compared")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -151,21 +197,25 @@ def similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
 
     side = [some.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab"]
-    return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long")
+    return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
     """doc_id, component_id: every document and the smallest doc_id that it reaches by pairs of similarity 0.8 or more."""
-    sets = written(set_table(docs, words), "sets")
-    buckets = written(heads(sets), "heads")
+    bounded_batches(docs.sparkSession)
+    rows = rows_of(docs)
+    sets = written(head_table(rows, words), "heads")
+    buckets = written(in_several(sets), "buckets")
     firsts = sets.groupBy("fp").agg(F.min("node").alias("node"))
     linked = links(sets, radius).join(firsts.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
     alike = sets.select("fp", F.col("node").alias("y")).distinct().join(firsts.select("fp", F.col("node").alias("x")), "fp")
-    starred = buckets.where("5 * least(size, low_size) >= 4 * greatest(size, low_size)").select(F.col("node").alias("x"), F.col("low").alias("y"))
+    # Of the first nodes of its buckets, a node meets the one with which it shares most; the rest is for the second round.
+    starred = buckets.where("node <> low AND 5 * least(size, low_size) >= 4 * greatest(size, low_size)").groupBy("node", "low").agg(F.count(F.lit(1)).alias("n"))
+    starred = starred.groupBy(F.col("node").alias("x")).agg(F.max(F.struct("n", "low")).alias("m")).select("x", F.col("m.low").alias("y"))
     first = linked.select("x", "y").unionByName(alike.select("x", "y")).unionByName(starred).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    roots = written(components(similar(first, sets), name="jaccard"), "near")
+    roots = written(components(similar(first, sets, rows, words), name="jaccard"), "near")
     rooted = buckets.join(roots, "node", "left").select("k", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    rest = similar(apart(rooted), sets)
+    rest = similar(apart(rooted), sets, rows, words)
     ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
     rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     again = written(components(rest, name="jaccard"), "far").select(F.col("node").alias("root"), F.col("root").alias("top"))

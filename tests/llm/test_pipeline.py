@@ -6,7 +6,7 @@ from collections import defaultdict
 
 import pytest
 from test_bpe import oracle  # noqa: F401
-from test_simhash import brute as simhash_brute
+from test_jaccard import brute as near_brute
 
 import corpus_pipeline as cp
 from pagelore.llm import mixing
@@ -43,14 +43,14 @@ def test_stages(spark, oracle, tmp_path):  # noqa: F811
     assert set(text(d0)) - set(text(d1)) == {9001, 9002, 9003, 9004}
     want = lines_deduplicated(list(text(d1).items()))
     assert text(d2) == want and all(r.n_chars == len(r.text) for r in d2.collect())
-    assert set(text(d3)) == {d for d, _, c in simhash_brute(list(text(d2).items())) if d == c}
+    assert set(text(d3)) == {d for d, c in near_brute(list(text(d2).items())) if d == c}
     kept = {r.doc_id for r in mixing.mixed(d3).where("kept").collect()}
     assert set(text(d4)) == kept and 0 < len(kept) < d3.count()
     final = {r.doc_id: r for r in d5.collect()}
     assert set(final) == kept
     for d, t in text(d4).items():
         ids = oracle.encode_ordinary(t)
-        assert (final[d].n_tokens, final[d].decoded_sha256) == (len(ids), hashlib.sha256(t.encode()).hexdigest())
+        assert (final[d].n_tokens, final[d].ids, final[d].decoded_sha256) == (len(ids), ids, hashlib.sha256(t.encode()).hexdigest())
 
 
 def test_run(spark, tmp_path):
