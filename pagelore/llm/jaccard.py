@@ -33,6 +33,8 @@ from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows, shi
 
 #: Nodes that the shingle sample holds, how many of them make a shingle common, and how many common ones are kept.
 SAMPLE_NODES, COMMON, MOST_COMMON = 4096, 3, 100_000
+#: Bins that a set's hashes are counted in: sets whose bins can't hold enough common hashes are not compared.
+BINS = 128
 #: Nodes that a task remembers to have dealt out.
 SEEN = 200_000
 #: Pairs looked at in one step.
@@ -80,23 +82,25 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 
 
 def head_table(rows: DataFrame, words: int) -> DataFrame:
-    """doc_id, mark, node (hash of the set), fp (SimHash), size and head (the first fifth of the set in the common order) of every document."""
+    """doc_id, mark, node (hash of the set), fp (SimHash), size, bins (counts, 255 for that or more) and head (the first fifth of the set in the common order) of every document."""
     common, often = common_shingles(rows, words)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, at, node, fp = shingle_sets(b.column(2), words)
             size = np.diff(at)
+            owner = np.repeat(np.arange(len(size)), size)
+            bins = np.minimum(np.bincount(owner * BINS + (h & (BINS - 1)), minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
             rank = np.zeros(len(h), np.int64)
             if len(common):
                 i = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 rank = np.where(common[i] == h, often[i], 0)
-            h = h[np.lexsort((h, rank, np.repeat(np.arange(len(size)), size)))]
+            h = h[np.lexsort((h, rank, owner))]
             most = np.minimum(size, size - (4 * size + 4) // 5 + 1)
             head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(h[ragged(at[:-1], most)]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(fp), pa.array(size.astype(np.int32)), head], ["doc_id", "mark", "node", "fp", "size", "head"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(fp), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in bins], pa.binary()), head], ["doc_id", "mark", "node", "fp", "size", "bins", "head"])
 
-    return rows.mapInArrow(work, "doc_id long, mark long, node long, fp long, size int, head array<long>")
+    return rows.mapInArrow(work, "doc_id long, mark long, node long, fp long, size int, bins binary, head array<long>")
 
 
 def in_several(sets: DataFrame) -> DataFrame:
@@ -172,7 +176,23 @@ def apart(rows: DataFrame) -> DataFrame:
 
 def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of nodes whose sets have a Jaccard similarity of 0.8 or more. One document of each node is read again."""
-    pairs = written(pairs.where("a <> b").distinct(), "pairs")
+    some = sets.groupBy("node").agg(F.first("size").alias("size"), F.first("bins").alias("bins"))
+    ends = [some.select(F.col("node").alias(c), F.col("size").alias(f"size_{c}"), F.col("bins").alias(f"bins_{c}")) for c in "ab"]
+
+    def may(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in (3, 5))
+            common = np.minimum(x, y).astype(np.int64)
+            size = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
+            good = (9 * common.sum(1) >= 4 * size) | (common == 255).any(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
+
+    binned = pairs.where("a <> b").distinct().join(ends[0], "a").join(ends[1], "b").select("a", "b", "size_a", "bins_a", "size_b", "bins_b")
+    pairs = written(binned.mapInArrow(may, "a long, b long"), "pairs")
+    if pairs.count() <= BROADCAST_ROWS:
+        pairs = F.broadcast(pairs)
     needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     one = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
     one = written(one.select(F.col("x.doc_id").alias("id"), F.col("x.mark").alias("its")), "representatives")
@@ -197,7 +217,7 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
 
     side = [some.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab"]
-    return pairs.join(side[0], "a").join(side[1], "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long").distinct()
+    return side[0].join(pairs, "a").join(side[1], "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
