@@ -28,13 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import bounded_batches, components, parts, ragged, sorted_groups, text_buffer, written
+from pagelore.llm.common import bounded_batches, components, parts, ragged, sorted_groups, spans, text_buffer, written
 from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows, shingle_hashes
 
 #: Nodes that the shingle sample holds, how many of them make a shingle common, and how many common ones are kept.
 SAMPLE_NODES, COMMON, MOST_COMMON = 4096, 3, 100_000
 #: Bins that a set's hashes are counted in: sets whose bins can't hold enough common hashes are not compared.
 BINS = 128
+#: Bytes of sets that are compared in one place.
+TILE_BYTES = 16 << 20
 #: Nodes that a task remembers to have dealt out.
 SEEN = 200_000
 #: Pairs looked at in one step.
@@ -191,33 +193,57 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> D
 
     binned = pairs.where("a <> b").distinct().join(ends[0], "a").join(ends[1], "b").select("a", "b", "size_a", "bins_a", "size_b", "bins_b")
     pairs = written(binned.mapInArrow(may, "a long, b long"), "pairs")
-    if pairs.count() <= BROADCAST_ROWS:
-        pairs = F.broadcast(pairs)
-    needed = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    one = sets.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
-    one = written(one.select(F.col("x.doc_id").alias("id"), F.col("x.mark").alias("its")), "representatives")
+    # Sets that pairs connect meet in one place, each once; large clusters are dealt to cells of two tiles.
+    linked = written(components(pairs, name="clusters"), "clusters")
+    members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    sized = written(members.join(some.select("node", "size"), "node"), "members")
+    tiles = sized.groupBy("root").agg(F.ceil(F.sum(F.col("size").cast("long")) * 8 / TILE_BYTES).cast("int").alias("tiles"))
+    dealt = sized.join(tiles, "root").select("node", "root", "tiles", F.pmod(F.xxhash64("node", F.lit(3)), "tiles").cast("int").alias("tile"))
+    dealt = written(dealt, "tiles")
+    one = sets.join(dealt, "node").groupBy("root", "tiles", "tile", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
+    one = written(one.select("root", "tiles", "tile", F.col("x.doc_id").alias("id"), F.col("x.mark").alias("its")), "representatives")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
 
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            root, many, tile = (b.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3))
             h, at, node, _ = shingle_sets(b.column(0), words)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h))], ["node", "hashes"])
-
-    read = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its")), "left_semi")
-    some = written(read.select("text").mapInArrow(sets_of, "node long, hashes array<long>"), "compared")
+            row = np.repeat(np.arange(len(node)), many)
+            other = ragged(np.zeros(len(node), np.int64), many)
+            cell = np.minimum(tile[row], other) * many[row] + np.maximum(tile[row], other)
+            made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h))
+            for lo, hi in spans(np.diff(at)[row], 1 << 18):
+                r = row[lo:hi]
+                columns = [pa.array(root[r]), pa.array(cell[lo:hi].astype(np.int32)), pa.array(np.zeros(len(r), np.int32)), pa.array(node[r]), pa.nulls(len(r), pa.int64()), made.take(pa.array(r))]
+                yield pa.RecordBatch.from_arrays(columns, ["root", "cell", "kind", "a", "b", "hashes"])
+
+    read = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its"))).select("text", "root", "tiles", "tile")
+    side = [dealt.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"), F.col("tiles").alias(f"n{c}"), F.col("tile").alias(f"t{c}")) for c in "ab"]
+    asked = pairs.join(side[0], "a").join(side[1].select("b", "tb"), "b")
+    cell = F.least("ta", "tb") * F.col("na") + F.greatest("ta", "tb")
+    asked = asked.select(F.col("ra").alias("root"), cell.alias("cell"), F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("hashes"))
+    kind = "root long, cell int, kind int, a long, b long, hashes array<long>"
+    meeting = read.mapInArrow(sets_of, kind).unionByName(asked).repartition(parts(sets.sparkSession), "root", "cell").sortWithinPartitions("root", "cell", "kind")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
         for b in batches:
-            (x, xs), (y, ys) = lists(b.column(2)), lists(b.column(3))
-            good = np.zeros(b.num_rows, dtype=bool)
+            root, at, which, x = (b.column(c).to_numpy() for c in range(4))
+            y = b.column(4).fill_null(0).to_numpy()
+            good = np.zeros(b.num_rows, bool)
+            hashes = b.column(5)
             for i in range(b.num_rows):
-                u, v = x[xs[i] : xs[i + 1]], y[ys[i] : ys[i + 1]]
+                if (root[i], at[i]) != now:
+                    now, held = (root[i], at[i]), {}
+                if which[i] == 0:
+                    held[x[i]] = hashes[i].values.to_numpy().copy()
+                    continue
+                u, v = held[x[i]], held[y[i]]
                 good[i] = len(u) > 0 and 9 * int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()) >= 4 * (len(u) + len(v))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"]).filter(pa.array(good))
 
-    side = [some.select(F.col("node").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab"]
-    return side[0].join(pairs, "a").join(side[1], "b").select("a", "b", "ha", "hb").mapInArrow(work, "a long, b long").distinct()
+    return meeting.mapInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
