@@ -35,7 +35,7 @@ class Scale:
 
     @property
     def percent(self) -> int:
-        return (self.num * 100 + self.den // 2) // self.den
+        return self.num * 100 // self.den
 
 
 def compute(src: tuple[int, int], dst: tuple[int, int], fill: bool = False) -> Scale:
@@ -43,4 +43,4 @@ def compute(src: tuple[int, int], dst: tuple[int, int], fill: bool = False) -> S
     (sw, sh), (dw, dh) = src, dst
     by_width = (dw * sh <= dh * sw) != fill
     s = Scale(dw, sw) if by_width else Scale(dh, sh)
-    return Scale(s.num, s.den, (dw - s.apply(sw)) // 2, (dh - s.apply(sh)) // 2)
+    return Scale(s.num, s.den, int((dw - s.apply(sw)) / 2), int((dh - s.apply(sh)) / 2))

@@ -87,7 +87,9 @@ def unquote(s: str) -> str:
 
 def parse(text: str) -> Parsed:
     out = Parsed([])
-    group, negate, dated, only_operators = Group(), False, False, True
+    group, negate = Group(), False
+    meant: list[str] = []
+    junk: list[str] = []
     groups = [group]
     for raw in lex(text):
         if raw == "OR":
@@ -105,18 +107,23 @@ def parse(text: str) -> Parsed:
                 out.after = day if out.after is None else max(out.after, day)
             else:
                 out.before = day if out.before is None else min(out.before, day)
-            dated, negate = True, False
+            negate = False
             continue
         column = FIELDS.get(name.lower()) if colon and '"' not in name else None
         words = unquote(rest if column else token)
         if any(c.isalnum() for c in words):
-            (group.excluded if minus or negate else group.required).append(Term(words.strip(), column))
-            only_operators = False
+            term = Term(words.strip(), column)
+            if minus or negate:
+                group.excluded.append(term)
+            else:
+                group.required.append(term)
+                meant.append(term.text)
+        else:
+            junk.append(raw)
+            meant.append(raw)
         negate = False
     out.groups = [g for g in groups if g.required]
-    out.semantic_text = " ".join(t.text for g in out.groups for t in g.required)
-    if not out.groups and only_operators and not dated:
-        out.residual = out.semantic_text = text.strip()
+    out.semantic_text, out.residual = " ".join(meant), " ".join(junk)
     return out
 
 

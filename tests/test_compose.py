@@ -46,7 +46,7 @@ def test_hashes_follow_content():
 
 def test_small_things():
     assert compute((9144000, 5143500), (12192000, 6858000)).apply(900000) == 1200000
-    assert Scale(4, 3).percent == 133
+    assert Scale(4, 3).percent == 133 and Scale(2, 3).percent == 66
     assert allows_harvest(0) and allows_harvest(8) and not allows_harvest(2) and not allows_harvest(4)
     assert classify_graphic("http://x/drawingml/2006/chart") == "chart" and classify_graphic("q") == "unknown-shape"
     assert resolve("ppt/slides/slide1.xml", "../media/i.png") == "ppt/media/i.png" == resolve("x", "/ppt/media/i.png")

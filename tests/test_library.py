@@ -44,26 +44,26 @@ def test_rescan_changes_nothing(lib):
 
 
 def test_records(lib):
-    assert sorted(r.title for r in lib.decks().collect()) == ["Product Roadmap", "Quarterly Review"]
+    assert sorted(r.title for r in lib.decks().collect()) == ["Garden Plan", "Harbour Report"]
     s = {r.title: r for r in lib.slides().collect()}
-    assert s["Q3 Results"].body_text == "Q3 Results\nRevenue up 12%\nChurn down"
-    assert s["Q3 Results"].notes == "Speak to the revenue trend"
-    assert s["Outlook"].notes is None and not s["Outlook"].favorite
+    assert s["Cargo Figures"].body_text == "Cargo Figures\nTonnage grew\nDelays fell"
+    assert s["Cargo Figures"].notes == "Mention the tonnage of spring"
+    assert s["Berths"].notes is None and not s["Berths"].favorite
     with pytest.raises(LibraryError):
         lib.slide(1)
 
 
 def test_search(lib):
-    assert titles(lib, lib.search("revenue")) == ["Q3 Results"]
-    assert titles(lib, lib.search("zurich")) == ["Outlook"]
-    assert titles(lib, lib.search("title:themes")) == ["Themes"]
-    assert set(titles(lib, lib.search("deck:quarterly"))) == {"Q3 Results", "Outlook"}
-    assert set(titles(lib, lib.search("revenue OR compose"))) == {"Q3 Results", "Themes"}
-    assert titles(lib, lib.search("deck:quarterly NOT churn")) == ["Outlook"]
-    assert titles(lib, lib.search("revenue before:2001-01-01")) == []
-    assert len(ids(lib.search(""))) == len(ids(lib.search("-churn"))) == len(ids(lib.search("%%% ;;;"))) == 3
-    assert "<mark>Revenue</mark>" in lib.search("revenue").first().snippet
-    assert len(ids(lib.search("", Filters(deck_query="ROADMAP")))) == 1
+    assert titles(lib, lib.search("tonnage")) == ["Cargo Figures"]
+    assert titles(lib, lib.search("koln")) == ["Berths"]
+    assert titles(lib, lib.search("title:beds")) == ["Beds"]
+    assert set(titles(lib, lib.search("deck:harbour"))) == {"Cargo Figures", "Berths"}
+    assert set(titles(lib, lib.search("tonnage OR herbs"))) == {"Cargo Figures", "Beds"}
+    assert titles(lib, lib.search("deck:harbour NOT delays")) == ["Berths"]
+    assert titles(lib, lib.search("tonnage before:2001-01-01")) == []
+    assert len(ids(lib.search(""))) == len(ids(lib.search("-delays"))) == len(ids(lib.search("%%% ;;;"))) == 3
+    assert "<mark>Tonnage</mark>" in lib.search("tonnage").first().snippet
+    assert len(ids(lib.search("", Filters(deck_query="GARDEN")))) == 1
     for q in ['"', "NOT", "title:", "a OR", "((", "NEAR(", '"x', "-"]:
         lib.search(q).collect()
 
@@ -74,28 +74,28 @@ def test_vectors(lib):
     text = lib.pending_texts().collect()
     assert text == []
     assert lib.cleanup_orphan_embeddings() == 0
-    q3 = next(r.id for r in lib.slides().collect() if r.title == "Q3 Results")
-    body = "Q3 Results\nQ3 Results\nRevenue up 12%\nChurn down\nSpeak to the revenue trend"
+    q3 = next(r.id for r in lib.slides().collect() if r.title == "Cargo Figures")
+    body = "Cargo Figures\nCargo Figures\nTonnage grew\nDelays fell\nMention the tonnage of spring"
     got = lib._vector_pool(body, Filters(), 5).collect()
     assert [r.slide_id for r in got] == [q3] and got[0].score > 0.999
-    assert titles(lib, lib.search("revenue", Filters(mode="hybrid"))) == ["Q3 Results"]
+    assert titles(lib, lib.search("tonnage", Filters(mode="hybrid"))) == ["Cargo Figures"]
     assert lib.similar(q3).collect() == []
 
 
 def test_favorites_tags_and_saved(lib):
     s = {r.title: r.id for r in lib.slides().collect()}
-    assert lib.toggle_slide_favorite(s["Outlook"]) is True
-    assert titles(lib, lib.search("", Filters(favorites_only=True))) == ["Outlook"]
-    assert lib.toggle_slide_favorite(s["Outlook"]) is False
-    lib.set_slide_tags(s["Themes"], [" Plan ", "plan", "", "Next"])
+    assert lib.toggle_slide_favorite(s["Berths"]) is True
+    assert titles(lib, lib.search("", Filters(favorites_only=True))) == ["Berths"]
+    assert lib.toggle_slide_favorite(s["Berths"]) is False
+    lib.set_slide_tags(s["Beds"], [" Plan ", "plan", "", "Next"])
     assert [(r.name, r.n_slides) for r in lib.tags().collect()] == [("Next", 1), ("Plan", 1)]
     tag = {r.name: r.id for r in lib.tags().collect()}
     with pytest.raises(LibraryError):
         lib.rename_tag(tag["Next"], "PLAN")
-    lib.set_slide_tags(s["Themes"], ["PLAN"])
-    assert [r.name for r in lib.slide_tags(s["Themes"]).collect()] == ["Plan"]
-    assert titles(lib, lib.search("", Filters(tag_id=tag["Plan"]))) == ["Themes"]
-    lib.save_search("mine", "revenue", Filters(deck_query="x"))
+    lib.set_slide_tags(s["Beds"], ["PLAN"])
+    assert [r.name for r in lib.slide_tags(s["Beds"]).collect()] == ["Plan"]
+    assert titles(lib, lib.search("", Filters(tag_id=tag["Plan"]))) == ["Beds"]
+    lib.save_search("mine", "tonnage", Filters(deck_query="x"))
     row = lib.saved_searches().first()
     assert (row.name, row.position, row.filters.deck_query) == ("mine", 0, "x")
     lib.delete_saved_search(row.id)
@@ -104,10 +104,10 @@ def test_favorites_tags_and_saved(lib):
 def test_histories(lib):
     clock = iter([1000, 1010, 1020, 5000])
     lib.now = lambda: next(clock)
-    for q in ("rev", "revenue", "  "):
+    for q in ("ton", "tonnage", "  "):
         lib.record_search(q, 1)
-    lib.record_search("churn", 2)
-    assert [r.query for r in lib.table("search_history").orderBy("id").collect()] == ["revenue", "churn"]
+    lib.record_search("delays", 2)
+    assert [r.query for r in lib.table("search_history").orderBy("id").collect()] == ["tonnage", "delays"]
     lib.now = lambda: 9000
     lib.record_export("out.pptx", "t", [("a", 1), ("a", 3), ("b", 2)])
     lib.record_export("out.pptx", "t", [("a", 1)])
@@ -141,7 +141,7 @@ def test_excludes(lib):
     with pytest.raises(LibraryError):
         lib.set_root_excludes(root, ["ok*", "[bad"])
     assert lib.roots().first().exclude_globs == []
-    lib.set_root_excludes(root, [" finance* ", ""])
+    lib.set_root_excludes(root, [" harbour* ", ""])
     assert lib.scan()["removed"] == 1
     lib.set_root_excludes(root, [])
     assert lib.scan()["indexed"] == 1
@@ -151,11 +151,11 @@ def test_command_line(spark, lib, tmp_path, capsys):
     decks, tables = str(lib.base / "decks"), str(tmp_path / "cli")
     assert main(["index", decks, "--library", tables], spark) == 0
     capsys.readouterr()
-    assert main(["search", "revenue", "--library", tables, "--json"], spark) == 0
-    assert json.loads(capsys.readouterr().out)[0]["title"] == "Q3 Results"
+    assert main(["search", "tonnage", "--library", tables, "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)[0]["title"] == "Cargo Figures"
     assert main(["stats", "--library", tables], spark) == 0
     assert main(["stats", "--library", str(tmp_path / "none")], spark) == 1
     assert main(["nonsense"], spark) == 2
     out = str(tmp_path / "new.pptx")
-    assert main(["compose", f"{decks}/finance.pptx:1", f"{decks}/roadmap.pptx:1", "--out", out]) == 0
+    assert main(["compose", f"{decks}/harbour.pptx:1", f"{decks}/garden.pptx:1", "--out", out]) == 0
     assert main(["compose", "nonsense", "--out", out]) == 2

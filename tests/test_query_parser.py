@@ -3,18 +3,18 @@ import pytest
 from pagelore.plans.query_parser import parse, parse_date, plain
 
 CASES = [
-    ("revenue", '"revenue"*'),
-    ("alpha beta", '"alpha"* AND "beta"*'),
-    ("deck:foo", 'deck_title:"foo"*'),
-    ('title:"annual report"', 'title:"annual report"*'),
-    ("revenue OR churn", '("revenue"*) OR ("churn"*)'),
-    ("alpha beta NOT gamma", '("alpha"* AND "beta"*) NOT "gamma"*'),
-    ("-churn", None),
-    ("before:nope", '"before:nope"*'),
-    ("revenue or churn", '"revenue"* AND "or"* AND "churn"*'),
-    ("a OR -b", '"a"*'),
+    ("harbour", '"harbour"*'),
+    ("tide table", '"tide"* AND "table"*'),
+    ("deck:pier", 'deck_title:"pier"*'),
+    ('title:"low tide"', 'title:"low tide"*'),
+    ("crane OR winch", '("crane"*) OR ("winch"*)'),
+    ("rope sail NOT mast", '("rope"* AND "sail"*) NOT "mast"*'),
+    ("-anchor", None),
+    ("after:soon", '"after:soon"*'),
+    ("oak or elm", '"oak"* AND "or"* AND "elm"*'),
+    ("quay OR -dock", '"quay"*'),
     ("", None),
-    ("%%% ;;;", None),
+    ("?? !!", None),
 ]
 
 
@@ -24,14 +24,15 @@ def test_match(text, match):
 
 
 def test_dates_and_residual():
-    p = parse("after:2020-01-01 before:2021-12-31 revenue")
-    assert (p.match, p.after, p.before) == ('"revenue"*', 1577836800, 1640908800)
+    p = parse("after:2019-03-01 before:2022-07-15 harbour")
+    assert (p.match, p.after, p.before) == ('"harbour"*', 1551398400, 1657843200)
     assert parse_date("2020-02-31") == parse_date("2020-03-02")
     assert parse_date("2020-13-01") is None and parse_date("0-1-1") is None
-    assert parse("-churn").residual == "" and parse("after:2020-01-01").residual == ""
-    assert parse("%%% ;;;").residual == parse("%%% ;;;").semantic_text == "%%% ;;;"
-    assert parse("revenue -churn").semantic_text == "revenue"
-    assert parse("-after:2020-01-01 x").after == 1577836800
+    assert parse("-anchor").residual == "" and parse("after:2019-03-01").residual == ""
+    assert parse("?? !!").residual == parse("?? !!").semantic_text == "?? !!"
+    p = parse("crane ?? -winch after:2019-03-01 rope")
+    assert (p.residual, p.semantic_text) == ("??", "crane ?? rope")
+    assert parse("-after:2019-03-01 x").after == 1551398400
     assert plain("a_b c").match == '"a"* AND "b"* AND "c"*'
 
 

@@ -1,11 +1,13 @@
+import math
+
 import pandas as pd
 from fixtures import deck
 
 from pagelore.operators import vectors
 from pagelore.streaming import history, watch
 
-ROWS = [("s", 1, "rev", 1, 100), ("s", 2, "revenue", 2, 150), ("s", 3, " ", 0, 160), ("s", 4, "churn", 3, 170), ("s", 5, "churn rate", 4, 400), ("t", 1, "rev", 5, 151)]
-WANT = [("s", "churn", 3, 170), ("s", "churn rate", 4, 400), ("s", "revenue", 2, 150), ("t", "rev", 5, 151)]
+ROWS = [("s", 1, "cra", 1, 100), ("s", 2, "crane", 2, 150), ("s", 3, " ", 0, 160), ("s", 4, "winch", 3, 170), ("s", 5, "winch rope", 4, 400), ("t", 1, "cra", 5, 151)]
+WANT = [("s", "crane", 2, 150), ("s", "winch", 3, 170), ("s", "winch rope", 4, 400), ("t", "cra", 5, 151)]
 SCHEMA = "session string, id long, query string, result_count long, searched_unix long"
 
 
@@ -44,17 +46,17 @@ def test_watch(spark, tmp_path):
         q.stop()
 
 
-def test_vector_fixtures(spark):
-    v = spark.createDataFrame([(10, "a", [1.0, 0.0]), (20, "b", [0.0, 1.0]), (30, "c", [-1.0, 0.0]), (40, "d", [0.7, 0.7])], "slide_id long, text_hash string, vector array<float>")
+def test_vectors(spark):
     from pyspark.sql import functions as F
 
+    v = spark.createDataFrame([(3, "k", [0.6, 0.8]), (5, "l", [0.8, -0.6]), (7, "m", [2.0, 0.1]), (9, "n", [-3.0, -4.0])], "slide_id long, text_hash string, vector array<float>")
     v = v.withColumn("vector", vectors.normalized(F.col("vector")))
-    assert [r.slide_id for r in vectors.top_k(v, [1.0, 0.0], 3).collect()] == [10, 40, 20]
+    assert [r.slide_id for r in vectors.top_k(v, [0.0, 1.0], 3).collect()] == [3, 7, 5]
     assert vectors.top_k(v, [1.0, 0.0, 0.0], 3).collect() == [] and vectors.top_k(v, [1.0, 0.0], 0).collect() == []
-    n = spark.createDataFrame([(1, [1.0, 0.02]), (2, [1.0, 0.03]), (3, [0.0, 1.0]), (4, [0.02, 1.0]), (5, [0.03, 1.0]), (6, [0.7, -0.7])], "slide_id long, vector array<double>")
-    n = n.withColumn("vector", F.transform("vector", lambda x: x / F.sqrt(vectors.dot(F.col("vector"), F.col("vector")))))
+    turns = {11: 0.0, 12: 0.1, 13: 0.2, 21: 2.0, 22: 2.1, 31: 4.0}
+    n = spark.createDataFrame([(i, [math.cos(a), math.sin(a)]) for i, a in turns.items()], "slide_id long, vector array<double>")
     got = {r.slide_id: r.cluster for r in vectors.clusters(n).collect()}
-    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3}
-    a = spark.createDataFrame([(x, i) for i, x in enumerate([1, 2, 3, 7, 4], 1)], "slide_id long, rank int")
-    b = spark.createDataFrame([(x, i) for i, x in enumerate([5, 6, 7, 8, 9], 1)], "slide_id long, rank int")
-    assert vectors.rrf([a, b]).orderBy(F.desc("score")).first().slide_id == 7
+    assert got == {11: 11, 12: 11, 13: 11, 21: 21, 22: 21}
+    a = spark.createDataFrame([(x, i) for i, x in enumerate([41, 42, 43, 44], 1)], "slide_id long, rank int")
+    b = spark.createDataFrame([(x, i) for i, x in enumerate([51, 52, 43], 1)], "slide_id long, rank int")
+    assert vectors.rrf([a, b]).orderBy(F.desc("score")).first().slide_id == 43
