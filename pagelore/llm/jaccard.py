@@ -35,8 +35,8 @@ from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows, shi
 SAMPLE_NODES, COMMON, MOST_COMMON = 4096, 3, 100_000
 #: Bins that a set's hashes are counted in: sets whose bins can't hold enough common hashes are not compared.
 BINS = 128
-#: Bytes of sets that are compared in one place.
-TILE_BYTES = 16 << 20
+#: Bytes of sets in a tile; two tiles are compared in one place.
+TILE_BYTES = 64 << 20
 #: Nodes that a task remembers to have dealt out.
 SEEN = 200_000
 #: Pairs looked at in one step.
