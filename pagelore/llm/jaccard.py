@@ -28,19 +28,38 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import bounded_batches, components, parts, ragged, sorted_groups, spans, text_buffer, written
-from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows, shingle_hashes
+from pagelore.llm.common import LOWER, SpanHash, bounded_batches, components, mix, parts, ragged, sorted_groups, spans, text_buffer, word_spans, written
+from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows
 
 #: Nodes that the shingle sample holds, how many of them make a shingle common, and how many common ones are kept.
 SAMPLE_NODES, COMMON, MOST_COMMON = 4096, 3, 100_000
 #: Bins that a set's hashes are counted in: sets whose bins can't hold enough common hashes are not compared.
 BINS = 128
-#: Bytes of sets in a tile; two tiles are compared in one place.
-TILE_BYTES = 64 << 20
+#: Bytes of sets in a slice of a cluster; a larger cluster's hashes are dealt to several.
+SLICE_BYTES = 32 << 20
 #: Nodes that a task remembers to have dealt out.
 SEEN = 200_000
 #: Pairs looked at in one step.
 STEP = 1 << 20
+#: Multiplier that joins the hashes of a shingle's words.
+JOIN = np.uint64(0x9E6C63D0676A9A99)
+#: Leading bits of a hash that tell most uncommon shingles.
+LEADING = 22
+
+
+def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (uint64) of the word shingles of all texts, A-Z lower-cased, one after another, and their number per text. Made of hashes of words."""
+    starts, ends, first = word_spans(data, offs)
+    count = np.diff(first)
+    shingles = np.where(count >= words, count - words + 1, np.minimum(count, 1))
+    if not len(starts):
+        return np.zeros(0, np.uint64), shingles
+    w = mix(SpanHash(LOWER[data].astype(np.uint64) + np.uint64(1))(starts, ends))
+    head, width = ragged(first[:-1], shingles), np.repeat(np.minimum(count, words), shingles)
+    h = w[head]
+    for i in range(1, words):
+        h = np.where(width > i, h * JOIN + w[np.minimum(head + i, len(w) - 1)], h)
+    return mix(h), shingles
 
 
 def shingle_sets(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,7 +68,9 @@ def shingle_sets(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np
     fp = folded(h, count).view(np.int64)
     owner = np.repeat(np.arange(len(count)), count)
     h = h.view(np.int64)
-    h = h[np.lexsort((h, owner))]
+    ends = np.cumsum(count)
+    for i, j in zip((ends - count).tolist(), ends.tolist(), strict=True):
+        h[i:j].sort()
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
     h = h[new]
@@ -86,6 +107,8 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
 def head_table(rows: DataFrame, words: int) -> DataFrame:
     """doc_id, mark, node (hash of the set), fp (SimHash), size, bins (counts, 255 for that or more) and head (the first fifth of the set in the common order) of every document."""
     common, often = common_shingles(rows, words)
+    leading = np.zeros(1 << LEADING, bool)
+    leading[common.view(np.uint64) >> np.uint64(64 - LEADING)] = True
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -93,13 +116,20 @@ def head_table(rows: DataFrame, words: int) -> DataFrame:
             size = np.diff(at)
             owner = np.repeat(np.arange(len(size)), size)
             bins = np.minimum(np.bincount(owner * BINS + (h & (BINS - 1)), minlength=len(size) * BINS), 255).astype(np.uint8).reshape(-1, BINS)
-            rank = np.zeros(len(h), np.int64)
-            if len(common):
-                i = np.minimum(np.searchsorted(common, h), len(common) - 1)
-                rank = np.where(common[i] == h, often[i], 0)
-            h = h[np.lexsort((h, rank, owner))]
+            # Places of common shingles and of the others, each in its text's order; the others come first.
+            some = np.flatnonzero(leading[h.view(np.uint64) >> np.uint64(64 - LEADING)])
+            i = np.minimum(np.searchsorted(common, h[some]), max(len(common) - 1, 0))
+            i, some = (v[common[i] == h[some]] if len(some) else v for v in (i, some))
+            some = some[np.lexsort((h[some], often[i], owner[some]))]
+            rare = np.ones(len(h), bool)
+            rare[some] = False
+            rare = np.flatnonzero(rare)
+            n = np.bincount(owner[rare], minlength=len(size))
             most = np.minimum(size, size - (4 * size + 4) // 5 + 1)
-            head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(h[ragged(at[:-1], most)]))
+            lead = np.minimum(most, n)
+            place = np.concatenate([rare[ragged(np.cumsum(n) - n, lead)], some[ragged(np.cumsum(size - n) - (size - n), most - lead)]])
+            place = place[np.argsort(owner[place], kind="stable")]
+            head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(h[place]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(fp), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in bins], pa.binary()), head], ["doc_id", "mark", "node", "fp", "size", "bins", "head"])
 
     return rows.mapInArrow(work, "doc_id long, mark long, node long, fp long, size int, bins binary, head array<long>")
@@ -189,61 +219,66 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> D
             common = np.minimum(x, y).astype(np.int64)
             size = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
             good = (9 * common.sum(1) >= 4 * size) | (common == 255).any(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size)], ["a", "b", "both"]).filter(pa.array(good))
 
     binned = pairs.where("a <> b").distinct().join(ends[0], "a").join(ends[1], "b").select("a", "b", "size_a", "bins_a", "size_b", "bins_b")
-    pairs = written(binned.mapInArrow(may, "a long, b long"), "pairs")
-    # Sets that pairs connect meet in one place, each once; large clusters are dealt to cells of two tiles.
+    pairs = written(binned.mapInArrow(may, "a long, b long, both long"), "pairs")
+    # Sets that pairs connect are a cluster; slices of it hold the hashes of one remainder, and every pair counts what it has in common there.
     linked = written(components(pairs, name="clusters"), "clusters")
     members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
     sized = written(members.join(some.select("node", "size"), "node"), "members")
-    tiles = sized.groupBy("root").agg(F.ceil(F.sum(F.col("size").cast("long")) * 8 / TILE_BYTES).cast("int").alias("tiles"))
-    dealt = sized.join(tiles, "root").select("node", "root", "tiles", F.pmod(F.xxhash64("node", F.lit(3)), "tiles").cast("int").alias("tile"))
-    dealt = written(dealt, "tiles")
-    one = sets.join(dealt, "node").groupBy("root", "tiles", "tile", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
-    one = written(one.select("root", "tiles", "tile", F.col("x.doc_id").alias("id"), F.col("x.mark").alias("its")), "representatives")
+    slices = sized.groupBy("root").agg(F.ceil(F.sum(F.col("size").cast("long")) * 8 / SLICE_BYTES).cast("int").alias("slices"))
+    dealt = written(sized.join(slices, "root").select("node", "root", F.greatest("slices", F.lit(1)).alias("slices")), "slices")
+    one = sets.join(dealt, "node").groupBy("root", "slices", "node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("x"))
+    one = written(one.select("root", "slices", F.col("x.doc_id").alias("id"), F.col("x.mark").alias("its")), "representatives")
     if one.count() <= BROADCAST_ROWS:
         one = F.broadcast(one)
 
     def sets_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            root, many, tile = (b.column(c).to_numpy().astype(np.int64) for c in (1, 2, 3))
+            root, many = (b.column(c).to_numpy().astype(np.int64) for c in (1, 2))
             h, at, node, _ = shingle_sets(b.column(0), words)
-            row = np.repeat(np.arange(len(node)), many)
-            other = ragged(np.zeros(len(node), np.int64), many)
-            cell = np.minimum(tile[row], other) * many[row] + np.maximum(tile[row], other)
-            made = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(h))
-            for lo, hi in spans(np.diff(at)[row], 1 << 18):
-                r = row[lo:hi]
-                columns = [pa.array(root[r]), pa.array(cell[lo:hi].astype(np.int32)), pa.array(np.zeros(len(r), np.int32)), pa.array(node[r]), pa.nulls(len(r), pa.int64()), made.take(pa.array(r))]
-                yield pa.RecordBatch.from_arrays(columns, ["root", "cell", "kind", "a", "b", "hashes"])
-
-    read = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its"))).select("text", "root", "tiles", "tile")
-    side = [dealt.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"), F.col("tiles").alias(f"n{c}"), F.col("tile").alias(f"t{c}")) for c in "ab"]
-    asked = pairs.join(side[0], "a").join(side[1].select("b", "tb"), "b")
-    cell = F.least("ta", "tb") * F.col("na") + F.greatest("ta", "tb")
-    asked = asked.select(F.col("ra").alias("root"), cell.alias("cell"), F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("array<long>").alias("hashes"))
-    kind = "root long, cell int, kind int, a long, b long, hashes array<long>"
-    meeting = read.mapInArrow(sets_of, kind).unionByName(asked).repartition(parts(sets.sparkSession), "root", "cell").sortWithinPartitions("root", "cell", "kind")
+            owner = np.repeat(np.arange(len(node)), np.diff(at))
+            own = (np.cumsum(many) - many)[owner] + (h.view(np.uint64) % many[owner].astype(np.uint64)).astype(np.int64)
+            if len(many) and many.max() > 1:
+                h = h[np.argsort(own, kind="stable")]
+            n = np.bincount(own, minlength=int(many.sum()))
+            row, which = np.repeat(np.arange(len(node)), many), ragged(np.zeros_like(many), many)
+            row, which, n = row[n > 0], which[n > 0], n[n > 0]
+            end = np.cumsum(n)
+            for lo, hi in spans(n, 1 << 18):
+                r, begin = row[lo:hi], end[lo] - n[lo]
+                made = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], end[lo:hi] - begin]), pa.int32()), pa.array(h[begin : end[hi - 1]]))
+                zero = np.zeros(len(r), np.int64)
+                columns = [pa.array(root[r]), pa.array(which[lo:hi].astype(np.int32)), pa.array(zero.astype(np.int32)), pa.array(node[r]), pa.array(zero), pa.array(zero), made]
+                yield pa.RecordBatch.from_arrays(columns, ["root", "slice", "kind", "a", "b", "both", "hashes"])
+
+    read = rows.join(one, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("its"))).select("text", "root", "slices")
+    asked = pairs.join(dealt.select(F.col("node").alias("a"), "root", "slices"), "a").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    asked = asked.select("root", "slice", F.lit(1).alias("kind"), "a", "b", "both", F.lit(None).cast("array<long>").alias("hashes"))
+    kind = "root long, slice int, kind int, a long, b long, both long, hashes array<long>"
+    meeting = read.mapInArrow(sets_of, kind).unionByName(asked).repartition(parts(sets.sparkSession), "root", "slice").sortWithinPartitions("root", "slice", "kind")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
         for b in batches:
-            root, at, which, x = (b.column(c).to_numpy() for c in range(4))
-            y = b.column(4).fill_null(0).to_numpy()
-            good = np.zeros(b.num_rows, bool)
-            hashes = b.column(5)
+            root, at, which, x, y = (b.column(c).to_numpy() for c in range(5))
+            n = np.zeros(b.num_rows, np.int64)
+            h, begin = lists(b.column(6))
             for i in range(b.num_rows):
                 if (root[i], at[i]) != now:
                     now, held = (root[i], at[i]), {}
                 if which[i] == 0:
-                    held[x[i]] = hashes[i].values.to_numpy().copy()
+                    held[x[i]] = h[begin[i] : begin[i + 1]].copy()
                     continue
-                u, v = held[x[i]], held[y[i]]
-                good[i] = len(u) > 0 and 9 * int((u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()) >= 4 * (len(u) + len(v))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"]).filter(pa.array(good))
-
-    return meeting.mapInArrow(work, "a long, b long").distinct()
+                u, v = held.get(x[i]), held.get(y[i])
+                if u is not None and v is not None:
+                    u, v = (u, v) if len(u) >= len(v) else (v, u)
+                    n[i] = (u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), b.column(5), pa.array(n)], ["a", "b", "both", "n"]).filter(pa.array(n > 0))
+
+    counted = meeting.mapInArrow(work, "a long, b long, both long, n long")
+    return counted.groupBy("a", "b", "both").agg(F.sum("n").alias("n")).where("9 * n >= 4 * both").select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:

@@ -26,10 +26,10 @@ def brute(rows):
     return sorted(((d, low.get(g)) for (d, _), g in zip(rows, group)), key=str)
 
 
-@pytest.mark.parametrize("tile", [1 << 24, 4000])
-def test_all_pairs(spark, monkeypatch, tile):
+@pytest.mark.parametrize("size", [1 << 24, 4000])
+def test_all_pairs(spark, monkeypatch, size):
     monkeypatch.setattr(jaccard, "STEP", 64)
-    monkeypatch.setattr(jaccard, "TILE_BYTES", tile)
+    monkeypatch.setattr(jaccard, "SLICE_BYTES", size)
     rng = random.Random(5)
     rows = [(None, "a b c d e f"), (1, "A b  c d\ne f"), (2, None), (3, ""), (4, "one"), (5, "ONE"), (6, "one two"), (None, "alone")]
     license = [f"l{i}" for i in range(60)]
