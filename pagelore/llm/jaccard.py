@@ -182,7 +182,8 @@ def in_several(sets: DataFrame) -> DataFrame:
 
 
 def apart(rows: DataFrame) -> DataFrame:
-    """(a, b): pairs of a bucket in different components whose sizes and places allow 0.8. rows: k, node, size, place, root."""
+    """(a, b): pairs of a bucket in different components whose sizes, places and number of common head shingles allow 0.8. rows: k, node, size, place, root."""
+    names = ["a", "b", "size_a", "size_b", "place_a", "place_b"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in sorted_groups(batches, ["k"]):
@@ -193,17 +194,25 @@ def apart(rows: DataFrame) -> DataFrame:
                     continue
                 # The largest component comes first and is not compared with itself.
                 order = np.argsort(-n[kind], kind="stable") + lo
-                x, s, left, c = node[order], size[order].astype(np.int64), (size[order] - place[order]).astype(np.int64), root[order]
+                x, s, at_, c = node[order], size[order].astype(np.int64), place[order], root[order]
                 i, step = int((c == c[0]).sum()), max(1, STEP // (hi - lo))
                 while i < hi - lo:
                     j = min(i + step, hi - lo)
-                    fits = 9 * np.minimum(left[i:j, None], left[None, :j]) >= 4 * (s[i:j, None] + s[None, :j])
+                    fits = 5 * np.minimum(s[i:j, None], s[None, :j]) >= 4 * np.maximum(s[i:j, None], s[None, :j])
                     p, q = np.nonzero(fits & (c[i:j, None] != c[None, :j]) & (np.arange(i, j)[:, None] > np.arange(j)[None, :]))
                     if len(p):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x[i + p], x[q])), pa.array(np.maximum(x[i + p], x[q]))], ["a", "b"])
+                        p = p + i
+                        low, high = np.where(x[p] < x[q], p, q), np.where(x[p] < x[q], q, p)
+                        yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in ((x[low], np.int64), (x[high], np.int64), (s[low], np.int32), (s[high], np.int32), (at_[low], np.int32), (at_[high], np.int32))], names)
                     i = j
 
-    return rows.repartition(parts(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(work, "a long, b long")
+    met = rows.repartition(parts(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(work, "a long, b long, size_a int, size_b int, place_a int, place_b int")
+    ends = [f(f"place_{c}").alias(f"{n}_{c}") for n, f in (("first", F.min), ("last", F.max)) for c in "ab"]
+    met = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"), *ends)
+    # Common are those of both heads and others: none before the first, behind the last common one, or behind the head that ends first.
+    before = "size_a - first_a, size_b - first_b"
+    behind = "n + size_a - last_a - 1, n + size_b - last_b - 1, n + greatest((4 * size_a + 4) div 5, (4 * size_b + 4) div 5) - 1"
+    return met.where(f"9 * least({before}, {behind}) >= 4 * (size_a + size_b)").select("a", "b")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
