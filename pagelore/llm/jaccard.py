@@ -41,6 +41,8 @@ SLICE_BYTES = 32 << 20
 SEEN = 200_000
 #: Pairs looked at in one step.
 STEP = 1 << 20
+#: Bytes of text hashed at a time: hashing takes some fifty bytes of memory a byte.
+PIECE = 256 << 10
 #: Multiplier that joins the hashes of a shingle's words.
 JOIN = np.uint64(0x9E6C63D0676A9A99)
 #: Leading bits of a hash that tell most uncommon shingles.
@@ -64,7 +66,10 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
 
 def shingle_sets(text: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each text the sorted set of its shingles' hashes, one after another; where sets begin (n + 1); their hashes (nodes); the SimHashes."""
-    h, count = shingle_hashes(*text_buffer(text), words)
+    data, offs = text_buffer(text)
+    pieces = [shingle_hashes(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], words) for i, j in spans(np.diff(offs), PIECE)]
+    h = np.concatenate([x for x, _ in pieces] or [np.zeros(0, np.uint64)])
+    count = np.concatenate([x for _, x in pieces] or [np.zeros(0, np.int64)])
     fp = folded(h, count).view(np.int64)
     owner = np.repeat(np.arange(len(count)), count)
     h = h.view(np.int64)
