@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import BASES, SpanHash, bounded_batches, ragged, spans, text_buffer
+from pagelore.llm.common import BASES, SpanHash, bounded_batches, held_model, lean, ragged, spans, text_buffer
 
 #: The pre-tokenisation that the scan below implements, and the code points of \s.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -222,9 +222,8 @@ class Codec:
         return self.bytes[ragged(self.at[ids], self.size[ids])]
 
 
-@functools.lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return held_model(path, lambda: Codec(path))
 
 
 def row_pieces(b: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
@@ -246,7 +245,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(x.astype(np.int32))) for x in (ids, at)]
                 yield pa.RecordBatch.from_arrays([names, *lists], ["doc_id", "ids", "offsets"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, ids array<int>, offsets array<int>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(work, model=True), "doc_id long, ids array<int>, offsets array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -257,7 +256,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
             out = [codec(path).decode(np.array(x or [], np.int64)).tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["doc_id", "bytes"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(work, "doc_id long, bytes binary")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(work, model=True), "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
@@ -276,7 +275,7 @@ def digests(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows, pa.array(np.diff(first)), pa.array([hashlib.sha256(x).hexdigest() for x in joined], pa.string()), pa.array(sums, pa.string()), *lists], names)
 
     kind = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, kind)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(work, model=True), kind)
 
 
 def vocabulary() -> str:

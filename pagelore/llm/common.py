@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,42 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: The model that a Python worker holds.
+_held: dict[Hashable, object] = {}
+
+
+def held_model[M](key: Hashable, make: Callable[[], M]) -> M:
+    """The model of this key: a worker, which serves many tasks, holds one and gives it up for the next."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def drop_models() -> None:
+    _held.clear()
+
+
+def give_back() -> None:
+    """Returns free memory, which allocators else keep for the worker's later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
+def lean(work: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], model: bool = False) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work for mapInArrow, whose task begins without an earlier operator's model (unless it uses one) and gives free memory back as it ends."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not model:
+            drop_models()
+        yield from work(batches)
+        give_back()
+
+    return run
+
+
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and its n + 1 offsets; null is empty."""
     col = pc.fill_null(col.cast(pa.large_string()), "")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import LOWER, SpanHash, bounded_batches, components, mix, parts, ragged, sorted_groups, spans, text_buffer, word_spans, written
+from pagelore.llm.common import LOWER, SpanHash, bounded_batches, components, lean, mix, parts, ragged, sorted_groups, spans, text_buffer, word_spans, written
 from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows
 
 #: Nodes that the shingle sample holds, how many of them make a shingle common, and how many common ones are kept.
@@ -40,7 +40,7 @@ SLICE_BYTES = 32 << 20
 #: Nodes that a task remembers to have dealt out.
 SEEN = 200_000
 #: Pairs looked at in one step.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Bytes of text hashed at a time: hashing takes some fifty bytes of memory a byte.
 PIECE = 256 << 10
 #: Multiplier that joins the hashes of a shingle's words.
@@ -103,7 +103,7 @@ def common_shingles(rows: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray
             h, at, node, _ = shingle_sets(b.column(0), words)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(node, np.diff(at))), pa.array(h)], ["node", "h"])
 
-    counts = picked.mapInArrow(work, "node long, h long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    counts = picked.mapInArrow(lean(work), "node long, h long").distinct().groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     found = counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()
     h, n = np.array([r.h for r in found], np.int64), np.array([r.n for r in found], np.int64)
     return h[np.argsort(h)], n[np.argsort(h)]
@@ -137,7 +137,7 @@ def head_table(rows: DataFrame, words: int) -> DataFrame:
             head = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), pa.array(h[place]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(fp), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in bins], pa.binary()), head], ["doc_id", "mark", "node", "fp", "size", "bins", "head"])
 
-    return rows.mapInArrow(work, "doc_id long, mark long, node long, fp long, size int, bins binary, head array<long>")
+    return rows.mapInArrow(lean(work), "doc_id long, mark long, node long, fp long, size int, bins binary, head array<long>")
 
 
 def in_several(sets: DataFrame) -> DataFrame:
@@ -182,8 +182,8 @@ def in_several(sets: DataFrame) -> DataFrame:
                 x = r[i : i + STEP]
                 yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k[x], node[x], size[x], place[x], node[first[x]], size[first[x]])], [*names, "low", "low_size"])
 
-    dealt = sets.select("node", "size", "head").mapInArrow(deal, "k long, node long, size int, place int").repartition(parts(sets.sparkSession), "k").sortWithinPartitions("k", "node")
-    return dealt.mapInArrow(several, "k long, node long, size int, place int, low long, low_size int")
+    dealt = sets.select("node", "size", "head").mapInArrow(lean(deal), "k long, node long, size int, place int").repartition(parts(sets.sparkSession), "k").sortWithinPartitions("k", "node")
+    return dealt.mapInArrow(lean(several), "k long, node long, size int, place int, low long, low_size int")
 
 
 def apart(rows: DataFrame) -> DataFrame:
@@ -211,7 +211,7 @@ def apart(rows: DataFrame) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in ((x[low], np.int64), (x[high], np.int64), (s[low], np.int32), (s[high], np.int32), (at_[low], np.int32), (at_[high], np.int32))], names)
                     i = j
 
-    met = rows.repartition(parts(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(work, "a long, b long, size_a int, size_b int, place_a int, place_b int")
+    met = rows.repartition(parts(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(lean(work), "a long, b long, size_a int, size_b int, place_a int, place_b int")
     ends = [f(f"place_{c}").alias(f"{n}_{c}") for n, f in (("first", F.min), ("last", F.max)) for c in "ab"]
     met = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"), *ends)
     # Common are those of both heads and others: none before the first, behind the last common one, or behind the head that ends first.
@@ -236,7 +236,7 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> D
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size)], ["a", "b", "both"]).filter(pa.array(good))
 
     binned = pairs.where("a <> b").distinct().join(ends[0], "a").join(ends[1], "b").select("a", "b", "size_a", "bins_a", "size_b", "bins_b")
-    pairs = written(binned.mapInArrow(may, "a long, b long, both long"), "pairs")
+    pairs = written(binned.mapInArrow(lean(may), "a long, b long, both long"), "pairs")
     # Sets that pairs connect are a cluster; slices of it hold the hashes of one remainder, and every pair counts what it has in common there.
     linked = written(components(pairs, name="clusters"), "clusters")
     members = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
@@ -271,7 +271,7 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> D
     asked = pairs.join(dealt.select(F.col("node").alias("a"), "root", "slices"), "a").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     asked = asked.select("root", "slice", F.lit(1).alias("kind"), "a", "b", "both", F.lit(None).cast("array<long>").alias("hashes"))
     kind = "root long, slice int, kind int, a long, b long, both long, hashes array<long>"
-    meeting = read.mapInArrow(sets_of, kind).unionByName(asked).repartition(parts(sets.sparkSession), "root", "slice").sortWithinPartitions("root", "slice", "kind")
+    meeting = read.mapInArrow(lean(sets_of), kind).unionByName(asked).repartition(parts(sets.sparkSession), "root", "slice").sortWithinPartitions("root", "slice", "kind")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -291,7 +291,7 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> D
                     n[i] = (u[np.minimum(np.searchsorted(u, v), len(u) - 1)] == v).sum()
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), b.column(5), pa.array(n)], ["a", "b", "both", "n"]).filter(pa.array(n > 0))
 
-    counted = meeting.mapInArrow(work, "a long, b long, both long, n long")
+    counted = meeting.mapInArrow(lean(work), "a long, b long, both long, n long")
     return counted.groupBy("a", "b", "both").agg(F.sum("n").alias("n")).where("9 * n >= 4 * both").select("a", "b")
 
 

@@ -29,12 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelore.llm.common import bounded_batches, ragged, text_buffer
+from pagelore.llm.common import bounded_batches, held_model, lean, ragged, spans, text_buffer
 
 #: Bounds of the sample that a model is learned from, for each language: rows, and characters that their whole texts may have together (one text may have more).
 DOCS_PER_LANGUAGE, SAMPLE_CHARS = 48, 60_000
 #: Symbols that advance in lockstep. No result depends on it.
 SEGMENT = 256
+#: Bytes of text parsed at a time. No result depends on it.
+PIECE = 512 << 10
 NEW = np.int32(1 << 30)
 
 
@@ -173,7 +175,10 @@ class Model:
         return out
 
     def predict(self, data: np.ndarray, offs: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Language, score, phrases and symbols of each text."""
+        """Language, score, phrases and symbols of each text, made of about PIECE bytes of text at a time."""
+        if len(data) > PIECE and len(offs) > 2:
+            found = [self.predict(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]) for i, j in spans(np.diff(offs), PIECE)]
+            return [x for f in found for x in f[0]], *(np.concatenate(x) for x in list(zip(*found))[1:])
         points, first = letters(data, offs)
         n = np.diff(first)
         some = np.add.reduceat(np.append(points != 0, False), np.minimum(first[:-1], len(points))) * (n > 0) > 0
@@ -189,9 +194,8 @@ class Model:
         return [self.languages[b] if s else "und" for b, s in zip(best.tolist(), some.tolist(), strict=True)], score, found[np.arange(len(n)), best], n
 
 
-@functools.lru_cache(maxsize=2)
 def model(sample: tuple[tuple[str, str], ...]) -> Model:
-    return Model(sample)
+    return held_model(sample, lambda: Model(sample))
 
 
 def held_out() -> F.Column:
@@ -223,7 +227,7 @@ def identify(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(phrases, pa.int64()), pa.array(n, pa.int64())], ["doc_id", "held_out", "lang_pred", "score", "phrases", "symbols"])
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), F.col("text").cast("string"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double, phrases long, symbols long")
+    return rows.mapInArrow(lean(work, model=True), "doc_id long, held_out boolean, lang_pred string, score double, phrases long, symbols long")
 
 
 def accepted(docs: DataFrame, most_phrases: float = 0.45) -> DataFrame:
@@ -241,7 +245,7 @@ def accepted(docs: DataFrame, most_phrases: float = 0.45) -> DataFrame:
             known = np.array([x != "und" for x in lang], bool)
             yield b.filter(pa.array(known & (phrases <= 1 + most_phrases * n)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(lean(work, model=True), docs.schema)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

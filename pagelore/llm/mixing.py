@@ -31,28 +31,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelore.llm.common import bounded_batches, text_buffer, word_spans, written
+from pagelore.llm.common import bounded_batches, drop_models, give_back, spans, text_buffer, word_spans, written
 
 TOLERANCE, MOST_ROUNDS = 1e-9, 25
 #: Exponents of the found shares of source, language and topic: 0 makes all alike, 1 leaves them as they are.
 EXPONENTS = (0.5, 0.7, 0.7)
+#: Bytes of text profiled at a time.
+PIECE = 512 << 10
 TOPICS = ("shouting", "figures", "lines", "prose")
 
 
 @F.arrow_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())]))
 def text_profile(text: pa.Array) -> pa.Array:
     """Words of a text and its topic by form: mostly capitals, many digits, short lines, or prose."""
-    data, offs = text_buffer(text)
-    _, _, first = word_spans(data, offs)
-
-    def count(flags: np.ndarray) -> np.ndarray:
-        return np.diff(np.concatenate([[0], np.cumsum(flags)])[offs])
-
-    upper, lower = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
-    digits, breaks = count((data >= 48) & (data <= 57)), count(data == 10)
-    size = np.diff(offs)
-    topic = np.select([upper > lower, 20 * digits > size, 40 * breaks > size], TOPICS[:3], TOPICS[3])
-    return pa.StructArray.from_arrays([pa.array(np.diff(first)), pa.array(topic.tolist(), pa.string())], ["tokens", "topic"])
+    buffer, bounds = text_buffer(text)
+    words, topics = [np.zeros(0, np.int64)], [np.zeros(0, str)]
+    for i, j in spans(np.diff(bounds), PIECE):
+        data, offs = buffer[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+
+        def count(flags: np.ndarray) -> np.ndarray:
+            return np.diff(np.concatenate([[0], np.cumsum(flags)])[offs])
+
+        upper, lower = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
+        digits, breaks = count((data >= 48) & (data <= 57)), count(data == 10)
+        size = np.diff(offs)
+        words.append(np.diff(word_spans(data, offs)[2]))
+        topics.append(np.select([upper > lower, 20 * digits > size, 40 * breaks > size], TOPICS[:3], TOPICS[3]))
+    drop_models()  # of earlier stages
+    out = pa.StructArray.from_arrays([pa.array(np.concatenate(words)), pa.array(np.concatenate(topics).tolist(), pa.string())], ["tokens", "topic"])
+    give_back()
+    return out
 
 
 def key(c: Column) -> Column:

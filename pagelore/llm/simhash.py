@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import LOWER, SPACE, bounded_batches, components, parts, ragged, sorted_groups, spans, text_buffer, word_spans, written
+from pagelore.llm.common import LOWER, SPACE, bounded_batches, components, lean, parts, ragged, sorted_groups, spans, text_buffer, word_spans, written
 
 #: Fingerprints of one bucket that one task compares; larger buckets are dealt out as pairs of tiles.
 TILE = 4096
@@ -84,7 +84,7 @@ def fingerprint_table(docs: DataFrame, words: int = 4) -> DataFrame:
             fp = fingerprints(*text_buffer(b.column(1)), words)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(work, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(work), "doc_id long, fp long")
 
 
 def close_pairs(fp: np.ndarray, start: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -196,7 +196,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(fp[linked].view(np.int64)), pa.array(fp[root[linked]].view(np.int64))], ["a", "b"])
 
     dealt = keyed.repartition(parts(spark), "t", "k", "pair").sortWithinPartitions("t", "k", "pair", "fp")
-    return dealt.mapInArrow(work, "a long, b long").distinct()
+    return dealt.mapInArrow(lean(work), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:
