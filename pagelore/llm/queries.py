@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelore.llm import bpe, bwt, htmltext, langid, linedup, media, mixing, rlz, simhash, topk
+from pagelore.llm import bpe, bwt, htmltext, langid, linedup, media, mixing, rlz, simhash, sketch, topk
 
 QUERIES = {
     "op1_html_extraction": htmltext.op1,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": bwt.op8,
     "op9_mixing": mixing.op9,
     "op10_simhash": simhash.op10,
+    "op11_fingerprints": sketch.op11,
 }
 
 ORACLE_SQL: dict[str, str] = {
