@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagelore.llm import bpe, bwt, htmltext, langid, linedup, media, mixing, periodic, rlz, simhash, sketch, topk
+from pagelore.llm import bpe, bwt, htmltext, langid, linedup, media, mixing, negatives, periodic, rlz, simhash, sketch, topk
 
 QUERIES = {
     "op1_html_extraction": htmltext.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mixing": mixing.op9,
     "op10_simhash": simhash.op10,
     "op11_fingerprints": sketch.op11,
+    "op12_hard_negatives": negatives.op12,
     "op13_periodic_runs": periodic.op13,
 }
 
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": rlz.OP4_SQL,
     "op5_line_dedup": linedup.OP5_SQL,
     "op9_mixing": mixing.sql(),
+    "op12_hard_negatives": negatives.OP12_SQL,
 }

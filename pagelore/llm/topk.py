@@ -10,8 +10,7 @@ Nulls: a vector that is null, empty, or holds a null or non-finite component
 takes no part, as query or as candidate, nor does a row with a null id. Vectors
 are compared with vectors of their length only. Rows that repeat an id are
 candidates each; a query never meets a row with its own id. Ties go to the
-smaller id. Scores are exact; components so large that a score may not fit 63 bits
-raise an error. An empty table gives an empty result; other columns are not read.
+smaller id. Scores are exact; a score that does not fit a long raises an error. An empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +27,23 @@ from pagelore.llm.common import bounded_batches, parts
 
 #: Rows of a block at most, and at least where more tasks could run.
 BLOCK, SMALL_BLOCK = 32_768, 2_048
+#: Longs lie below it.
+LARGE = 1 << 63
+
+
+def exact_scores(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of integer rows with a query, exact; one that does not fit a long raises OverflowError."""
+    size, mine = np.abs(rows.astype(np.float64)), np.abs(query.astype(np.float64))
+    if not len(rows) or size.max() * mine.sum() < 1 << 53:
+        return (rows.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+    out = (rows * query).sum(1)  # right modulo 2**64, so right where the score fits
+    for i in np.flatnonzero(size @ mine >= 1 << 62).tolist():
+        # A component at the end of the longs stands for one that lies beyond.
+        score = sum((x if -LARGE < x < LARGE - 1 else x << 64) * y for x, y in zip(rows[i].tolist(), (y if -LARGE < y < LARGE - 1 else y << 64 for y in query.tolist()), strict=True))
+        if not -LARGE <= score < LARGE:
+            raise OverflowError("a score does not fit a long")
+        out[i] = score
+    return out
 
 
 class Block:
@@ -48,12 +64,17 @@ class Block:
     def score(self, at: np.ndarray | slice, query: np.ndarray) -> np.ndarray:
         if self.most(query) < 1 << 53:
             return (self.exact[at] @ query.astype(np.float64)).astype(np.int64)
-        return (self.rows[at] * query).sum(1)
+        return exact_scores(self.rows[at], query)
+
+    def bound(self, depth: int, up: np.ndarray, query: np.ndarray) -> int:
+        """What no row that no list has shown down to this depth exceeds."""
+        edge = np.where(up, self.sorted[depth - 1], self.sorted[len(self.rows) - depth])
+        if self.most(query) < LARGE:
+            return int(edge @ query)
+        return sum(x * y for x, y in zip(edge.tolist(), query.tolist(), strict=True))
 
     def search(self, query: np.ndarray, k: int, own: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but those with the id ``own``."""
-        if self.most(query) >= 1 << 63:
-            raise ValueError("scores of these vectors do not fit a long")
         n = len(self.rows)
         up = query >= 0
         seen = np.zeros(n, bool)
@@ -75,8 +96,7 @@ class Block:
                 best, score = best[good], score[good]
                 first = np.lexsort((best, -score))[:k]
                 best, score = best[first], score[first]
-            bound = int(np.where(up, self.sorted[depth - 1], self.sorted[n - depth]) @ query)
-            if depth == n or seen.all() or (len(best) == k and score.min() > bound):
+            if depth == n or seen.all() or (len(best) == k and int(score.min()) > self.bound(depth, up, query)):
                 return self.ids[best], score
             done, depth = depth, min(n, depth * 8)
 

@@ -36,10 +36,28 @@ def test_large_components_are_exact_or_refused():
     q = np.array([(1 << 26) + 1, 3])
     ids, score = b.search(q, 2, 9)
     assert dict(zip(ids.tolist(), score.tolist())) == {i: sum(int(x) * int(y) for x, y in zip(rows[i], q)) for i in (0, 1)}
-    with pytest.raises(ValueError):
+    with pytest.raises(OverflowError):
         b.search(np.array([1 << 34, 0]), 2, 9)
 
 
+def test_outliers_end_no_job(spark, tmp_path):
+    """Components far apart: no score is large, though their product would be."""
+    rows = [(0, [2.0**33, 0.0]), (50, [0.0, 2.0**33]), (100, [1.0, 2.0]), (3, [0.0, 0.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.op2(spark, str(tmp_path)).collect()}
+    v = {i: [int(256 * x) for x in e] for i, e in rows}
+    assert got == {(q, c): sum(x * y for x, y in zip(v[q], v[c])) for q in (0, 50, 100) for c in v if c != q}
+
+
+def test_scores_at_the_end_of_the_longs():
+    rows = np.array([[(1 << 63) - 1, 0], [1 << 62, 1 << 62], [-(1 << 63), 5]])
+    assert topk.exact_scores(rows, np.array([0, 1])).tolist() == [0, 1 << 62, 5]
+    assert topk.exact_scores(rows[1:2], np.array([1, -1])).tolist() == [0]
+    for q in ([1, 0], [2, 2]):
+        with pytest.raises(OverflowError):
+            topk.exact_scores(rows, np.array(q))
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert topk.op2(spark, str(tmp_path)).collect() == []
