@@ -9,7 +9,9 @@ each list is joined with the chunks, rebuilt in order, verified chunk by chunk
 and as a whole, and gives its features once.
 
 Nulls: a null text is the empty one (192 blanks). Null and repeated doc_ids
-keep their rows; only digests decide what is stored.
+keep their rows; only digests decide what is stored. A text is chunked whole by
+one task, with some ten bytes of work space a byte. An empty table gives an empty
+result; other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -112,7 +114,7 @@ def payloads(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
 
 
 def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """media (doc_id, key, n_bytes), lists (key, seq, digest, n_chunks) and chunks (digest, packed), the latter once each."""
+    """media (doc_id, key, n_bytes), lists (key, seq, digest, n_chunks, n_bytes) and chunks (digest, packed), the latter once each."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
@@ -139,17 +141,18 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
                     for seq, end in enumerate(ends):
                         digest = digest_of(p[last:end])
                         if not with_bytes:
-                            out.append((key, seq, digest, len(ends)))
+                            out.append((key, seq, digest, len(ends), n))
                         elif digest not in first or (key, seq) < first[digest][:2]:
                             first[digest] = (key, seq, digest, p[last:end])
                         last = end
                 out += [(k, s, d, packer(dictionary).compress(x)) for k, s, d, x in first.values()]
-                types = [pa.binary(), pa.int32(), pa.binary(), pa.binary() if with_bytes else pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 4, types)], ["key", "seq", "digest", "packed" if with_bytes else "n_chunks"])
+                types = [pa.binary(), pa.int32(), pa.binary(), *([pa.binary()] if with_bytes else [pa.int32(), pa.int64()])]
+                names = ["key", "seq", "digest", *(["packed"] if with_bytes else ["n_chunks", "n_bytes"])]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * len(types), types)], names)
 
         return work
 
-    lists = rows.mapInArrow(chunk_rows(False), "key binary, seq int, digest binary, n_chunks int").distinct()
+    lists = rows.mapInArrow(chunk_rows(False), "key binary, seq int, digest binary, n_chunks int, n_bytes long").distinct()
     held = rows.mapInArrow(chunk_rows(True), "key binary, seq int, digest binary, packed binary")
     owners = lists.groupBy("digest").agg(F.min(F.struct("key", "seq")).alias("at")).select("digest", F.col("at.key").alias("own_key"), F.col("at.seq").alias("own_seq"))
     # The owner's place is compared without equalities, so that rows are dealt by digest alone: the
@@ -161,22 +164,29 @@ def chunked(docs: DataFrame, dictionary: bytes) -> tuple[DataFrame, DataFrame, D
 
 
 def rebuilt(lists: DataFrame, chunks: DataFrame, dictionary: bytes) -> DataFrame:
-    """key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each chunk list, read back from its chunks."""
-    found = lists.join(chunks, "digest").select("key", "seq", "digest", "packed", "n_chunks")
+    """key, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of each chunk list, read back from its chunks.
+
+    A list with a gap, a chunk that is missing or altered, or a whole that its key does not name raises an error.
+    """
+    found = lists.join(chunks, "digest", "left").select("key", "seq", "digest", "packed", "n_chunks", "n_bytes")
     # Media of one chunk are whole where they are; only longer ones are gathered from their chunks' places.
     longer = found.where("n_chunks > 1").repartition(parts(lists.sparkSession), "key").sortWithinPartitions("key", "seq")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
         for t, at in sorted_groups(batches, ["key"]):
-            key, digest, packed = (t.column(c).to_pylist() for c in ("key", "digest", "packed"))
+            key, seq, digest, packed, count, size = (t.column(c).to_pylist() for c in ("key", "seq", "digest", "packed", "n_chunks", "n_bytes"))
             out = []
             for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if seq[a:b] != list(range(count[a])) or None in packed[a:b]:
+                    raise ValueError("a chunk of a media is missing")
                 got = [unpacker(dictionary).decompress(p) for p in packed[a:b]]
                 if any(digest_of(x) != d for x, d in zip(got, digest[a:b], strict=True)):
                     raise ValueError("a chunk read back differs from its digest")
                 stored = wav(b"".join(got))
                 payload = samples_of(stored)
+                if digest_of(payload + size[a].to_bytes(8, "big")) != key[a]:
+                    raise ValueError("a media read back differs from its key")
                 out.append((key[a], len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature(np.frombuffer(payload, np.uint8))))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names)
 
@@ -194,4 +204,6 @@ def op7(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     dictionary = learn_dictionary(docs)
     media, lists, chunks = chunked(docs, dictionary)
-    return media.join(rebuilt(lists, chunks, dictionary), "key").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    read = media.join(rebuilt(lists, chunks, dictionary), "key", "left")
+    whole = F.when(F.col("payload_sha256").isNull(), F.raise_error(F.lit("the chunk list of a media is missing"))).otherwise(F.col("payload_bytes"))
+    return read.select("doc_id", "n_bytes", whole.cast("long").alias("payload_bytes"), "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")

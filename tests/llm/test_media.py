@@ -5,6 +5,8 @@ import wave
 import zlib
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from pagelore.llm import media
 
@@ -51,3 +53,46 @@ def test_wav_is_readable():
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert media.op7(spark, str(tmp_path)).collect() == []
+
+
+def test_lost_and_altered_chunks_raise(spark):
+    r = random.Random(5)
+    text = "".join(r.choice("abcdefgh ") for _ in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, text[:90_000])], "doc_id long, text string")
+    _, lists, chunks = media.chunked(docs, b"")
+    lists, chunks = spark.createDataFrame(lists.collect(), lists.schema), spark.createDataFrame(chunks.collect(), chunks.schema)
+    assert media.rebuilt(lists, chunks, b"").count() == 3
+    some = [x.digest for x in lists.where("n_chunks > 2").orderBy("key", "seq").collect()]
+    one = lists.where("n_chunks = 1").first()
+    other = chunks.where(F.col("digest") == some[3]).first().packed
+    broken = [
+        (lists, chunks.where(F.col("digest") != some[2])),
+        (lists, chunks.where(F.col("digest") != one.digest)),
+        (lists.where(F.col("digest") != some[2]), chunks),
+        (lists, chunks.withColumn("packed", F.when(F.col("digest") == some[2], F.lit(other)).otherwise(F.col("packed")))),
+        (lists.withColumn("seq", F.when(F.col("n_chunks") > 2, F.col("n_chunks") - 1 - F.col("seq")).otherwise(F.col("seq"))), chunks),
+        (lists.withColumn("n_bytes", F.col("n_bytes") + 1), chunks),
+    ]
+    for a, b in broken:
+        with pytest.raises(Exception, match="missing|differs"):
+            media.rebuilt(a, b, b"").collect()
+
+
+def test_payloads_by_the_standard_library(spark):
+    """The stored form of every text of a table, written by the wave module instead."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in media.op7(spark, sf).collect():
+        raw = texts[r.doc_id]
+        p = raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(media.RATE)
+            w.writeframes(p)
+        signed = [x - 128 for x in p]
+        f = dict(x.split("=") for x in r.feature.split(";"))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+        assert (r.media_bytes, r.media_sha256) == (len(out.getvalue()), hashlib.sha256(out.getvalue()).hexdigest())
+        assert float(f["mean"]) == pytest.approx(sum(p) / len(p), abs=1e-3) and int(f["crossings"]) == sum((x < 0) != (y < 0) for x, y in zip(signed, signed[1:]))
