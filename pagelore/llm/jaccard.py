@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelore.llm.common import LOWER, SpanHash, bounded_batches, components, lean, mix, parts, ragged, sorted_groups, spans, text_buffer, word_spans, written
+from pagelore.llm.common import LOWER, bounded_batches, components, lean, mix, parts, ragged, sorted_groups, spans, text_buffer, word_hashes, word_spans, written
 from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows
 
 #: Nodes that the shingle sample holds, how many of them make a shingle common, and how many common ones are kept.
@@ -56,7 +56,7 @@ def shingle_hashes(data: np.ndarray, offs: np.ndarray, words: int) -> tuple[np.n
     shingles = np.where(count >= words, count - words + 1, np.minimum(count, 1))
     if not len(starts):
         return np.zeros(0, np.uint64), shingles
-    w = mix(SpanHash(LOWER[data].astype(np.uint64) + np.uint64(1))(starts, ends))
+    w = word_hashes(LOWER[data], starts, ends)
     head, width = ragged(first[:-1], shingles), np.repeat(np.minimum(count, words), shingles)
     h = w[head]
     for i in range(1, words):

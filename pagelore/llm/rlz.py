@@ -11,7 +11,8 @@ the factor between would have been taken longer. Spans that touch or overlap joi
 The corpus is a row of blocks: each batch of texts is parsed against itself, and
 each bucket of passages against itself (passages.py deals every passage to the
 block in which an equal window could lie, so a document visits the blocks that
-matter and no others). Words are compared by 64-bit hashes.
+matter and no others). Words are compared by 64-bit hashes of all
+their bytes, not polynomial ones, for which unlike words of equal hash can be built.
 
 Nulls: a null or empty text has no words. See passages.py for null and repeated
 doc_ids, ties, very long texts and empty tables.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from pagelore.llm import passages
 from pagelore.llm.anchors import groups
-from pagelore.llm.common import SpanHash, mix, ragged, text_buffer, word_spans
+from pagelore.llm.common import ragged, text_buffer, word_hashes, word_spans
 from pagelore.llm.suffixes import Suffixes, along
 
 #: Words of an anchor gram.
@@ -39,7 +40,7 @@ PIECE = 64
 
 def word_symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, first = word_spans(data, offs)
-    symbols = mix(SpanHash(data.astype(np.uint64) + np.uint64(1))(starts, ends) + (ends - starts).astype(np.uint64))
+    symbols = word_hashes(data, starts, ends)
     return symbols, first, symbols
 
 

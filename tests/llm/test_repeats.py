@@ -5,9 +5,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from pagelore.llm import anchors, bwt, passages, rlz
+from pagelore.llm import anchors, bwt, jaccard, passages, rlz
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -148,3 +149,13 @@ def test_words_as_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     assert spark_rows(rlz.op4(spark, sf)) == duck(sf, rlz.OP4_SQL)
+
+
+def test_words_of_one_polynomial_hash_are_not_copies(spark):
+    """Thue-Morse words and their complements share every polynomial hash modulo 2**64; they are no repeats."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    pairs = [("".join(x[b] for b in bits), "".join(x[1 - b] for b in bits)) for x in ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st", "uv", "wx", "yz", "AB", "CD", "EF", "GH", "IJ", "KL", "MN")]
+    docs = spark.createDataFrame([(1, " ".join(a for a, _ in pairs)), (2, " ".join(b for _, b in pairs)), (3, " ".join(a for a, _ in pairs))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in rlz.deduplicated(docs).collect()) == [(1, 20, 0), (2, 20, 0), (3, 20, 20)]
+    sets, at, _, _ = jaccard.shingle_sets(pa.array([" ".join(x) for x in zip(*pairs)]), 5)
+    assert not set(sets[: at[1]].tolist()) & set(sets[at[1] :].tolist())
