@@ -61,7 +61,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 print(f"warning: {w}", file=sys.stderr)
             return 0
         spark = spark or SparkSession.builder.appName("pagelore").getOrCreate()
-        if a.command != "index" and not os.path.exists(f"{a.library}/_current.json"):
+        if a.command != "index" and not Library.present(spark, a.library):
             raise LibraryError(f"no library at {a.library}")
         lib = Library(spark, a.library)
         if a.command == "index":

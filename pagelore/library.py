@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import json
 import os
 import time
-import uuid
 from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql import types as T
+
+from pagelore import migrations
 from pagelore.functions import text
 from pagelore.operators import duplicates, filters, fulltext, stats, vectors
 from pagelore.operators.filters import Filters
+from pagelore.operators.segments import Index
 from pagelore.plans import query_parser
 from pagelore.plans.query_parser import Parsed
 from pagelore.schema import (
@@ -22,16 +24,18 @@ from pagelore.schema import (
     EXPORT_CAP,
     FALLBACK_SNIPPET,
     HYBRID_POOL,
+    KEYS,
     REFINEMENT_SECONDS,
     SCAN_CAP,
-    SCHEMA_VERSION,
     SEARCH_CAP,
     SEMANTIC_FLOOR,
     SIMILAR_FLOOR,
+    SORTS,
     TABLES,
     struct,
 )
 from pagelore.sources import scan
+from pagelore.store import Store
 
 
 class LibraryError(ValueError):
@@ -48,61 +52,43 @@ def deck_id(path: F.Column) -> F.Column:
 
 
 class Library:
-    """Tables are Parquet snapshots ``table/uuid``; a small pointer file names the current one, so readers of a snapshot are never disturbed."""
+    """Tables of one store: a change of the library is one commit, a frame that was taken before goes on reading its version."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: vectors.FakeEmbedder | None = None):
         self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
+        self.store = Store(spark, self.path, {n: struct(n) for n in TABLES}, KEYS, SORTS)
+        self.index = Index(self.store)
+        self._fs, self._path = self.store.fs, self.store._hadoop
         self.now: Callable[[], int] = lambda: int(time.time())
-        jvm = spark._jvm
-        self._fs = jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs.mkdirs(self._path(self.path))
-        self._names: dict[str, str] = self._read_names()
-        version = {r.key: r.value for r in self.table("meta").collect()}.get("schema_version", 0)
-        if version > SCHEMA_VERSION:
-            raise LibraryError(f"written by a newer version ({version})")
-        if version < SCHEMA_VERSION:
-            self.put("meta", spark.createDataFrame([("schema_version", SCHEMA_VERSION)], struct("meta")))
+        try:
+            migrations.bring_up(self)
+        except migrations.TooNew as e:
+            raise LibraryError(str(e)) from e
 
-    # Tables
+    @staticmethod
+    def present(spark: SparkSession, path: str) -> bool:
+        """Whether a folder, in whatever file system, holds a library of this or an earlier version."""
+        at = spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        return any(fs.exists(at(f"{path}/{x}")) for x in ("_log", "_current.json"))
 
-    def _read_names(self) -> dict[str, str]:
-        p = self._path(f"{self.path}/_current.json")
-        if not self._fs.exists(p):
-            return {}
-        stream = self._fs.open(p)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+    # Tables
 
     def table(self, name: str) -> DataFrame:
         """A table; columns that an older version did not write are null."""
-        schema = struct(name)
-        if name not in self._names:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}/{self._names[name]}")
+        return self.store.read(name)
 
     def put(self, name: str, rows: DataFrame) -> None:
-        """Replaces a table: the snapshot is written whole before the pointer moves."""
-        version = uuid.uuid4().hex
-        rows = rows.select(*[F.col(f.name).cast(f.dataType) for f in struct(name)])
-        if name == "postings":  # by term, so that a query's terms prune row groups
-            rows = rows.repartitionByRange("term").sortWithinPartitions("term")
-        rows.write.parquet(f"{self.path}/{name}/{version}")
-        old = self._names.get(name)
-        self._names[name] = version
-        out = self._fs.create(self._path(f"{self.path}/_current.json"), True)
-        try:
-            out.write(bytearray(json.dumps(self._names, sort_keys=True).encode()))
-        finally:
-            out.close()
-        if old:
-            self._fs.delete(self._path(f"{self.path}/{name}/{old}"), True)
+        self.store.put(name, rows)
 
     def rows(self, name: str, values: list[tuple]) -> DataFrame:
         return self.spark.createDataFrame(values, struct(name))
 
+    def _keys(self, name: str, *values: tuple) -> DataFrame:
+        """Keys of a table, as rows."""
+        fields = [struct(name)[k] for k in KEYS[name]]
+        return self.spark.createDataFrame(list(values), T.StructType(fields))
+
     def _next_id(self, name: str) -> int:
         return self.table(name).agg(F.coalesce(F.max("id") + 1, F.lit(1))).first()[0]
 
@@ -117,12 +103,13 @@ class Library:
         if have:
             return have.id
         new = self._next_id("roots")
-        self.put("roots", self.table("roots").unionByName(self.rows("roots", [(new, path, None, [])])))
+        self.store.append("roots", self.rows("roots", [(new, path, None, [])]), small=True)
         return new
 
     def remove_root(self, root_id: int) -> None:
-        self._drop_decks(self.table("decks").where(F.col("root_id") == root_id).select("id"))
-        self.put("roots", self.table("roots").where(F.col("id") != root_id))
+        with self.store.change():
+            self._drop_decks(self.table("decks").where(F.col("root_id") == root_id).select("id"))
+            self.store.delete("roots", self._keys("roots", (root_id,)), small=True)
 
     def set_root_excludes(self, root_id: int, patterns: list[str]) -> None:
         """Trimmed, blanks dropped; all are checked before any is stored."""
@@ -135,24 +122,32 @@ class Library:
         if self.table("roots").where(F.col("id") == root_id).isEmpty():
             raise LibraryError(f"no root {root_id}")
         new = F.array(*[F.lit(p) for p in clean]).cast("array<string>")
-        self.put("roots", self.table("roots").withColumn("exclude_globs", F.when(F.col("id") == root_id, new).otherwise(F.col("exclude_globs"))))
+        self.store.replace("roots", None, self.table("roots").where(F.col("id") == root_id).withColumn("exclude_globs", new), small=True)
 
     def clear(self) -> None:
         """Drops what a scan can rebuild and the histories; keeps roots, favorites, tags, saved searches and vectors."""
-        for name in ("decks", "slides", "postings", "lengths", "deck_fonts", "scan_history", "scan_issues", "search_history", "export_history", "export_picks", "render_issues"):
-            self.put(name, self.table(name).limit(0))
-        self.put("roots", self.table("roots").withColumn("last_scan_unix", F.lit(None).cast("long")))
+        with self.store.change():
+            for name in ("decks", "slides", "deck_fonts", "scan_history", "scan_issues", "search_history", "export_history", "export_picks", "render_issues"):
+                self.put(name, self.table(name).limit(0))
+            self.index.clear()
+            self.put("roots", self.table("roots").withColumn("last_scan_unix", F.lit(None).cast("long")))
 
     def _drop_decks(self, ids: DataFrame) -> None:
         ids = vectors.work_table(ids.select(F.col("id").alias("deck_id")), "gone")
-        for name in ("slides", "postings", "lengths", "deck_fonts"):
-            self.put(name, self.table(name).join(ids, "deck_id", "left_anti"))
-        self.put("decks", self.table("decks").join(ids.withColumnRenamed("deck_id", "id"), "id", "left_anti"))
+        with self.store.change():
+            for name in ("slides", "deck_fonts"):
+                self.store.delete(name, ids)
+            self.index.drop(ids)
+            self.store.delete("decks", ids.withColumnRenamed("deck_id", "id"))
 
     # Scan
 
     def scan(self, on_event: Callable[[dict], None] = lambda e: None) -> dict:
         """Brings the tables up to date with the roots: unchanged files are skipped, broken ones reported, vanished ones dropped unless their root is unavailable."""
+        with self.store.change():
+            return self._scan(on_event)
+
+    def _scan(self, on_event: Callable[[dict], None]) -> dict:
         began, started = time.time(), self.now()
         tally = {"indexed": 0, "removed": 0, "unchanged": 0, "skipped": 0}
         issues: list[tuple[str, str]] = []
@@ -166,20 +161,21 @@ class Library:
             mine = self.table("decks").where(F.col("root_id") == r.id)
             changed, same = scan.changes(found, mine)
             tally["unchanged"] += same.count()
-            changed = vectors.work_table(changed, "changed")  # before the snapshot it was told from goes
+            changed = vectors.work_table(changed, "changed")
             lost = vectors.work_table(mine.join(found, "path", "left_anti").select("id"), "vanished")
             tally["removed"] += (n := lost.count())
             if n:
                 self._drop_decks(lost)
-            read = vectors.work_table(scan.extracted(self.spark, r.path, changed).join(changed, "path"), "extracted")
-            for e in read.where("error IS NOT NULL").select("path", "error").toLocalIterator():
-                issues.append((e.path, e.error))
-                tally["skipped"] += 1
-                on_event({"kind": "skipped", "path": e.path, "reason": e.error})
-            good = read.where("error IS NULL")
-            tally["indexed"] += (n := good.count())
-            if n:
-                self._index(good)
+            for part in scan.contents(self.spark, r.path, changed, found.count()):
+                read = vectors.work_table(scan.extracted(part).join(changed, "path"), "extracted")
+                for e in read.where("error IS NOT NULL").select("path", "error").toLocalIterator():
+                    issues.append((e.path, e.error))
+                    tally["skipped"] += 1
+                    on_event({"kind": "skipped", "path": e.path, "reason": e.error})
+                good = read.where("error IS NULL")
+                tally["indexed"] += (n := good.count())
+                if n:
+                    self._index(good)
             gone.append(r.id)
         self.put("roots", self.table("roots").withColumn("last_scan_unix", F.when(F.col("id").isin(gone), F.lit(self.now())).otherwise(F.col("last_scan_unix"))))
         self._record_scan(started, int((time.time() - began) * 1000), tally, issues)
@@ -188,19 +184,20 @@ class Library:
         return tally | {"issues": issues}
 
     def _index(self, good: DataFrame) -> None:
+        """Rows of these decks in place of what the tables hold of them; nothing else is rewritten."""
         old = self.table("decks").select("path", F.col("first_seen_unix").alias("seen"))
         decks = good.join(old, "path", "left").select(deck_id(F.col("path")).alias("id"), "root_id", "path", "file_name", "title", "author", F.size("slides").cast("long").alias("slide_count"), "modified_unix", "size_bytes", F.col("width").alias("slide_width_emu"), F.col("height").alias("slide_height_emu"), "file_hash", F.coalesce("seen", F.lit(self.now())).alias("first_seen_unix"))
         each = good.select(deck_id(F.col("path")).alias("deck_id"), "path", F.explode("slides").alias("s")).select("deck_id", "path", "s.*")
         slides = each.select(F.xxhash64("path", "slide_index").alias("id"), "deck_id", "slide_index", "title", "body_text", "notes", F.lit(None).cast("string").alias("thumb_path"), "content_hash", text.text_hash("title", "body_text", "notes").alias("text_hash"))
         fonts = good.select(deck_id(F.col("path")).alias("deck_id"), F.explode("fonts").alias("f")).select("deck_id", "f.*")
         new = good.select(deck_id(F.col("path")).alias("deck_id"))
+        known = not self.table("decks").join(new.withColumnRenamed("deck_id", "id"), "id", "left_semi").isEmpty()
         for name, rows in (("slides", slides), ("deck_fonts", fonts)):
-            self.put(name, self.table(name).join(new, "deck_id", "left_anti").unionByName(rows.select(self.table(name).columns)))
-        self.put("decks", merged(self.table("decks"), decks, ["id"]))
-        words = self._index_rows().join(new, "deck_id", "left_semi")
-        of = words.select("slide_id", "deck_id")
-        for name, rows in (("postings", fulltext.postings(words)), ("lengths", fulltext.lengths(words))):
-            self.put(name, self.table(name).join(new, "deck_id", "left_anti").unionByName(rows.join(of, "slide_id").select(self.table(name).columns)))
+            self.store.replace(name, new, rows)
+        named = good.select(deck_id(F.col("path")).alias("deck_id"), F.concat_ws(" ", "title", "file_name").alias("deck_title"))
+        words = slides.select("deck_id", F.col("id").alias("slide_id"), "title", F.col("body_text").alias("body"), "notes").join(named, "deck_id")
+        self.store.replace("decks", None, decks)
+        self.index.add(words, replaced=known)
 
     def _record_scan(self, started: int, ms: int, tally: dict, issues: list[tuple[str, str]]) -> None:
         new = self._next_id("scan_history")
@@ -208,8 +205,9 @@ class Library:
         history = stats.kept_last(self.table("scan_history").unionByName(self.rows("scan_history", [row])), SCAN_CAP)
         first = self._next_id("scan_issues")
         found = self.rows("scan_issues", [(first + i, new, p, why) for i, (p, why) in enumerate(issues)])
-        self.put("scan_history", history)
-        self.put("scan_issues", self.table("scan_issues").unionByName(found).join(self.table("scan_history").select(F.col("id").alias("scan_id")), "scan_id", "left_semi"))
+        with self.store.change():
+            self.put("scan_history", history)
+            self.put("scan_issues", self.table("scan_issues").unionByName(found).join(self.table("scan_history").select(F.col("id").alias("scan_id")), "scan_id", "left_semi"))
 
     # Reading
 
@@ -239,10 +237,6 @@ class Library:
 
     # Search
 
-    def _index_rows(self) -> DataFrame:
-        d = self.table("decks").select(F.col("id").alias("deck_id"), F.concat_ws(" ", "title", "file_name").alias("deck_title"))
-        return self.table("slides").join(d, "deck_id").select("deck_id", F.col("id").alias("slide_id"), "title", F.col("body_text").alias("body"), "notes", "deck_title")
-
     def _admitted(self, f: Filters) -> DataFrame | None:
         if not f.active:
             return None
@@ -250,9 +244,7 @@ class Library:
         return filters.admitted(t("slides"), t("decks"), t("slide_favorites"), t("slide_tags"), f).select(F.col("id").alias("slide_id"))
 
     def _fulltext(self, parsed: Parsed, f: Filters, limit: int) -> DataFrame:
-        found = fulltext.match(self.table("postings"), self.table("lengths").select("slide_id", "n_tokens"), parsed)
-        ok = self._admitted(f)
-        return fulltext.top(found if ok is None else found.join(ok, "slide_id", "left_semi"), limit)
+        return self.index.top(parsed, limit, self._admitted(f))
 
     def browse(self, f: Filters = Filters(), limit: int | None = None) -> DataFrame:
         t = self.table
@@ -309,16 +301,15 @@ class Library:
         new = vectors.work_table(vectors.embedded(self.pending_texts(), self.embedder.embed_passages, self.embedder.id, self.embedder.dims), "vectors")
         n = new.count()
         if n:
-            self.put("embeddings", merged(self.table("embeddings"), new, ["model_id", "text_hash"]))
+            self.store.append("embeddings", new)
         return n
 
     def cleanup_orphan_embeddings(self) -> int:
         e = self.table("embeddings")
-        kept = vectors.work_table(e.join(self.table("slides").select("text_hash"), "text_hash", "left_semi"), "kept")
-        gone = e.count() - kept.count()
-        if gone:
-            self.put("embeddings", kept)
-        return gone
+        lost = vectors.work_table(e.join(self.table("slides").select("text_hash"), "text_hash", "left_anti").select("model_id", "text_hash"), "orphans")
+        if n := lost.count():
+            self.store.delete("embeddings", lost)
+        return n
 
     def embedding_counts(self) -> DataFrame:
         return stats.embedding_counts(self.table("slides"), self.table("embeddings"), self.embedder.id if self.embedder else "")
@@ -335,9 +326,9 @@ class Library:
         for k, v in key.items():
             hit = hit & (F.col(k) == v)
         if not t.where(hit).isEmpty():
-            self.put(name, t.where(~hit))
+            self.store.delete(name, self._keys(name, tuple(key.values())), small=True)
             return False
-        self.put(name, t.unionByName(self.rows(name, [(*key.values(), self.now())])))
+        self.store.append(name, self.rows(name, [(*key.values(), self.now())]), small=True)
         return True
 
     def toggle_slide_favorite(self, slide_id: int) -> bool:
@@ -366,10 +357,14 @@ class Library:
         known = {r.name.lower(): r.id for r in tags.where(F.lower("name").isin(list(wanted))).collect()} if wanted else {}
         first = self._next_id("tags")
         fresh = [(first + i, wanted[k], self.now()) for i, k in enumerate(k for k in wanted if k not in known)]
-        here = (F.col("deck_path") == path) & (F.col("slide_index") == index)
         links = [(i, path, index) for i in [*known.values(), *(x[0] for x in fresh)]]
-        self.put("slide_tags", self.table("slide_tags").where(~here).unionByName(self.rows("slide_tags", links)))
-        self.put("tags", tags.unionByName(self.rows("tags", fresh)).join(self.table("slide_tags").select(F.col("tag_id").alias("id")), "id", "left_semi"))
+        with self.store.change():
+            self.store.replace("slide_tags", self._keys("slide_tags", (path, index)), self.rows("slide_tags", links), small=True)
+            if fresh:
+                self.store.append("tags", self.rows("tags", fresh), small=True)
+            unused = [(r.id,) for r in self.table("tags").join(self.table("slide_tags").select(F.col("tag_id").alias("id")), "id", "left_anti").select("id").collect()]
+            if unused:
+                self.store.delete("tags", self._keys("tags", *unused), small=True)
 
     def rename_tag(self, tag_id: int, name: str) -> None:
         name, tags = name.strip(), self.table("tags")
@@ -379,11 +374,15 @@ class Library:
             raise LibraryError(f"there is a tag {name}")
         if tags.where(F.col("id") == tag_id).isEmpty():
             raise LibraryError(f"no tag {tag_id}")
-        self.put("tags", tags.withColumn("name", F.when(F.col("id") == tag_id, name).otherwise(F.col("name"))))
+        self.store.replace("tags", None, tags.where(F.col("id") == tag_id).withColumn("name", F.lit(name)), small=True)
 
     def delete_tag(self, tag_id: int) -> None:
-        self.put("slide_tags", self.table("slide_tags").where(F.col("tag_id") != tag_id))
-        self.put("tags", self.table("tags").where(F.col("id") != tag_id))
+        with self.store.change():
+            # Links are keyed by their slide: slides with the tag keep their other links.
+            mine = self.table("slide_tags").where(F.col("tag_id") == tag_id).select("deck_path", "slide_index")
+            kept = self.table("slide_tags").where(F.col("tag_id") != tag_id).join(mine, ["deck_path", "slide_index"], "left_semi")
+            self.store.replace("slide_tags", mine, kept)
+            self.store.delete("tags", self._keys("tags", (tag_id,)), small=True)
 
     # Saved searches and histories
 
@@ -393,17 +392,17 @@ class Library:
     def save_search(self, name: str, query: str, f: Filters = Filters()) -> int:
         t, new = self.table("saved_searches"), self._next_id("saved_searches")
         place = t.agg(F.coalesce(F.max("position") + 1, F.lit(0))).first()[0]
-        self.put("saved_searches", t.unionByName(self.rows("saved_searches", [(new, name.strip() or query, query, tuple(asdict(f).values()), place, self.now())])))
+        self.store.append("saved_searches", self.rows("saved_searches", [(new, name.strip() or query, query, tuple(asdict(f).values()), place, self.now())]), small=True)
         return new
 
     def rename_saved_search(self, id_: int, name: str) -> None:
         if not name.strip():
             raise LibraryError("a saved search needs a name")
-        t = self.table("saved_searches")
-        self.put("saved_searches", t.withColumn("name", F.when(F.col("id") == id_, name.strip()).otherwise(F.col("name"))))
+        mine = self.table("saved_searches").where(F.col("id") == id_)
+        self.store.replace("saved_searches", None, mine.withColumn("name", F.lit(name.strip())), small=True)
 
     def delete_saved_search(self, id_: int) -> None:
-        self.put("saved_searches", self.table("saved_searches").where(F.col("id") != id_))
+        self.store.delete("saved_searches", self._keys("saved_searches", (id_,)), small=True)
 
     def record_search(self, query: str, count: int) -> None:
         """Appends a search, or replaces the last one if this refines it."""
@@ -414,16 +413,27 @@ class Library:
         last = stats.latest(t).first()
         refines = last is not None and now - last.searched_unix <= REFINEMENT_SECONDS and (query.startswith(last.query) or last.query.startswith(query))
         new = last.id if refines else self._next_id("search_history")
-        rows = merged(t, self.rows("search_history", [(new, query, count, now)]), ["id"])
-        self.put("search_history", stats.kept_last(rows, SEARCH_CAP))
+        with self.store.change():
+            self.store.replace("search_history", None, self.rows("search_history", [(new, query, count, now)]), small=True)
+            self._trim("search_history", SEARCH_CAP)
 
     def record_export(self, output: str, title: str, picks: list[tuple[str, int]]) -> None:
         new, first = self._next_id("export_history"), self._next_id("export_picks")
         row = (new, output, title, len(picks), len({p for p, _ in picks}), self.now())
-        history = stats.kept_last(self.table("export_history").unionByName(self.rows("export_history", [row])), EXPORT_CAP)
-        self.put("export_history", history)
-        rows = self.table("export_picks").unionByName(self.rows("export_picks", [(first + i, new, p, n) for i, (p, n) in enumerate(picks)]))
-        self.put("export_picks", rows.join(self.table("export_history").select(F.col("id").alias("export_id")), "export_id", "left_semi"))
+        with self.store.change():
+            self.store.append("export_history", self.rows("export_history", [row]), small=True)
+            self.store.append("export_picks", self.rows("export_picks", [(first + i, new, p, n) for i, (p, n) in enumerate(picks)]), small=True)
+            gone = self._trim("export_history", EXPORT_CAP)
+            if gone:
+                self.store.delete("export_picks", self._keys("export_picks", *gone), small=True)
+
+    def _trim(self, name: str, cap: int) -> list[tuple[int]]:
+        """Drops all but the last ``cap`` rows of a history, which has one row more at most; the ids that went."""
+        t = self.table(name)
+        gone = [(r.id,) for r in t.join(stats.kept_last(t, cap).select("id"), "id", "left_anti").select("id").collect()]
+        if gone:
+            self.store.delete(name, self._keys(name, *gone), small=True)
+        return gone
 
     def export_counts(self) -> DataFrame:
         return stats.export_counts(self.table("export_picks"))
@@ -431,12 +441,8 @@ class Library:
     # Drawing issues, thumbnails, fonts
 
     def record_render_issues(self, deck_path: str, slide_index: int, content_hash: str, dropped: list[str]) -> None:
-        t = self.table("render_issues")
-        key = (F.col("deck_path") == deck_path) & (F.col("slide_index") == slide_index)
-        rows = t.where(~key)
-        if dropped:
-            rows = rows.unionByName(self.rows("render_issues", [(deck_path, slide_index, content_hash, sorted(set(dropped)), self.now())]))
-        self.put("render_issues", rows)
+        rows = [(deck_path, slide_index, content_hash, sorted(set(dropped)), self.now())] if dropped else []
+        self.store.replace("render_issues", self._keys("render_issues", (deck_path, slide_index)), self.rows("render_issues", rows), small=True)
 
     def render_issues_for(self, deck_path: str, slide_index: int, content_hash: str) -> list[str]:
         """None if they were found in other contents."""
@@ -448,7 +454,8 @@ class Library:
 
     def set_thumb_path(self, slide_id: int, path: str) -> None:
         t = self.table("slides")
-        self.put("slides", t.withColumn("thumb_path", F.when(F.col("id") == slide_id, path).otherwise(F.col("thumb_path"))))
+        deck = t.where(F.col("id") == slide_id).select("deck_id")  # rows of one deck change together
+        self.store.replace("slides", None, t.join(deck, "deck_id", "left_semi").withColumn("thumb_path", F.when(F.col("id") == slide_id, path).otherwise(F.col("thumb_path"))), small=True)
 
     def sweep_thumbs(self, folder: str) -> int:
         """Deletes the thumbnails in a local folder that no current deck claims."""

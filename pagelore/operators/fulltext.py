@@ -54,12 +54,16 @@ def phrases(parsed: Parsed) -> list[tuple[tuple[str, ...], str | None]]:
     return out
 
 
-def frequencies(index: DataFrame, wanted: list[tuple[tuple[str, ...], str | None]], weights: dict[str, float], key: str = "slide_id") -> DataFrame:
-    """key, f0, f1, ...: weighted instances of each phrase in each slide that has any."""
+def term_filter(wanted: list[tuple[tuple[str, ...], str | None]]) -> Column:
+    """Whether a term may be a token of some phrase."""
     whole = sorted({w for ts, _ in wanted for w in ts[:-1]})
     starts = sorted({ts[-1] for ts, _ in wanted})
-    hit = reduce(lambda a, b: a | b, [F.col("term").isin(whole)] * bool(whole) + [F.startswith("term", F.lit(p)) for p in starts])
-    found = index.where(hit)
+    return reduce(lambda a, b: a | b, [F.col("term").isin(whole)] * bool(whole) + [F.startswith("term", F.lit(p)) for p in starts])
+
+
+def frequencies(index: DataFrame, wanted: list[tuple[tuple[str, ...], str | None]], weights: dict[str, float], key: str = "slide_id") -> DataFrame:
+    """key, f0, f1, ...: weighted instances of each phrase in each slide that has any."""
+    found = index.where(term_filter(wanted))
     # Each posting offers itself as token i of phrase p that would start at pos - i.
     roles = []
     for p, (ts, column) in enumerate(wanted):
@@ -92,24 +96,36 @@ def condition(parsed: Parsed, wanted: list[tuple[tuple[str, ...], str | None]])
     return reduce(lambda a, b: a | b, groups)
 
 
-def match(index: DataFrame, sizes: DataFrame, parsed: Parsed, weights: dict[str, float] = BM25_WEIGHTS, key: str = "slide_id") -> DataFrame:
-    """key and score of the slides that a parsed query matches. Excluded phrases score nothing."""
+def scored(parsed: Parsed, wanted: list[tuple[tuple[str, ...], str | None]]) -> list[int]:
+    """The phrases that count for a score: excluded ones do not."""
+    return sorted({wanted.index((tuple(_tokens(t)), t.column)) for g in parsed.groups for t in g.required})
+
+
+def idf(n: Column, df: Column) -> Column:
+    value = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(value <= 0, 1e-6).otherwise(value)
+
+
+def match(index: DataFrame, sizes: DataFrame, parsed: Parsed, weights: dict[str, float] = BM25_WEIGHTS, key: str = "slide_id", dfs: dict[int, int] | None = None, corpus=None) -> DataFrame:
+    """key and score of the slides that a parsed query matches. Excluded phrases score nothing.
+
+    index may be a part of the postings if it has whole slides and the corpus' statistics are given: rows with each
+    phrase (dfs), and n and avgdl (corpus).
+    """
     wanted = phrases(parsed)
-    scored = sorted({wanted.index((tuple(_tokens(t)), t.column)) for g in parsed.groups for t in g.required})
+    of = scored(parsed, wanted)
     f = frequencies(index, wanted, weights, key)
-    dfs = f.agg(*[F.count_if(F.col(f"f{p}") > 0).alias(f"df{p}") for p in scored])
-    corpus = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avgdl"))
-    hits = f.where(condition(parsed, wanted)).join(sizes, key)
-    # Both statistics are single rows.
-    hits = hits.crossJoin(F.broadcast(dfs)).crossJoin(F.broadcast(corpus))
-    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("n_tokens") / F.col("avgdl"))
-
-    def part(p: int) -> Column:
-        idf = F.log((F.col("n") - F.col(f"df{p}") + 0.5) / (F.col(f"df{p}") + 0.5))
-        idf = F.when(idf <= 0, 1e-6).otherwise(idf)
-        return idf * F.col(f"f{p}") * (BM25_K1 + 1) / (F.col(f"f{p}") + norm)
-
-    return hits.select(key, reduce(lambda a, b: a + b, map(part, scored)).alias("score"))
+    hits = f.where(condition(parsed, wanted)).join(sizes.select(key, "n_tokens"), key)
+    if dfs is None:
+        # Both statistics are single rows.
+        hits = hits.crossJoin(F.broadcast(f.agg(*[F.count_if(F.col(f"f{p}") > 0).alias(f"df{p}") for p in of])))
+        hits = hits.crossJoin(F.broadcast(sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("n_tokens").alias("avgdl"))))
+        df, n, avgdl = {p: F.col(f"df{p}") for p in of}, F.col("n"), F.col("avgdl")
+    else:
+        df, n, avgdl = {p: F.lit(dfs[p]) for p in of}, F.lit(corpus.n), F.lit(corpus.avgdl)
+    norm = BM25_K1 * (1 - BM25_B + BM25_B * F.col("n_tokens") / avgdl)
+    parts = [idf(n, df[p]) * F.col(f"f{p}") * (BM25_K1 + 1) / (F.col(f"f{p}") + norm) for p in of]
+    return hits.select(key, reduce(lambda a, b: a + b, parts).alias("score"))
 
 
 def top(found: DataFrame, limit: int, key: str = "slide_id") -> DataFrame:

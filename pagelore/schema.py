@@ -16,7 +16,7 @@ SCAN_CAP, SEARCH_CAP, EXPORT_CAP = 50, 200, 200
 RECENT, LARGEST, ISSUES = 10, 5, 200
 REFINEMENT_SECONDS = 120
 EMBED_BATCH = 64
-INDEX_VERSION, SCHEMA_VERSION = 3, 5
+INDEX_VERSION, SCHEMA_VERSION = 3, 7
 DEFAULT_WIDTH, DEFAULT_HEIGHT = 12_192_000, 6_858_000
 
 FILTERS = "deck_query string, path_prefix string, modified_from long, modified_to long, favorites_only boolean, tag_id long, limit int, sort string, mode string"
@@ -26,8 +26,8 @@ TABLES = {
     "roots": "id long, path string, last_scan_unix long, exclude_globs array<string>",
     "decks": "id long, root_id long, path string, file_name string, title string, author string, slide_count long, modified_unix long, size_bytes long, slide_width_emu long, slide_height_emu long, file_hash string, first_seen_unix long",
     "slides": "id long, deck_id long, slide_index long, title string, body_text string, notes string, thumb_path string, content_hash string, text_hash string",
-    "postings": "deck_id long, slide_id long, col string, pos int, term string",
-    "lengths": "deck_id long, slide_id long, n_tokens long",
+    "segments": "term string, chunk int, stamp long, n int, most double, shortest long, ids array<long>, counts array<int>, places array<int>",
+    "lengths": "deck_id long, slide_id long, n_tokens long, stamp long",
     "slide_favorites": "deck_path string, slide_index long, added_unix long",
     "deck_favorites": "deck_path string, added_unix long",
     "tags": "id long, name string, created_unix long",
@@ -44,6 +44,16 @@ TABLES = {
     "meta": "key string, value long",
 }
 
+#: What a change of rows names: rows of one key change together.
+KEYS = {
+    "roots": ["id"], "decks": ["id"], "slides": ["deck_id"], "segments": ["term"], "lengths": ["deck_id"], "slide_favorites": ["deck_path", "slide_index"], "deck_favorites": ["deck_path"],
+    "tags": ["id"], "slide_tags": ["deck_path", "slide_index"], "search_history": ["id"], "export_history": ["id"], "export_picks": ["export_id"], "scan_history": ["id"], "scan_issues": ["scan_id"],
+    "render_issues": ["deck_path", "slide_index"], "saved_searches": ["id"], "embeddings": ["model_id", "text_hash"], "deck_fonts": ["deck_id"], "meta": ["key"],
+}
+
+#: How the rows of a bucket are sorted where it is not by key.
+SORTS = {"segments": ["term", "chunk"], "slides": ["deck_id", "slide_index"]}
+
 
 def struct(name: str) -> T.StructType:
     return T.StructType.fromDDL(TABLES[name])

@@ -19,6 +19,10 @@ EXTRACTED = (
 )
 
 
+#: Changed files that one job opens.
+BATCH = 5000
+
+
 def is_deck(path: Column) -> Column:
     """A .pptx in any case that is no lock file and not hidden."""
     name = F.lower(text.base_name(path))
@@ -78,15 +82,28 @@ def excluded(relative: Column, globs: list[str]) -> Column:
     return out
 
 
+def plain(path: Column) -> Column:
+    """A path of a file as it is stored: not encoded, local ones without their scheme."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^file:/*", "/")
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """A root as the paths below it begin, whatever file system it names or leaves out."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    whole = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub("^file:/*", "/", whole).rstrip("/")
+
+
+def files(spark: SparkSession, root: str) -> DataFrame:
+    """path, relative, modified_unix, size_bytes of all files below a root. Contents are not read: only metadata columns are selected."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(plain(F.col("path")).alias("path"), F.greatest(F.unix_seconds("modificationTime"), F.lit(0)).alias("modified_unix"), F.col("length").alias("size_bytes"))
+    return rows.select("path", F.substring("path", len(qualified(spark, root)) + 2, 1 << 20).alias("relative"), "modified_unix", "size_bytes")
+
+
 def listing(spark: SparkSession, root_id: int, root: str, globs: list[str]) -> DataFrame:
-    """root_id, path, modified_unix, size_bytes, file_hash of a root's decks. Contents are not read: only metadata columns are selected."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "modificationTime", "length")
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*", "/")
-    base = root.rstrip("/")
-    rows = files.select(F.lit(root_id).cast("long").alias("root_id"), path.alias("path"), F.greatest(F.unix_seconds("modificationTime"), F.lit(0)).alias("modified_unix"), F.col("length").alias("size_bytes"))
-    relative = F.substring(F.col("path"), len(base) + 2, 1 << 20)
-    rows = rows.where(is_deck(F.col("path")) & ~is_pruned(relative) & ~excluded(relative, globs))
-    return rows.withColumn("file_hash", text.file_hash("modified_unix", "size_bytes", INDEX_VERSION))
+    """root_id, path, modified_unix, size_bytes, file_hash of a root's decks."""
+    rows = files(spark, root).where(is_deck(F.col("path")) & ~is_pruned(F.col("relative")) & ~excluded(F.col("relative"), globs))
+    return rows.select(F.lit(root_id).cast("long").alias("root_id"), "path", "modified_unix", "size_bytes", text.file_hash("modified_unix", "size_bytes", INDEX_VERSION).alias("file_hash"))
 
 
 def changes(found: DataFrame, decks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -117,11 +134,34 @@ def extract_one(path: str, content: bytes) -> dict:
     return out
 
 
-def extracted(spark: SparkSession, root: str, changed: DataFrame) -> DataFrame:
-    """One row for each changed file: only those are read, then parsed in Arrow batches on the executors."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][pP][tT][xX]").load(root)
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), "^file:/*", "/")
-    rows = files.select(path.alias("path"), "content").join(changed.select("path"), "path", "left_semi")
+def read_paths(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """path and content of these files: the scan lists and opens no others."""
+    escaped = [re.sub(r"([\\{}\[\]*?,])", r"\\\1", p) for p in paths]
+    return spark.read.format("binaryFile").load(escaped).select(plain(F.col("path")).alias("path"), "content")
+
+
+def contents(spark: SparkSession, root: str, changed: DataFrame, total: int, batch: int = BATCH) -> Iterator[DataFrame]:
+    """Frames of path and content that together hold the changed files.
+
+    If most of the root's ``total`` files changed, one frame scans the root and keeps the changed ones.
+    Else each frame opens a batch of the changed paths and nothing else; the driver holds one batch of paths.
+    """
+    if 2 * changed.count() > total:
+        rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(plain(F.col("path")).alias("path"), "content")
+        yield rows.join(changed.select("path"), "path", "left_semi")
+        return
+    held: list[str] = []
+    for r in changed.select("path").toLocalIterator():
+        held.append(r.path)
+        if len(held) == batch:
+            yield read_paths(spark, held)
+            held = []
+    if held:
+        yield read_paths(spark, held)
+
+
+def extracted(rows: DataFrame) -> DataFrame:
+    """One row for each file (path, content), parsed in Arrow batches on the executors."""
 
     def work(batches) -> Iterator[pa.RecordBatch]:
         schema = None
