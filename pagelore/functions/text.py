@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with a mark and their bare forms, for the folding that needs no Python.
-MARKED, BARE = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćčďēęěğīłńňōőřśşšťūůűźżž", "aaaaaaceeeeiiiinooooouuuuyyaaaccdeeegilnnoorssstuuuzzz"
 TOKEN = r"[\p{L}\p{N}\p{Co}]+"
 
 
@@ -14,9 +16,62 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@functools.cache
+def folding() -> tuple[str, str, str]:
+    """Characters that fold to one other, what they fold to, and the marks that fold to nothing.
+
+    The rule, over all code points of one plane after another: take the canonical decomposition, drop the marks, compose again.
+    Hangul syllables come apart into letters that are no marks, and so stay.
+    """
+    single, bare, marks = [], [], []
+    for point in (*range(0xD800), *range(0xE000, 0x20000)):
+        c = chr(point)
+        kind = unicodedata.category(c)
+        if kind[0] == "M":
+            marks.append(c)
+        elif kind != "Cn" and (apart := unicodedata.normalize("NFD", c)) != c:
+            kept = unicodedata.normalize("NFC", "".join(x for x in apart if unicodedata.category(x)[0] != "M"))
+            if len(kept) == 1 and kept != c:
+                single.append(c)
+                bare.append(kept)
+    return "".join(single), "".join(bare), "".join(marks)
+
+
+def folded(s: str) -> str:
+    """fold() of one text, for queries and snippets."""
+    single, bare, marks = folding()
+    return unicodedata.normalize("NFC", s.lower().translate(str.maketrans(single, bare, marks)).lower())
+
+
+@functools.cache
+def raw_token() -> re.Pattern:
+    """A token in a text that is not folded: letters and digits with the marks on them."""
+    marks = "".join(f"\\U{ord(c):08x}" for c in folding()[2])
+    return re.compile(rf"(?:[^\W_{marks}][{marks}]*)+")
+
+
+def composed_hangul(c: Column) -> Column:
+    """Hangul letters that follow each other as syllables, by the arithmetic of their code points."""
+    leads, vowels, tails, syllables = 0x1100, 0x1161, 0x11A7, 0xAC00
+    unit = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]|[\\s\\S]"
+
+    def joined(u: Column) -> Column:
+        first, last = F.ascii(u), F.ascii(F.substring(u, -1, 1))
+        tail = F.when(last > tails, last - tails).otherwise(0)
+        apart = syllables + ((first - leads) * 21 + F.ascii(F.substring(u, 2, 1)) - vowels) * 28 + tail
+        point = F.when(first >= syllables, first + last - tails).otherwise(apart)
+        open_syllable = (first >= syllables) & (F.pmod(first - syllables, F.lit(28)) == 0)
+        whole = (F.length(u) > 1) & ((first < syllables) | open_syllable)
+        return F.when(whole, F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE")).otherwise(u)
+
+    apart = c.rlike("[\u1161-\u1175\u11a8-\u11c2]")
+    return F.when(apart, F.array_join(F.transform(F.regexp_extract_all(c, F.lit(unit), F.lit(0)), joined), "")).otherwise(c)
+
+
 def fold(c: Column | str) -> Column:
-    """Lower case without diacritics (ß stays)."""
-    return F.translate(F.lower(col(c)), MARKED, BARE)
+    """Lower case without diacritics, in any script, whether marks are composed or follow their letters (ß stays)."""
+    single, bare, marks = folding()
+    return composed_hangul(F.lower(F.translate(F.lower(col(c)), single + marks, bare)))
 
 
 def tokens(c: Column | str) -> Column:

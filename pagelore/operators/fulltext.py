@@ -10,7 +10,6 @@ length, document frequencies) cover the whole index, not the filtered part.
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import reduce
 
 import pyarrow as pa
@@ -37,9 +36,7 @@ def lengths(rows: DataFrame, columns: tuple[str, ...] = COLUMNS, key: str = "sli
 
 def _tokens(t: Term) -> list[str]:
     """A term's tokens, folded as the index folds."""
-    table = str.maketrans(text.MARKED, text.BARE)
-    low = unicodedata.normalize("NFC", t.text).lower().translate(table)
-    return re.findall(r"[^\W_]+", low)
+    return re.findall(r"[^\W_]+", text.folded(t.text))
 
 
 def phrases(parsed: Parsed) -> list[tuple[tuple[str, ...], str | None]]:
@@ -137,8 +134,7 @@ def snippet(body: str | None, wanted: list[tuple[tuple[str, ...], str | None]],
     """The best window of n tokens of a body: most distinct phrases, then earliest; hits marked, cut ends shown by an ellipsis."""
     if not body:
         return ""
-    table = str.maketrans(text.MARKED, text.BARE)
-    spans = [(m.start(), m.end(), m.group().lower().translate(table)) for m in re.finditer(r"[^\W_]+", body)]
+    spans = [(m.start(), m.end(), text.folded(m.group())) for m in text.raw_token().finditer(body)]
     words = [w for _, _, w in spans]
     found: list[tuple[int, int, int]] = []
     for p, (ts, column) in enumerate(wanted):

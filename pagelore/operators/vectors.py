@@ -64,62 +64,178 @@ def ranked(found: DataFrame, key: str = "slide_id") -> DataFrame:
     return found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))
 
 
-def neighbours(vectors: DataFrame, threshold: float = NEAR_DUP_THRESHOLD, top: int = NEAR_DUP_NEIGHBOURS, block: int = 4096, key: str = "slide_id") -> DataFrame:
+class Cells:
+    """Cells of unit vectors around pivots, with the angles from every pivot between which each cell's vectors lie.
+
+    Pivots are fitted on a bounded sample (SAMPLE vectors, by hash); every vector is placed. Two vectors whose angles from
+    some pivot differ by more than the widest angle allowed are further apart than that, so cells whose ranges are so far
+    apart are ruled out before any of their vectors meet. Bounds are one row for each cell of some BLOCK vectors.
+    """
+
+    def __init__(self, vectors: DataFrame, threshold: float, block: int):
+        """vectors: id long, vector (all of one length)."""
+        spark = vectors.sparkSession
+        self.widest = float(np.arccos(min(max(threshold, -1.0), 1.0))) + 1e-6
+        sample = np.array([r.vector for r in vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("vector").collect()], np.float64)
+        chosen, near = [0], None
+        while len(sample) and len(chosen) < min(PIVOTS, len(sample)):
+            angle = self.angles(sample, sample[chosen[-1:]])[:, 0]
+            near = angle if near is None else np.minimum(near, angle)
+            if near.max() <= 1e-9:
+                break
+            chosen.append(int(near.argmax()))
+        self.pivots = sample[chosen] if len(sample) else np.zeros((1, 1))
+        placed = vectors.select("id", "vector").mapInArrow(self._placed, "id long, vector array<double>, pivot int, angle double")
+        n = placed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()
+        self.n = sum(r.n for r in n)
+        ranges = max([-(-r.n // block) for r in n], default=1)
+        share = F.percentile_approx("angle", [(i + 1) / ranges for i in range(ranges)])
+        own = {r.pivot: -(-r.n // block) for r in n}
+        self.cuts = {r.pivot: np.unique([r.cuts[round((i + 1) * ranges / own[r.pivot]) - 1] for i in range(own[r.pivot] - 1)]) for r in placed.groupBy("pivot").agg(share.alias("cuts")).collect()}
+        first = {p: sum(len(self.cuts[q]) + 1 for q in sorted(self.cuts) if q < p) for p in self.cuts}
+        self.first = first
+        self.placed = placed.mapInArrow(self._celled, "id long, vector array<double>, cell int, part int, angles array<double>")
+        bounds = self.placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *[f(F.get("angles", F.lit(i))).alias(f"{name}{i}") for i in range(len(self.pivots)) for name, f in (("low", F.min), ("high", F.max))]).collect()
+        self.cell = np.array([r.cell for r in bounds], np.int64)
+        self.size = np.array([r.n for r in bounds], np.int64)
+        self.low, self.high = (np.array([[r[f"{x}{i}"] for i in range(len(self.pivots))] for r in bounds]).reshape(len(bounds), len(self.pivots)) for x in ("low", "high"))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "placed"}
+
+    @staticmethod
+    def angles(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        norm = np.linalg.norm(rows, axis=1, keepdims=True)
+        return np.arccos(np.clip(rows / np.where(norm > 0, norm, 1) @ pivots.T / np.maximum(np.linalg.norm(pivots, axis=1), 1e-300), -1, 1))
+
+    def _placed(self, batches):
+        for b in batches:
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            angle = self.angles(x, self.pivots) if b.num_rows else np.zeros((0, 1))
+            near = angle.argmin(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.list_(pa.float64())), pa.array(near.astype(np.int32)), pa.array(angle[np.arange(len(near)), near])], ["id", "vector", "pivot", "angle"])
+
+    def _celled(self, batches):
+        for b in batches:
+            pivot, angle = b.column(2).to_numpy(), b.column(3).to_numpy()
+            cell = np.array([self.first[p] + np.searchsorted(self.cuts[p], a) for p, a in zip(pivot.tolist(), angle.tolist(), strict=True)], np.int32)
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            every = self.angles(x, self.pivots) if b.num_rows else np.zeros((0, len(self.pivots)))
+            offs = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * every.shape[1])
+            part = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell), pa.array(part), pa.ListArray.from_arrays(offs, pa.array(every.ravel()))], ["id", "vector", "cell", "part", "angles"])
+
+    def partners(self, cell: int) -> np.ndarray:
+        """Cells not before this one that may hold a vector near one of its own, itself among them."""
+        i = int(np.flatnonzero(self.cell == cell)[0])
+        apart = np.maximum(self.low - self.high[i], self.low[i] - self.high).max(1)
+        near = self.cell[(apart <= self.widest) & (self.cell >= cell)]
+        return np.sort(near)
+
+    def share(self) -> float:
+        """The part of all pairs of vectors that are compared."""
+        total = self.n * (self.n - 1) / 2
+        size = dict(zip(self.cell.tolist(), self.size.tolist(), strict=True))
+        met = sum(size[c] * size[d] if c != d else size[c] * (size[c] - 1) / 2 for c in size for d in self.partners(c).tolist())
+        return met / total if total else 0.0
+
+
+#: Vectors that pivots are fitted on, and pivots.
+SAMPLE, PIVOTS = 2048, 16
+#: Vectors of one side that a task holds as a matrix.
+HELD = 4096
+
+
+def neighbours(vectors: DataFrame, threshold: float = NEAR_DUP_THRESHOLD, top: int = NEAR_DUP_NEIGHBOURS, block: int = HELD, key: str = "slide_id", cells: Cells | None = None) -> DataFrame:
     """key, other, score: each vector's ``top`` nearest of at least the threshold, itself left out.
 
-    Vectors are dealt into blocks of bounded size; each pair of blocks is one
-    matrix product, keeps only the rows' best, and a window merges them. Every
-    vector meets every block, so work is quadratic as the question is, but no
-    task holds more than two blocks.
+    Vectors of a cell meet those of the cells that its bounds can't rule out, each pair of cells in one place and once:
+    one matrix product there gives both sides their best, and a window merges them. A cell whose vectors are so alike
+    that no angle parts them is dealt out in parts of bounded size. The sample decides the cost only.
     """
     spark = vectors.sparkSession
-    n = vectors.count()
-    blocks = max(1, -(-n // block))
-    v = vectors.select(F.col(key).cast("long").alias("id"), "vector").withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    held = v.select(F.col("b").alias("at"), F.lit(0).alias("kind"), "id", "vector")
-    asked = v.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("at"), F.lit(1).alias("kind"), "id", "vector")
+    v = vectors.select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    cells = cells or Cells(v, threshold, block)
+    parts_of = {c: max(1, -(-n // block)) for c, n in zip(cells.cell.tolist(), cells.size.tolist(), strict=True)}
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = held.unionByName(asked).repartition(tasks, "at").sortWithinPartitions("at", "kind")
+    back: dict[int, list[int]] = {c: [] for c in parts_of}
+    for c in parts_of:
+        for d in cells.partners(c).tolist():
+            back[d].append(c)
+
+    def deal(batches):
+        """A row is held in its own place, and visits the places of cells and parts up to its own."""
+        for b in batches:
+            cell, part = b.column(2).to_numpy(), b.column(3).to_numpy()
+            take, at, sub, kind = [], [], [], []
+            for i, (c, p) in enumerate(zip(cell.tolist(), part.tolist(), strict=True)):
+                own = p % parts_of[c]
+                for d in back[c]:
+                    for x in range(parts_of[d] if d != c else own + 1):
+                        take.append(i)
+                        at.append(d)
+                        sub.append(x)
+                        kind.append(int((d, x) != (c, own)))
+            rows = pa.array(np.array(take, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sub, pa.int32()), pa.array(kind, pa.int32()), b.column(0).take(rows), b.column(1).take(rows)], ["at", "sub", "kind", "id", "vector"])
+
+    rows = cells.placed.select("id", "vector", "cell", "part").mapInArrow(deal, "at int, sub int, kind int, id long, vector array<double>").repartition(tasks, "at", "sub").sortWithinPartitions("at", "sub", "kind")
+
+    def best(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((b, -score, a))
+        a, b, score = a[order], b[order], score[order]
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]
+        first = np.flatnonzero(new)
+        keep = np.arange(len(a)) - np.repeat(first, np.diff(np.append(first, len(a)))) < top
+        return pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep]), pa.array(score[keep])], [key, "other", "score"])
 
     def work(batches):
         now, ids, mats, mine, mat = None, [], [], None, None
         for b in batches:
-            at, kind, key_ = (b.column(i).to_numpy() for i in range(3))
-            cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (kind[1:] != kind[:-1])])).tolist() if b.num_rows else []
-            for lo, hi in zip(cut, [*cut[1:], b.num_rows]):
-                if at[lo] != now:
-                    now, ids, mats, mat = at[lo], [], [], None
-                x = b.column(3).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(hi - lo, -1)
-                if kind[lo] == 0:
-                    ids.append(key_[lo:hi])
+            at, sub, kind, id_ = (b.column(i).to_numpy() for i in range(4))
+            cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (sub[1:] != sub[:-1]) | (kind[1:] != kind[:-1])])).tolist() if b.num_rows else []
+            for lo, hi in zip(cut, [*cut[1:], b.num_rows], strict=True):
+                if (at[lo], sub[lo]) != now:
+                    now, ids, mats, mat = (at[lo], sub[lo]), [], [], None
+                x = b.column(4).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1)
+                if kind[lo] == 0:  # rows held here: each batch meets those before it and itself
+                    ids.append(id_[lo:hi])
                     mats.append(x)
-                    continue
-                if mat is None:
-                    mine, mat = (np.concatenate(ids), np.concatenate(mats)) if ids else (None, np.zeros((0, x.shape[1])))
-                for s in range(0, len(x), 1024):
-                    score = x[s : s + 1024] @ mat.T
-                    q, c = np.nonzero(score >= threshold)
-                    other = mine[c] if len(c) else np.zeros(0, np.int64)
-                    q_ids, val = key_[lo + s : hi][q], score[q, c]
-                    keep = q_ids != other
-                    q_ids, other, val = q_ids[keep], other[keep], val[keep]
-                    order = np.lexsort((other, -val, q_ids))
-                    q_ids, other, val = q_ids[order], other[order], val[order]
-                    first = np.flatnonzero(np.concatenate([[True][: len(q_ids)], q_ids[1:] != q_ids[:-1]]))
-                    place = np.arange(len(q_ids)) - np.repeat(first, np.diff(np.append(first, len(q_ids))))
-                    best = place < top
-                    yield pa.RecordBatch.from_arrays([pa.array(q_ids[best]), pa.array(other[best]), pa.array(val[best])], [key, "other", "score"])
+                    pairs = [(id_[lo:hi], x, ids[j], mats[j], j == len(ids) - 1) for j in range(len(ids))]
+                else:
+                    if mat is None:
+                        mine, mat = (np.concatenate(ids), np.concatenate(mats)) if ids else (np.zeros(0, np.int64), np.zeros((0, x.shape[1])))
+                    pairs = [(id_[lo:hi], x, mine, mat, False)]
+                for left, y, right, m, same in pairs:
+                    for s in range(0, len(y), 1024):
+                        score = y[s : s + 1024] @ m.T
+                        q, c = np.nonzero(score >= threshold)
+                        if same:
+                            q, c = q[c > q + s], c[c > q + s]
+                        if len(q):
+                            a, d, val = left[s:][q], right[c], score[q, c]
+                            yield best(np.concatenate([a, d]), np.concatenate([d, a]), np.concatenate([val, val]))
 
     found = rows.mapInArrow(work, f"{key} long, other long, score double")
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "other"))
     return found.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank")
 
 
+def shared_folder(spark) -> str:
+    """The folder that all machines share, as spark.checkpoint.dir names it; a folder of this machine only where all runs on it."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith(("local[", "local")) or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = "/tmp/pagelore-checkpoints"
+    return base.rstrip("/")
+
+
 def work_table(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared checkpoint folder and read again."""
     spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or "/tmp/pagelore-checkpoints"
-    path = f"{base.rstrip('/')}/pagelore-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/pagelore-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
 

@@ -44,58 +44,58 @@ def test_rescan_changes_nothing(lib):
 
 
 def test_records(lib):
-    assert sorted(r.title for r in lib.decks().collect()) == ["Garden Plan", "Harbour Report"]
+    assert sorted((r.title, r.author) for r in lib.decks().collect()) == [("Fleet Handbook", "P. Lindqvist"), ("Kitchen Rota", None)]
     s = {r.title: r for r in lib.slides().collect()}
-    assert s["Cargo Figures"].body_text == "Cargo Figures\nTonnage grew\nDelays fell"
-    assert s["Cargo Figures"].notes == "Mention the tonnage of spring"
-    assert s["Berths"].notes is None and not s["Berths"].favorite
+    assert s["Ferry Timetable"].body_text == "Ferry Timetable\nIsland line at noon\nNight boat on Fridays\nNo boat in storms"
+    assert s["Ferry Timetable"].notes == "Ask the skipper about storms" and s[None].body_text == "Spare ropes\nSpare lamps"
+    assert s["Crew"].notes is None and not s["Crew"].favorite
     with pytest.raises(LibraryError):
         lib.slide(1)
 
 
 def test_search(lib):
-    assert titles(lib, lib.search("tonnage")) == ["Cargo Figures"]
-    assert titles(lib, lib.search("koln")) == ["Berths"]
-    assert titles(lib, lib.search("title:beds")) == ["Beds"]
-    assert set(titles(lib, lib.search("deck:harbour"))) == {"Cargo Figures", "Berths"}
-    assert set(titles(lib, lib.search("tonnage OR herbs"))) == {"Cargo Figures", "Beds"}
-    assert titles(lib, lib.search("deck:harbour NOT delays")) == ["Berths"]
-    assert titles(lib, lib.search("tonnage before:2001-01-01")) == []
-    assert len(ids(lib.search(""))) == len(ids(lib.search("-delays"))) == len(ids(lib.search("%%% ;;;"))) == 3
-    assert "<mark>Tonnage</mark>" in lib.search("tonnage").first().snippet
-    assert len(ids(lib.search("", Filters(deck_query="GARDEN")))) == 1
+    soups = {"Monday soup", "Friday soup"}
+    assert titles(lib, lib.search("skipper")) == ["Ferry Timetable"] and titles(lib, lib.search("notes:ropes")) == [None]
+    assert titles(lib, lib.search("jorgen")) == titles(lib, lib.search("Jo\u0308rgen")) == ["Crew"]
+    assert set(titles(lib, lib.search("title:soup"))) == soups and titles(lib, lib.search("body:barl")) == ["Friday soup"]
+    assert set(titles(lib, lib.search("deck:fleet"))) == {"Ferry Timetable", "Crew", None}
+    assert set(titles(lib, lib.search("lentil OR steers"))) == {"Friday soup", "Crew"}
+    assert titles(lib, lib.search("deck:kitchen NOT friday")) == ["Monday soup"] and titles(lib, lib.search('"no boat"')) == ["Ferry Timetable"]
+    assert titles(lib, lib.search("soup before:2001-01-01")) == []
+    assert len(ids(lib.search(""))) == len(ids(lib.search("-soup"))) == len(ids(lib.search("%%% ;;;"))) == 5
+    assert "<mark>Island</mark> line" in lib.search("island").first().snippet
+    assert len(ids(lib.search("", Filters(deck_query="KITCHEN")))) == 2
     for q in ['"', "NOT", "title:", "a OR", "((", "NEAR(", '"x', "-"]:
         lib.search(q).collect()
 
 
 def test_vectors(lib):
-    assert lib.embed_missing() == 3 and lib.embed_missing() == 0
-    assert lib.embedding_counts().first().embedded == 3
+    assert lib.embed_missing() == 5 and lib.embed_missing() == 0
+    assert lib.embedding_counts().first().embedded == 5
     text = lib.pending_texts().collect()
     assert text == []
     assert lib.cleanup_orphan_embeddings() == 0
-    q3 = next(r.id for r in lib.slides().collect() if r.title == "Cargo Figures")
-    body = "Cargo Figures\nCargo Figures\nTonnage grew\nDelays fell\nMention the tonnage of spring"
-    got = lib._vector_pool(body, Filters(), 5).collect()
-    assert [r.slide_id for r in got] == [q3] and got[0].score > 0.999
-    assert titles(lib, lib.search("tonnage", Filters(mode="hybrid"))) == ["Cargo Figures"]
-    assert lib.similar(q3).collect() == []
+    crew = next(r.id for r in lib.slides().collect() if r.title == "Crew")
+    got = lib._vector_pool("Crew\nCrew\nJörgen steers", Filters(), 5).collect()
+    assert [r.slide_id for r in got] == [crew] and got[0].score > 0.999
+    assert titles(lib, lib.search("lentil", Filters(mode="hybrid"))) == ["Friday soup"]
+    assert lib.similar(crew).collect() == []
 
 
 def test_favorites_tags_and_saved(lib):
     s = {r.title: r.id for r in lib.slides().collect()}
-    assert lib.toggle_slide_favorite(s["Berths"]) is True
-    assert titles(lib, lib.search("", Filters(favorites_only=True))) == ["Berths"]
-    assert lib.toggle_slide_favorite(s["Berths"]) is False
-    lib.set_slide_tags(s["Beds"], [" Plan ", "plan", "", "Next"])
+    assert lib.toggle_slide_favorite(s["Crew"]) is True
+    assert titles(lib, lib.search("", Filters(favorites_only=True))) == ["Crew"]
+    assert lib.toggle_slide_favorite(s["Crew"]) is False
+    lib.set_slide_tags(s["Monday soup"], [" Plan ", "plan", "", "Next"])
     assert [(r.name, r.n_slides) for r in lib.tags().collect()] == [("Next", 1), ("Plan", 1)]
     tag = {r.name: r.id for r in lib.tags().collect()}
     with pytest.raises(LibraryError):
         lib.rename_tag(tag["Next"], "PLAN")
-    lib.set_slide_tags(s["Beds"], ["PLAN"])
-    assert [r.name for r in lib.slide_tags(s["Beds"]).collect()] == ["Plan"]
-    assert titles(lib, lib.search("", Filters(tag_id=tag["Plan"]))) == ["Beds"]
-    lib.save_search("mine", "tonnage", Filters(deck_query="x"))
+    lib.set_slide_tags(s["Monday soup"], ["PLAN"])
+    assert [r.name for r in lib.slide_tags(s["Monday soup"]).collect()] == ["Plan"]
+    assert titles(lib, lib.search("", Filters(tag_id=tag["Plan"]))) == ["Monday soup"]
+    lib.save_search("mine", "soup", Filters(deck_query="x"))
     row = lib.saved_searches().first()
     assert (row.name, row.position, row.filters.deck_query) == ("mine", 0, "x")
     lib.delete_saved_search(row.id)
@@ -104,34 +104,37 @@ def test_favorites_tags_and_saved(lib):
 def test_histories(lib):
     clock = iter([1000, 1010, 1020, 5000])
     lib.now = lambda: next(clock)
-    for q in ("ton", "tonnage", "  "):
+    for q in ("sou", "soup", "  "):
         lib.record_search(q, 1)
-    lib.record_search("delays", 2)
-    assert [r.query for r in lib.table("search_history").orderBy("id").collect()] == ["tonnage", "delays"]
+    lib.record_search("ropes", 2)
+    assert [r.query for r in lib.table("search_history").orderBy("id").collect()] == ["soup", "ropes"]
     lib.now = lambda: 9000
-    lib.record_export("out.pptx", "t", [("a", 1), ("a", 3), ("b", 2)])
-    lib.record_export("out.pptx", "t", [("a", 1)])
-    assert {r.deck_path: r.n_exports for r in lib.export_counts().collect()} == {"a": 3, "b": 1}
+    lib.record_export("menu.pptx", "t", [("kitchen", 2)])
+    lib.record_export("all.pptx", "t", [("fleet", i) for i in (3, 1, 2)] + [("kitchen", 1), ("kitchen", 2)])
+    assert {r.deck_path: r.n_exports for r in lib.export_counts().collect()} == {"fleet": 3, "kitchen": 3}
     lib.record_render_issues("p", 1, "h", ["chart", "chart"])
     assert lib.render_issues_for("p", 1, "h") == ["chart"] and lib.render_issues_for("p", 1, "x") == []
     o = lib.stats_overview().first()
-    assert (o.decks, o.slides) == (2, 3) and len(o.recent_exports) == 2 and len(o.issues) == 1
+    assert (o.decks, o.slides) == (2, 5) and [e.source_decks for e in o.recent_exports] == [2, 1] and len(o.issues) == 1
 
 
 def test_duplicates(spark, tmp_path):
+    """Three copies of one slide and two of another, in three decks; a deck that vanishes takes its copies along."""
     d = tmp_path / "d"
     d.mkdir()
-    (d / "a.pptx").write_bytes(deck("A", [("Shared", ["x"], None, False), ("Only A", [], None, False)]))
-    (d / "b.pptx").write_bytes(deck("B", [("Shared", ["x"], None, False)]))
+    rule, map_ = ("House rule", ["Shoes off"], None, False), ("Map", ["North is up"], "turn it", False)
+    (d / "hall.pptx").write_bytes(deck("Hall", [rule, map_]))
+    (d / "porch.pptx").write_bytes(deck("Porch", [("Welcome", [], None, False), rule, rule]))
+    (d / "attic.pptx").write_bytes(deck("Attic", [map_]))
     lib = Library(spark, str(tmp_path / "t"), FakeEmbedder(32))
     lib.add_root(str(d))
     lib.scan()
     lib.embed_missing()
     rows = lib.duplicate_groups().collect()
-    assert [(r.kind, r.n) for r in rows] == [("exact", 2)]
-    os.remove(d / "b.pptx")
+    assert [(r.kind, r.n, {m.title for m in r.members}) for r in rows] == [("exact", 3, {"House rule"}), ("exact", 2, {"Map"})]
+    os.remove(d / "porch.pptx")
     assert lib.scan()["removed"] == 1
-    assert lib.duplicate_groups().collect() == []
+    assert [(r.n, {m.title for m in r.members}) for r in lib.duplicate_groups().collect()] == [(2, {"Map"})]
     lib.clear()
     assert lib.table("slides").count() == 0 and lib.roots().count() == 1 and lib.table("embeddings").count() == 2
 
@@ -141,7 +144,7 @@ def test_excludes(lib):
     with pytest.raises(LibraryError):
         lib.set_root_excludes(root, ["ok*", "[bad"])
     assert lib.roots().first().exclude_globs == []
-    lib.set_root_excludes(root, [" harbour* ", ""])
+    lib.set_root_excludes(root, [" fleet* ", ""])
     assert lib.scan()["removed"] == 1
     lib.set_root_excludes(root, [])
     assert lib.scan()["indexed"] == 1
@@ -151,11 +154,11 @@ def test_command_line(spark, lib, tmp_path, capsys):
     decks, tables = str(lib.base / "decks"), str(tmp_path / "cli")
     assert main(["index", decks, "--library", tables], spark) == 0
     capsys.readouterr()
-    assert main(["search", "tonnage", "--library", tables, "--json"], spark) == 0
-    assert json.loads(capsys.readouterr().out)[0]["title"] == "Cargo Figures"
+    assert main(["search", "skipper", "--library", tables, "--json"], spark) == 0
+    assert json.loads(capsys.readouterr().out)[0]["title"] == "Ferry Timetable"
     assert main(["stats", "--library", tables], spark) == 0
     assert main(["stats", "--library", str(tmp_path / "none")], spark) == 1
     assert main(["nonsense"], spark) == 2
     out = str(tmp_path / "new.pptx")
-    assert main(["compose", f"{decks}/harbour.pptx:1", f"{decks}/garden.pptx:1", "--out", out]) == 0
+    assert main(["compose", f"{decks}/fleet.pptx:1", f"{decks}/kitchen.pptx:1", "--out", out]) == 0
     assert main(["compose", "nonsense", "--out", out]) == 2

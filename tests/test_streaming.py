@@ -6,8 +6,15 @@ from fixtures import deck
 from pagelore.operators import vectors
 from pagelore.streaming import history, watch
 
-ROWS = [("s", 1, "cra", 1, 100), ("s", 2, "crane", 2, 150), ("s", 3, " ", 0, 160), ("s", 4, "winch", 3, 170), ("s", 5, "winch rope", 4, 400), ("t", 1, "cra", 5, 151)]
-WANT = [("s", "crane", 2, 150), ("s", "winch", 3, 170), ("s", "winch rope", 4, 400), ("t", "cra", 5, 151)]
+
+def typed(session, first, at, *texts):
+    """A typist's searches, half a minute apart."""
+    return [(session, first + i, t, len(t), at + 30 * i) for i, t in enumerate(texts)]
+
+
+#: One typist narrows, widens and leaves; comes back to the same text after three minutes; another types at the same time; a third only blanks.
+ROWS = [*typed("noor", 1, 1000, "la", "lam", "lamp", "lam", "   ", "soup"), *typed("noor", 9, 1330, "soup"), *typed("ines", 20, 1010, "ferry to", "ferry", "boat"), *typed("ada", 30, 1000, "\t", " ")]
+WANT = [("ines", "boat", 4, 1070), ("ines", "ferry", 5, 1040), ("noor", "lam", 3, 1090), ("noor", "soup", 4, 1150), ("noor", "soup", 4, 1330)]
 SCHEMA = "session string, id long, query string, result_count long, searched_unix long"
 
 
