@@ -25,6 +25,8 @@ from pagelore.schema import (
     FALLBACK_SNIPPET,
     HYBRID_POOL,
     KEYS,
+    NEAR_DUP_NEIGHBOURS,
+    NEAR_DUP_THRESHOLD,
     REFINEMENT_SECONDS,
     SCAN_CAP,
     SEARCH_CAP,
@@ -55,7 +57,7 @@ class Library:
     """Tables of one store: a change of the library is one commit, a frame that was taken before goes on reading its version."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: vectors.FakeEmbedder | None = None):
-        self.spark, self.path, self.embedder = spark, path.rstrip("/"), embedder
+        self.spark, self.path, self.embedder, self.floor = spark, path.rstrip("/"), embedder, SEMANTIC_FLOOR
         self.store = Store(spark, self.path, {n: struct(n) for n in TABLES}, KEYS, SORTS)
         self.index = Index(self.store)
         self._fs, self._path = self.store.fs, self.store._hadoop
@@ -250,13 +252,44 @@ class Library:
         t = self.table
         return filters.browse(t("slides"), t("decks"), t("slide_favorites"), t("slide_tags"), t("export_picks"), f, limit or f.limit or DEFAULT_LIMIT).select("slide_id", "score", "snippet")
 
+    def _memo(self, name: str, stamp: str, make: Callable[[], None]) -> bool:
+        """Makes a stored result anew if what it comes from has changed since, in one commit; whether it did."""
+        have = self.table("memos").where(F.col("name") == name).first()
+        if have is not None and have.stamp == stamp:
+            return False
+        with self.store.change():
+            make()
+            self.store.replace("memos", None, self.rows("memos", [(name, stamp)]), small=True)
+        return True
+
     def vector_store(self) -> DataFrame:
-        return vectors.store(self.table("slides"), self.table("embeddings"), self.embedder.id, self.embedder.dims)
+        """slide_id, text_hash, vector of each embedded slide: stored, and brought up to date for the slides that changed only."""
+        self._memo("slide_vectors", self.store.stamp("slides", "embeddings", extra=[self.embedder.id, self.embedder.dims]), self._refresh_vectors)
+        return self.table("slide_vectors").select("slide_id", "text_hash", "vector")
+
+    def _refresh_vectors(self) -> None:
+        model, dims = self.embedder.id, self.embedder.dims
+        e = self.table("embeddings").where((F.col("model_id") == model) & (F.size("vector") == dims))
+        s = self.table("slides").where(F.col("text_hash").isNotNull()).select(F.col("id"), "text_hash")
+        wanted = s.join(e.select("text_hash"), "text_hash", "left_semi").select(F.lit(model).alias("model_id"), F.col("id").alias("slide_id"), "text_hash")
+        have, keys = self.table("slide_vectors").select("model_id", "slide_id", "text_hash"), ["model_id", "slide_id", "text_hash"]
+        lost = vectors.work_table(have.join(wanted, keys, "left_anti").select("slide_id"), "lost")
+        new = vectors.work_table(wanted.join(have, keys, "left_anti"), "new")
+        self.refreshed = new.count()
+        if self.refreshed or lost.count():
+            fresh = vectors.store(new.select(F.col("slide_id").alias("id"), "text_hash"), e, model, dims)
+            self.store.replace("slide_vectors", lost.unionByName(new.select("slide_id")), fresh.withColumn("model_id", F.lit(model)))
+
+    def near_clusters(self, threshold: float = NEAR_DUP_THRESHOLD, top: int = NEAR_DUP_NEIGHBOURS) -> DataFrame:
+        """slide_id, cluster: made once for each state of the vectors and each setting, then read."""
+        store = self.vector_store()
+        self._memo("clusters", self.store.stamp("slide_vectors", extra=[threshold, top]), lambda: self.put("clusters", vectors.clusters(store, threshold, top)))
+        return self.table("clusters")
 
     def _vector_pool(self, query: str, f: Filters, limit: int) -> DataFrame:
         v, ok = self.vector_store(), self._admitted(f)
         v = v if ok is None else v.join(ok, "slide_id", "left_semi")
-        return vectors.top_k(v, self.embedder.embed_query(query), limit, SEMANTIC_FLOOR)
+        return vectors.top_k(v, self.embedder.embed_query(query), limit, self.floor)
 
     def search(self, query: str = "", f: Filters = Filters()) -> DataFrame:
         """slide_id, score, snippet, best first. Nothing a user types is an error."""
@@ -287,7 +320,8 @@ class Library:
         return vectors.similar(self.vector_store(), slide_id, limit, SIMILAR_FLOOR)
 
     def duplicate_groups(self) -> DataFrame:
-        return duplicates.groups(self.table("slides"), self.table("decks"), self.vector_store() if self.embedder else None)
+        near = self.near_clusters() if self.embedder else None
+        return duplicates.groups(self.table("slides"), self.table("decks"), self.vector_store() if self.embedder else None, clusters=near)
 
     # Vectors
 

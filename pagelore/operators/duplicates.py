@@ -27,19 +27,19 @@ def all_same(members: DataFrame, slides: DataFrame) -> DataFrame:
     return rows.groupBy("cluster").agg(((F.count_distinct("content_hash") == 1) & (F.count("content_hash") == F.count(F.lit(1)))).alias("same"))
 
 
-def near_groups(slides: DataFrame, store: DataFrame, threshold: float = NEAR_DUP_THRESHOLD, top: int = NEAR_DUP_NEIGHBOURS) -> DataFrame:
-    """cluster, slide_id, cohesion of near-duplicate clusters that are not merely exact copies."""
-    members = vectors.work_table(vectors.clusters(store, threshold, top), "clusters")
+def near_groups(slides: DataFrame, store: DataFrame, threshold: float = NEAR_DUP_THRESHOLD, top: int = NEAR_DUP_NEIGHBOURS, clusters: DataFrame | None = None) -> DataFrame:
+    """cluster, slide_id, cohesion of near-duplicate clusters that are not merely exact copies. clusters: those of the store, if they are known."""
+    members = vectors.work_table(vectors.clusters(store, threshold, top), "clusters") if clusters is None else clusters
     real = all_same(members, slides).where(~F.col("same")).select("cluster")
     kept = members.join(real, "cluster", "left_semi")
     return kept.join(vectors.cohesion(kept, store), "cluster")
 
 
-def groups(slides: DataFrame, decks: DataFrame, store: DataFrame | None, threshold: float = NEAR_DUP_THRESHOLD) -> DataFrame:
+def groups(slides: DataFrame, decks: DataFrame, store: DataFrame | None, threshold: float = NEAR_DUP_THRESHOLD, clusters: DataFrame | None = None) -> DataFrame:
     """kind, group, n, score, members (newest deck first, then id), ordered exact before near, large before small."""
     exact = exact_members(slides).select(F.lit("exact").alias("kind"), "group", F.col("id").alias("slide_id"), F.lit(None).cast("float").alias("score"))
     if store is not None:
-        near = near_groups(slides, store, threshold)
+        near = near_groups(slides, store, threshold, clusters=clusters)
         exact = exact.unionByName(near.select(F.lit("near").alias("kind"), F.col("cluster").alias("group"), "slide_id", F.col("cohesion").alias("score")))
     rows = exact.join(slides.select(F.col("id").alias("slide_id"), "deck_id", "slide_index", "title"), "slide_id").join(decks.select(F.col("id").alias("deck_id"), "path", "modified_unix"), "deck_id")
     member = F.struct((-F.col("modified_unix")).alias("newest"), "slide_id", "path", "slide_index", "title")

@@ -41,6 +41,10 @@ TABLES = {
     "saved_searches": f"id long, name string, query string, filters struct<{', '.join(':'.join(c.rsplit(' ', 1)) for c in FILTERS.split(', '))}>, position long, created_unix long",
     "embeddings": "model_id string, text_hash string, dims int, vector array<float>",
     "deck_fonts": "deck_id long, family string, embedded boolean",
+    "leases": "name string, owner string, until_unix long, cancelled boolean",
+    "slide_vectors": "model_id string, slide_id long, text_hash string, vector array<float>",
+    "clusters": "slide_id long, cluster long",
+    "memos": "name string, stamp string",
     "meta": "key string, value long",
 }
 
@@ -49,6 +53,7 @@ KEYS = {
     "roots": ["id"], "decks": ["id"], "slides": ["deck_id"], "segments": ["term"], "lengths": ["deck_id"], "slide_favorites": ["deck_path", "slide_index"], "deck_favorites": ["deck_path"],
     "tags": ["id"], "slide_tags": ["deck_path", "slide_index"], "search_history": ["id"], "export_history": ["id"], "export_picks": ["export_id"], "scan_history": ["id"], "scan_issues": ["scan_id"],
     "render_issues": ["deck_path", "slide_index"], "saved_searches": ["id"], "embeddings": ["model_id", "text_hash"], "deck_fonts": ["deck_id"], "meta": ["key"],
+    "leases": ["name"], "slide_vectors": ["slide_id"], "clusters": ["slide_id"], "memos": ["name"],
 }
 
 #: How the rows of a bucket are sorted where it is not by key.

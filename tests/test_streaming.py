@@ -1,4 +1,5 @@
 import math
+import os
 
 import pandas as pd
 from fixtures import deck
@@ -38,17 +39,38 @@ def test_collapse_of_a_stream(spark, tmp_path):
         q.stop()
 
 
-def test_watch(spark, tmp_path):
-    d = tmp_path / "decks"
+def test_watch_gives_out_batches_from_their_first_event(spark, tmp_path):
+    """By a clock of the test's own: a batch closes one interval after its first event, later events don't move that, deleted decks come out."""
+    d, clock, seen = tmp_path / "decks", [1000.0], []
     d.mkdir()
-    (d / "a.pptx").write_bytes(deck("A", [("x", [], None, False)]))
-    (d / "~$a.pptx").write_bytes(b"")
-    (d / "b.txt").write_bytes(b"")
-    seen = []
-    q = watch.watch(spark, str(d), seen.extend, str(tmp_path / "c"), 0.2)
-    try:
+    for name in ("one.pptx", "two.pptx", "~$one.pptx", "notes.txt"):
+        (d / name).write_bytes(deck("A", [("x", [], None, False)]))
+    w = watch.Watch(spark, str(d), str(tmp_path / "work"), interval=2.0, now=lambda: clock[0])
+    q = w.start(lambda batch: seen.append([(os.path.basename(p), what) for p, what in batch]))
+
+    def tick(to):
+        clock[0] = to
+        n = w.poll()
         q.processAllAvailable()
-        assert [p.rsplit("/", 1)[1] for p in seen] == ["a.pptx"]
+        return n
+
+    try:
+        assert tick(1000.0) == 2 and seen == []
+        (d / "three.pptx").write_bytes(deck("C", [("z", [], None, False)]))
+        assert tick(1001.5) == 1 and seen == []
+        assert tick(1002.5) == 0 and seen == [[("one.pptx", "new"), ("three.pptx", "new"), ("two.pptx", "new")]]
+        os.remove(d / "two.pptx")
+        assert tick(1003.0) == 1
+        os.utime(d / "one.pptx", (5, 5))
+        (d / "two.pptx").write_bytes(deck("B", [("back", [], None, False)]))
+        assert tick(1004.0) == 2
+        os.remove(d / "two.pptx")
+        os.remove(d / "three.pptx")
+        assert tick(1004.9) == 2 and len(seen) == 1
+        assert tick(1005.5) == 0 and seen[1:] == [[("one.pptx", "changed"), ("three.pptx", "deleted"), ("two.pptx", "deleted")]]
+        tick(1010.0)
+        tick(1020.0)
+        assert len(seen) == 2
     finally:
         q.stop()
 
