@@ -37,10 +37,16 @@ def folding() -> tuple[str, str, str]:
     return "".join(single), "".join(bare), "".join(marks)
 
 
+@functools.cache
+def _table() -> dict[int, int | None]:
+    return str.maketrans(*folding())
+
+
 def folded(s: str) -> str:
     """fold() of one text, for queries and snippets."""
-    single, bare, marks = folding()
-    return unicodedata.normalize("NFC", s.lower().translate(str.maketrans(single, bare, marks)).lower())
+    if s.isascii():
+        return s.lower()
+    return unicodedata.normalize("NFC", s.lower().translate(_table()).lower())
 
 
 @functools.cache
@@ -199,3 +205,8 @@ def font_fallback(family: Column | str) -> Column:
     sans = f.contains("sans")
     serif = ~sans & (f.contains("serif") | f.contains("times") | f.contains("georgia") | f.contains("garamond") | f.contains("cambria") | f.contains("book"))
     return F.when(mono, "monospace").when(serif, "serif").otherwise("sans-serif")
+
+
+def json_field(c: Column | str, name: str, kind: str) -> Column:
+    """One field of a JSON object; null where the text is no object or the field is missing or of another kind."""
+    return F.from_json(col(c), f"`{name}` {kind}")[name]

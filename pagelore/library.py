@@ -164,7 +164,7 @@ class Library:
             changed, same = scan.changes(found, mine)
             tally["unchanged"] += same.count()
             changed = vectors.work_table(changed, "changed")
-            lost = vectors.work_table(mine.join(found, "path", "left_anti").select("id"), "vanished")
+            lost = vectors.work_table(scan.vanished(found, mine).select("id"), "vanished")
             tally["removed"] += (n := lost.count())
             if n:
                 self._drop_decks(lost)
@@ -338,9 +338,12 @@ class Library:
             self.store.append("embeddings", new)
         return n
 
+    def orphan_embeddings(self) -> DataFrame:
+        """model_id and text_hash of vectors that no slide's text has."""
+        return self.table("embeddings").join(self.table("slides").select("text_hash"), "text_hash", "left_anti").select("model_id", "text_hash")
+
     def cleanup_orphan_embeddings(self) -> int:
-        e = self.table("embeddings")
-        lost = vectors.work_table(e.join(self.table("slides").select("text_hash"), "text_hash", "left_anti").select("model_id", "text_hash"), "orphans")
+        lost = vectors.work_table(self.orphan_embeddings(), "orphans")
         if n := lost.count():
             self.store.delete("embeddings", lost)
         return n
@@ -354,16 +357,18 @@ class Library:
         r = self.slide(slide_id)
         return r.deck_path, r.slide_index
 
+    def toggle_all(self, name: str, keys: DataFrame, small: bool = False) -> None:
+        """Of these keys of slide_favorites or deck_favorites, those that are marked are no more, the others are: in one commit."""
+        cols = KEYS[name]
+        keys = vectors.work_table(keys.select(cols).distinct(), "toggled")
+        marked = vectors.work_table(self.table(name).select(cols).join(keys, cols, "left_semi"), "marked")
+        with self.store.change():
+            self.store.delete(name, marked, small)
+            self.store.append(name, keys.join(marked, cols, "left_anti").withColumn("added_unix", F.lit(self.now())), small)
+
     def _toggle(self, name: str, key: dict) -> bool:
-        t = self.table(name)
-        hit = F.lit(True)
-        for k, v in key.items():
-            hit = hit & (F.col(k) == v)
-        if not t.where(hit).isEmpty():
-            self.store.delete(name, self._keys(name, tuple(key.values())), small=True)
-            return False
-        self.store.append(name, self.rows(name, [(*key.values(), self.now())]), small=True)
-        return True
+        self.toggle_all(name, self._keys(name, tuple(key.values())), small=True)
+        return not self.table(name).join(self._keys(name, tuple(key.values())), list(key), "left_semi").isEmpty()
 
     def toggle_slide_favorite(self, slide_id: int) -> bool:
         path, index = self._place(slide_id)
@@ -493,7 +498,7 @@ class Library:
 
     def sweep_thumbs(self, folder: str) -> int:
         """Deletes the thumbnails in a local folder that no current deck claims."""
-        d = self.table("decks").select(text.hash16("path").alias("p"), F.substring("file_hash", 1, 16).alias("h"))
+        d = stats.deck_hashes(self.table("decks"))
         names = [n for n in os.listdir(folder) if n.count("_") == 2]
         if not names:
             return 0

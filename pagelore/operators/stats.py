@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from pagelore.functions import text
 from pagelore.schema import RECENT
 
+
 def counts(decks: DataFrame, slides: DataFrame) -> DataFrame:
     """decks, slides: one row."""
     return decks.agg(F.count(F.lit(1)).alias("decks")).crossJoin(slides.agg(F.count(F.lit(1)).alias("slides")))
@@ -94,3 +97,24 @@ def overview(t: dict[str, DataFrame], dropped: bool = True) -> DataFrame:
     for name, one in parts.items():  # each is a single row
         out = out.crossJoin(F.broadcast(one.withColumnRenamed("x", name)))
     return out
+
+
+def deck_hashes(decks: DataFrame) -> DataFrame:
+    """p and h, distinct: what the names of a deck's thumbnails begin and end with."""
+    return decks.select(text.hash16("path").alias("p"), F.substring("file_hash", 1, 16).alias("h")).distinct()
+
+
+def distinct_decks(picks: DataFrame) -> DataFrame:
+    """n: decks that picks come from."""
+    return picks.agg(F.count_distinct("deck_path").alias("n"))
+
+
+def by_deck(hits: DataFrame) -> DataFrame:
+    """deck_id, first (its first place), n, slides: hits (pos, deck_id, slide_id) grouped by deck in the order in which decks come up."""
+    rows = hits.groupBy("deck_id").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("pos", "slide_id"))).alias("slides"))
+    return rows.withColumn("slides", F.col("slides.slide_id")).orderBy("first")
+
+
+def first_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of rows that share a key the one that comes first: the styles of the first deck win."""
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("__n = 1").drop("__n")

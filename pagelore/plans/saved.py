@@ -20,9 +20,9 @@ def as_query(query: str, f: Filters) -> str:
     """A query with the scopes of older saved filters that it can express."""
     day = lambda unix: datetime.fromtimestamp(unix, UTC).strftime("%Y-%m-%d")
     deck = (f.deck_query or "").replace('"', "").strip()
-    scopes = [f'deck:"{deck}"'] * bool(deck)
-    scopes += [f"after:{day(f.modified_from)}"] * (f.modified_from is not None)
-    scopes += [f"before:{day(f.modified_to)}"] * (f.modified_to is not None)
+    scopes = [f'deck:"{deck}"'] if deck else []
+    scopes += [f"after:{day(f.modified_from)}"] if f.modified_from is not None else []
+    scopes += [f"before:{day(f.modified_to)}"] if f.modified_to is not None else []
     return " ".join([*scopes, query]).strip()
 
 

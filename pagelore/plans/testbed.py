@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from pagelore.functions import scaling, text
 from pagelore.operators import duplicates, filters, fulltext, stats, vectors
 from pagelore.operators.filters import Filters
-from pagelore.plans import query_parser
+from pagelore.plans import query_parser, shelf
 from pagelore.streaming import history
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -149,9 +149,9 @@ def jn1(spark, sf):
     return filters.slides_with_decks(slides(spark, sf), decks(spark, sf)).select("id", "slide_index", "file_name", "deck_title")
 
 
-@query("jn4_decks_with_marked_slides", "SELECT path FROM decks WHERE path IN (SELECT deck_path FROM favorites)")
+@query("jn4_decks_with_embedded_fonts", f"WITH {shelf.WITH_SHELF} SELECT DISTINCT path FROM docs JOIN part ON p_partkey = doc_id WHERE p_size > 45")
 def jn4(spark, sf):
-    return decks(spark, sf).join(favorites(spark, sf), F.col("path") == F.col("deck_path"), "left_semi").select("path")
+    return shelf.library(spark, sf).decks_with_embedded_fonts()
 
 
 @query("jn6_live_tag_counts", "SELECT t.tag_id AS id, count(*) AS n_slides FROM slide_tags t JOIN slide_deck s ON s.path = t.deck_path AND s.slide_index = t.slide_index GROUP BY 1 UNION ALL SELECT 3, 0")
@@ -160,19 +160,45 @@ def jn6(spark, sf):
     return stats.tag_counts(tags, slide_tags(spark, sf), decks(spark, sf), slides(spark, sf)).select("id", "n_slides")
 
 
-@query("jn8_without_match", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 250000)")
+@query("jn5_decks_needing_hashes", f"WITH {shelf.WITH_SHELF} SELECT DISTINCT path FROM docs WHERE content_hash IS NULL")
+def jn5(spark, sf):
+    return shelf.library(spark, sf).decks_needing_hashes()
+
+
+@query("jn8_pending_texts", f"WITH {shelf.WITH_SHELF} SELECT text_hash, arg_min(sha256(concat_ws(chr(10), nullif(trim(split_part(text, chr(10), 1)), ''), nullif(trim(text), ''), nullif(trim(lang), ''))), doc_id) AS text_sha FROM docs WHERE text_hash IS NOT NULL AND text_hash NOT IN (SELECT text_hash FROM given) GROUP BY text_hash")
 def jn8(spark, sf):
-    return table(spark, sf, "customer").join(table(spark, sf, "orders").where("o_totalprice > 250000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return shelf.library(spark, sf).pending_texts().select("text_hash", text.sha256("text").alias("text_sha"))
+
+
+@query("jn2_fulltext_within_filters", f"WITH {shelf.WITH_SHELF} SELECT doc_id AS slide_id, text_hash FROM docs WHERE doc_id % 3 = 0 AND path LIKE '/shelf/%1.pptx' AND len(list_filter(regexp_extract_all(lower(strip_accents(text || ' ' || split_part(text, chr(10), 1) || ' ' || coalesce(lang, '') || ' ' || coalesce(source, ''))), '[\\p{{L}}\\p{{N}}]+'), lambda x: starts_with(x, 'th'))) > 0")
+def jn2(spark, sf):
+    lib = shelf.library(spark, sf)
+    f = Filters(favorites_only=True, deck_query="1.pptx", limit=1_000_000)
+    found = lib.search("th", f)
+    return found.join(lib.table("slides").select(F.col("id").alias("slide_id"), "text_hash"), "slide_id").select("slide_id", "text_hash")
 
 
-@query("jn9_embedded_labels", "SELECT DISTINCT quality FROM labels WHERE doc_id IN (SELECT vec_id FROM embeddings)")
+@query("jn9_embedding_counts", f"WITH {shelf.WITH_SHELF} SELECT count(*) FILTER (WHERE text_hash IN (SELECT text_hash FROM given)) AS embedded, count(*) AS embeddable FROM docs WHERE text_hash IS NOT NULL")
 def jn9(spark, sf):
-    return table(spark, sf, "labels").join(table(spark, sf, "embeddings"), F.col("doc_id") == F.col("vec_id"), "left_semi").select("quality").distinct()
+    return shelf.library(spark, sf).embedding_counts()
+
+
+@query("jn3_vector_store", f"WITH {shelf.WITH_SHELF} SELECT slide_id, text_hash, round(v[1], 4) AS first, round(list_inner_product(v, v), 3) AS norm FROM vecs")
+def jn3(spark, sf):
+    v = F.col("vector")
+    return shelf.library(spark, sf).vector_store().select("slide_id", "text_hash", F.round(F.get(v, F.lit(0)).cast("double"), 4).alias("first"), F.round(vectors.dot(v, v), 3).alias("norm"))
+
 
+@query("jn17_slide_tags", f"WITH {shelf.WITH_SHELF} SELECT CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS name FROM docs WHERE doc_id = (SELECT min(doc_id) FROM docs WHERE doc_id % 5 = 0 AND doc_id > 0)")
+def jn17(spark, sf):
+    lib = shelf.library(spark, sf)
+    one = lib.table("slides").where("id % 5 = 0 AND id > 0").agg(F.min("id").alias("id")).first()
+    return lib.slide_tags(one.id).select("name")
 
-@query("jn10_orphans", "SELECT vec_id FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+
+@query("jn10_orphans", "SELECT sha256('item ' || item_id) AS text_hash FROM benchmark JOIN embeddings ON item_id = vec_id")
 def jn10(spark, sf):
-    return table(spark, sf, "embeddings").join(table(spark, sf, "labels"), F.col("doc_id") == F.col("vec_id"), "left_anti").select("vec_id")
+    return shelf.library(spark, sf).orphan_embeddings().select("text_hash")
 
 
 @query("jn12_fetch_by_ids", "SELECT s.id, s.title, s.path FROM slide_deck s WHERE s.id % 97 = 3")
@@ -213,9 +239,11 @@ def vec11(spark, sf):
     return vectors.similar(v, 11, 12, 0.1).select("slide_id", F.round("score", 4).alias("score"))
 
 
-@query("vec2_normalize", "SELECT vec_id AS slide_id, round(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) > 0 AS unit FROM embeddings")
+@query("vec2_normalize", "SELECT vec_id AS slide_id, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS first, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 4) AS total FROM embeddings")
 def vec2(spark, sf):
-    return unit(spark, sf).select("slide_id", (F.abs(vectors.dot(F.col("vector"), F.col("vector")) - 1) < 1e-4).alias("unit"))
+    v = vectors.normalized(F.transform("embedding", lambda x: x.cast("double")))
+    exact = F.transform(v, lambda x: x.cast("double"))
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("slide_id"), F.round(F.get(exact, F.lit(0)), 4).alias("first"), F.round(F.aggregate(exact, F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
 @query("agg10_cohesion", f"SELECT a.label AS cluster, round(avg({DOT} / sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[]) * list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))), 4) AS cohesion FROM (SELECT label, min(vec_id) AS first FROM embeddings GROUP BY label) m JOIN embeddings a ON a.vec_id = m.first JOIN embeddings b ON b.label = a.label AND b.vec_id <> a.vec_id GROUP BY 1")
@@ -286,33 +314,33 @@ def agg11(spark, sf):
     return stats.embedding_counts(d, e, "m")
 
 
-@query("agg12_pending_texts", "SELECT sha256(trim(text)) AS text_hash, min(doc_id) AS slide_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1")
+@query("agg12_pending_count", f"WITH {shelf.WITH_SHELF} SELECT count(DISTINCT text_hash) AS n FROM docs WHERE text_hash NOT IN (SELECT text_hash FROM given)")
 def agg12(spark, sf):
-    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_anti")
-    empty = F.lit(None).cast("string")
-    return d.groupBy(text.text_hash(empty, "text", empty).alias("text_hash")).agg(F.min("doc_id").alias("slide_id"))
+    return shelf.library(spark, sf).pending_texts().agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg13_deck_hashes", "SELECT DISTINCT deck_id, content_hash FROM slides")
+@query("agg13_deck_hashes", f"WITH {shelf.WITH_SHELF} SELECT DISTINCT left(sha256(path), 16) AS p, left(sha256(path), 16) AS h FROM docs")
 def agg13(spark, sf):
-    return slides(spark, sf).select("deck_id", "content_hash").distinct()
+    return stats.deck_hashes(shelf.library(spark, sf).table("decks"))
 
 
 @query("agg14_distinct_decks", "SELECT count(DISTINCT deck_path) AS n FROM picks")
 def agg14(spark, sf):
-    return picks(spark, sf).agg(F.count_distinct("deck_path").alias("n"))
+    return stats.distinct_decks(picks(spark, sf))
 
 
-@query("agg16_tray_duplicates", "SELECT sum(n)::BIGINT AS n FROM (SELECT count(*) AS n FROM slides WHERE title LIKE 'R%' GROUP BY content_hash HAVING count(*) > 1)")
+@query("agg16_tray_duplicates", "SELECT deck_id % 50 AS tray_id, sum(n)::BIGINT AS n FROM (SELECT deck_id % 50 AS deck_id, count(*) AS n FROM slides GROUP BY deck_id % 50, content_hash HAVING count(*) > 1) GROUP BY 1")
 def agg16(spark, sf):
-    s = slides(spark, sf).where(F.startswith("title", F.lit("R")))
-    return s.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").agg(F.sum("n").alias("n"))
+    from pagelore import tray
+
+    return tray.duplicates(slides(spark, sf).withColumn("tray_id", F.col("deck_id") % 50))
 
 
-@query("agg17_by_deck_first_seen", "SELECT deck_id, min(id) AS first, count(*) AS n FROM slide_deck s WHERE EXISTS (SELECT 1 FROM favorites f WHERE f.deck_path = s.path AND f.slide_index = s.slide_index) GROUP BY deck_id")
+@query("agg17_by_deck_first_seen", "SELECT deck_id, min(id) AS first, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS slides FROM slide_deck s WHERE EXISTS (SELECT 1 FROM favorites f WHERE f.deck_path = s.path AND f.slide_index = s.slide_index) GROUP BY deck_id")
 def agg17(spark, sf):
-    s = slides(spark, sf).join(decks(spark, sf).select(F.col("id").alias("deck_id"), "path"), "deck_id").join(favorites(spark, sf).withColumnRenamed("deck_path", "path"), ["path", "slide_index"], "left_semi")
-    return s.groupBy("deck_id").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = filters.admitted(slides(spark, sf), decks(spark, sf), favorites(spark, sf), slide_tags(spark, sf), Filters(favorites_only=True))
+    hits = found.select(F.col("id").alias("pos"), F.expr("div(id, 10)").alias("deck_id"), F.col("id").alias("slide_id"))
+    return stats.by_deck(hits).select("deck_id", "first", "n", F.array_join(F.transform("slides", lambda x: x.cast("string")), ",").alias("slides"))
 
 
 # Orders and top-k
@@ -372,8 +400,8 @@ def text_rows(spark, sf):
 
 
 def searched(spark, sf, q):
-    rows = text_rows(spark, sf)
-    found = fulltext.match(fulltext.postings(rows), fulltext.lengths(rows), query_parser.parse(q))
+    """Every match and its score, from the stored segments."""
+    found = shelf.library(spark, sf).index.matches(query_parser.parse(q))
     return found.select("slide_id", F.round("score", 4).alias("score"))
 
 
@@ -388,7 +416,7 @@ FTS = f"""WITH rows AS (
 p AS (SELECT slide_id, col, w, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM t)"""
 
 
-def bm25_sql(conditions: list[str], where: str, scored: list[int]) -> str:
+def bm25_sql(conditions: list[str], where: str, scored: list[int], digits: int = 4) -> str:
     """conditions: an SQL test of posting a (and b, the next one) for each phrase."""
     parts = [FTS]
     for i, c in enumerate(conditions):
@@ -396,7 +424,7 @@ def bm25_sql(conditions: list[str], where: str, scored: list[int]) -> str:
         parts.append(f"f{i} AS (SELECT a.slide_id, sum(a.w)::DOUBLE AS f FROM p a {join} WHERE {c} GROUP BY 1), d{i} AS (SELECT count(*)::DOUBLE AS df FROM f{i})")
     joins = " ".join(f"LEFT JOIN f{i} USING (slide_id) CROSS JOIN d{i}" for i in range(len(conditions)))
     score = " + ".join(f"coalesce(CASE WHEN ln((n - d{i}.df + 0.5) / (d{i}.df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - d{i}.df + 0.5) / (d{i}.df + 0.5)) END * f{i}.f * 2.2 / (f{i}.f + 1.2 * (0.25 + 0.75 * dl / avgdl)), 0)" for i in scored)
-    return ", ".join(parts) + f" SELECT slide_id, round({score}, 4) AS score FROM size CROSS JOIN corpus {joins} WHERE {where}"
+    return ", ".join(parts) + f" SELECT slide_id, {f'round({score}, {digits})' if digits else score} AS score FROM size CROSS JOIN corpus {joins} WHERE {where}"
 
 
 def fts(name: str, q: str, conditions: list[str], where: str, scored: list[int]):
@@ -422,9 +450,47 @@ ORACLE_SQL["fts9_tokens"] = FTS + " SELECT slide_id, dl::BIGINT AS n_tokens FROM
 
 @query("fts12_snippets")
 def fts12(spark, sf):
-    rows, p = text_rows(spark, sf), query_parser.parse("thre")
-    found = fulltext.top(fulltext.match(fulltext.postings(rows), fulltext.lengths(rows), p), 200)
-    return found.join(rows.select("slide_id", "body"), "slide_id").select("slide_id", fulltext.snippet_column("body", p).alias("snippet"))
+    return shelf.library(spark, sf).search("thre", Filters(limit=200)).select("slide_id", "snippet")
+
+
+UND_SCH = bm25_sql(["starts_with(a.term, 'und')", "starts_with(a.term, 'sch')"], "f0.f > 0 AND f1.f > 0", [0, 1], 0)
+SHOWN = "replace(replace(replace(substring(text, 1, 160), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS snippet"
+THRE = bm25_sql(["starts_with(a.term, 'thre')"], "f0.f > 0", [0], 0)
+
+
+@query("srt1_block_max_top", f"SELECT slide_id, round(score, 4) AS score FROM ({UND_SCH}) ORDER BY round(score, 9) DESC, slide_id LIMIT 25")
+def srt1(spark, sf):
+    found = shelf.library(spark, sf).index.top(query_parser.parse("und sch"), 25)
+    return found.select("slide_id", F.round("score", 4).alias("score"))
+
+
+@query("fts13_lexical_without_a_model", f"SELECT slide_id, round(score, 4) AS score FROM ({UND_SCH}) WHERE slide_id % 3 = 0 ORDER BY round(score, 9) DESC, slide_id LIMIT 30")
+def fts13(spark, sf):
+    lib = shelf.Library(spark, shelf.library(spark, sf).path)
+    return lib.search("und sch", Filters(mode="semantic", favorites_only=True, limit=30)).select("slide_id", F.round("score", 4).alias("score"))
+
+
+@query("fts14_nothing_to_match_browses", f"WITH {shelf.WITH_SHELF} SELECT doc_id AS slide_id FROM docs JOIN shelf_decks USING (path) WHERE doc_id % 5 = 0 AND doc_id % 2 = 0")
+def fts14(spark, sf):
+    return shelf.library(spark, sf).search("?? -und", Filters(tag_id=1, limit=1_000_000)).select("slide_id")
+
+
+@query("vec6_semantic", f"WITH {shelf.WITH_SHELF} SELECT slide_id, round(score, 3) AS score, {SHOWN} FROM pool WHERE score >= {shelf.FLOOR} ORDER BY score DESC, slide_id LIMIT 50")
+def vec6(spark, sf):
+    found = shelf.library(spark, sf).search("thre", Filters(mode="semantic", limit=50))
+    return found.select("slide_id", F.round("score", 3).alias("score"), "snippet")
+
+
+@query("vec8_semantic_within_filters", f"WITH {shelf.WITH_SHELF} SELECT slide_id, round(score, 3) AS score FROM pool WHERE score >= {shelf.FLOOR} AND slide_id % 3 = 0 ORDER BY score DESC, slide_id LIMIT 40")
+def vec8(spark, sf):
+    found = shelf.library(spark, sf).search("thre", Filters(mode="semantic", favorites_only=True, limit=40))
+    return found.select("slide_id", F.round("score", 3).alias("score"))
+
+
+@query("vec9_hybrid", f"WITH {shelf.WITH_SHELF}, lexical AS ({THRE}), arms AS (SELECT slide_id, row_number() OVER (ORDER BY round(score, 9) DESC, slide_id) AS r FROM lexical QUALIFY r <= 200 UNION ALL SELECT slide_id, row_number() OVER (ORDER BY round(score, 6) DESC, slide_id) AS r FROM pool WHERE score >= {shelf.FLOOR} QUALIFY r <= 200) SELECT slide_id, round(sum(1.0::DOUBLE / (60 + r)), 8) AS score FROM arms GROUP BY 1")
+def vec9(spark, sf):
+    found = shelf.library(spark, sf).search("thre", Filters(mode="hybrid", limit=1000))
+    return found.select("slide_id", F.round("score", 8).alias("score"))
 
 
 @query("fts15_fallback_snippet", "SELECT doc_id, replace(replace(replace(substring(text, 1, 160), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS snippet FROM documents")
@@ -441,15 +507,14 @@ def hsh(spark, sf):
     return table(spark, sf, "documents").select("doc_id", text.text_hash(empty, "text", empty).alias("text_hash"), text.hash16("source").alias("short"), text.file_hash("n_chars", "doc_id", 3).alias("file_hash"))
 
 
-@query("strf_names", "SELECT page_id, regexp_extract(regexp_replace(url, '[/\\\\]+$', ''), '[^/\\\\]*$') AS base, CASE WHEN length(html) < 1024 THEN length(html) || ' B' ELSE printf('%.1f', length(html) / 1024.0) || ' KiB' END AS size FROM pages WHERE length(html) < 1048576")
+@query("strf_names", "SELECT page_id, regexp_extract(regexp_replace(url, '[/\\\\]+$', ''), '[^/\\\\]*$') AS base, CASE WHEN length(html) < 1024 THEN length(html) || ' B' ELSE CASE WHEN length(html) < 1048576 THEN printf('%.1f', length(html) / 1024.0) || ' KiB' ELSE printf('%.1f', length(html) / 1048576.0) || ' MiB' END END AS size FROM pages")
 def strf(spark, sf):
-    p = table(spark, sf, "pages").where(F.length("html") < 1 << 20)
-    return p.select("page_id", text.base_name("url").alias("base"), text.human_bytes(F.length("html")).alias("size"))
+    return table(spark, sf, "pages").select("page_id", text.base_name("url").alias("base"), text.human_bytes(F.length("html")).alias("size"))
 
 
-@query("strf7_picks", "SELECT event_id, event_type || ':x' AS path, CASE WHEN user_id > 0 THEN user_id END AS slide_index FROM events WHERE user_id > 0")
+@query("strf7_picks", "SELECT event_id, CASE WHEN user_id > 0 THEN event_type || ':x' END AS path, CASE WHEN user_id > 0 THEN user_id END AS slide_index FROM events")
 def strf7(spark, sf):
-    e = table(spark, sf, "events").where("user_id > 0").withColumn("pick", F.concat("event_type", F.lit(":x:"), F.col("user_id").cast("string")))
+    e = table(spark, sf, "events").withColumn("pick", F.concat("event_type", F.lit(":x:"), F.col("user_id").cast("string")))
     return e.select("event_id", text.pick_path("pick").alias("path"), text.pick_index("pick").alias("slide_index"))
 
 
@@ -466,28 +531,54 @@ def mth1(spark, sf):
 
 @query("js1_json", "SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def js1(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return table(spark, sf, "events").select("event_id", text.json_field("props", "k", "long").alias("k"))
 
 
-@query("str3_history_collapse", "WITH q AS (SELECT conv_id AS session, turn AS id, left(trim(text, ' ' || chr(10) || chr(9) || chr(13)), CASE WHEN turn % 3 = 0 THEN 3 ELSE 9 END) AS query, turn * 60 AS searched_unix FROM conversations), q2 AS (SELECT session, id, trim(query, ' ' || chr(10) || chr(9) || chr(13)) AS query, searched_unix FROM q WHERE trim(query) <> ''), l AS (SELECT *, CASE WHEN searched_unix - lag(searched_unix) OVER w <= 120 AND (starts_with(query, lag(query) OVER w) OR starts_with(lag(query) OVER w, query)) THEN 0 ELSE 1 END AS fresh FROM q2 WINDOW w AS (PARTITION BY session ORDER BY searched_unix, id)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY searched_unix, id) AS run FROM l) SELECT session, max(searched_unix) AS searched_unix, arg_max(query, searched_unix) AS query FROM r GROUP BY session, run")
+@query("str3_history_collapse", "WITH q AS (SELECT conv_id AS session, turn AS id, trim(text, ' ' || chr(10) || chr(9) || chr(13)) || repeat('x', (turn % 3)::INTEGER) AS query, turn * 60 AS searched_unix FROM conversations), q2 AS (SELECT session, id, trim(query, ' ' || chr(10) || chr(9) || chr(13)) AS query, searched_unix FROM q WHERE trim(query) <> ''), l AS (SELECT *, CASE WHEN searched_unix - lag(searched_unix) OVER w <= 120 AND (starts_with(query, lag(query) OVER w) OR starts_with(lag(query) OVER w, query)) THEN 0 ELSE 1 END AS fresh FROM q2 WINDOW w AS (PARTITION BY session ORDER BY searched_unix, id)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY session ORDER BY searched_unix, id) AS run FROM l) SELECT session, max(searched_unix) AS searched_unix, arg_max(query, searched_unix) AS query FROM r GROUP BY session, run")
 def str3(spark, sf):
     c = table(spark, sf, "conversations")
-    q = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("id"), F.expr("left(regexp_replace(text, '(?U)^\\\\s+|\\\\s+$', ''), IF(turn % 3 = 0, 3, 9))").alias("query"), F.lit(0).cast("long").alias("result_count"), (F.col("turn") * 60).alias("searched_unix"))
+    q = c.select(F.col("conv_id").alias("session"), F.col("turn").alias("id"), F.expr("concat(regexp_replace(text, '(?U)^\\\\s+|\\\\s+$', ''), repeat('x', cast(turn % 3 as int)))").alias("query"), F.lit(0).cast("long").alias("result_count"), (F.col("turn") * 60).alias("searched_unix"))
     return history.collapsed(q).select("session", "query", "searched_unix")
 
 
-@query("snk5_merge", "SELECT o_orderkey AS id, o_totalprice + CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 0 END AS price FROM orders WHERE o_orderkey % 7 <> 0")
+@query("snk5_merge", "SELECT id, size_bytes + CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END AS size_bytes FROM decks WHERE id % 7 <> 0")
 def snk5(spark, sf):
-    from pagelore.library import merged
-
-    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"))
-    kept = merged(o, o.where("id % 3 = 0").withColumn("price", F.col("price") + 1), ["id"])
-    return kept.join(o.where("id % 7 = 0"), "id", "left_anti")
-
-
-@query("snk10_orphan_cleanup", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
+    """Changed decks replaced and others deleted, as small deltas that a read merges."""
+    lib, d = shelf.fresh(spark), decks(spark, sf)
+    more = {c: F.lit(None).cast(t) for c, t in (("author", "string"), ("slide_count", "long"), ("slide_width_emu", "long"), ("slide_height_emu", "long"), ("file_hash", "string"))}
+    d = d.withColumns(more)
+    lib.put("decks", d)
+    with lib.store.change():
+        lib.store.replace("decks", None, d.where("id % 3 = 0").withColumn("size_bytes", F.col("size_bytes") + 1))
+        lib.store.delete("decks", d.where("id % 7 = 0"))
+    return lib.table("decks").select("id", "size_bytes")
+
+
+@query("snk1_versions", "SELECT 1::BIGINT AS version, id, size_bytes FROM decks UNION ALL SELECT 2, id, size_bytes FROM decks WHERE id % 2 = 0")
+def snk1(spark, sf):
+    """A version that is kept reads as it was, after a commit and a commit that failed."""
+    lib, d = shelf.fresh(spark), decks(spark, sf)
+    more = {c: F.lit(None).cast(t) for c, t in (("author", "string"), ("slide_count", "long"), ("slide_width_emu", "long"), ("slide_height_emu", "long"), ("file_hash", "string"))}
+    lib.put("decks", d.withColumns(more))
+    first = lib.store.version
+    lib.store.delete("decks", d.where("id % 2 = 1"))
+    try:
+        with lib.store.change():
+            lib.put("decks", lib.table("decks").limit(0))
+            raise InterruptedError
+    except InterruptedError:
+        pass
+    old, new = lib.store.read("decks", version=first), shelf.Library(spark, lib.path).table("decks")
+    return old.select(F.lit(1).cast("long").alias("version"), "id", "size_bytes").unionByName(new.select(F.lit(2).cast("long").alias("version"), "id", "size_bytes"))
+
+
+@query("snk10_orphan_cleanup", f"WITH {shelf.WITH_SHELF} SELECT text_hash FROM given")
 def snk10(spark, sf):
-    return table(spark, sf, "embeddings").join(table(spark, sf, "labels"), F.col("vec_id") == F.col("doc_id"), "left_semi").select("vec_id")
+    whole, lib = shelf.library(spark, sf), shelf.fresh(spark)
+    for name in ("slides", "embeddings"):
+        lib.put(name, whole.table(name))
+    lib.cleanup_orphan_embeddings()
+    return lib.table("embeddings").select("text_hash")
 
 
 @query("jn16_tray_reconcile", "SELECT l_orderkey AS pos, o_orderkey IS NOT NULL AS present FROM lineitem LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey")
@@ -498,8 +589,7 @@ def jn16(spark, sf):
 
 @query("cmp6_first_of_each", "SELECT o_custkey, min(o_orderkey) AS first FROM orders GROUP BY o_custkey")
 def cmp6(spark, sf):
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    return table(spark, sf, "orders").withColumn("n", F.row_number().over(w)).where("n = 1").select("o_custkey", F.col("o_orderkey").alias("first"))
+    return stats.first_of_each(table(spark, sf, "orders"), "o_custkey", "o_orderkey").select("o_custkey", F.col("o_orderkey").alias("first"))
 
 
 # Scan, mutations, trays
@@ -525,7 +615,7 @@ def src8(spark, sf):
     size = F.when(F.col("id") % 3 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))
     found = d.where("id % 10 <> 0").select("path", text.file_hash("modified_unix", size, 3).alias("file_hash"))
     changed, same = scan.changes(found, stored)
-    lost = stored.join(found, "path", "left_anti")
+    lost = scan.vanished(found, stored)
     return changed.select("path", F.lit("changed").alias("what")).unionByName(same.select("path", F.lit("same").alias("what"))).unionByName(lost.select("path", F.lit("vanished").alias("what")))
 
 
@@ -535,11 +625,12 @@ def snk8(spark, sf):
     return table(spark, sf, "lineitem").join(kept, F.col("l_orderkey") == F.col("id"), "left_semi").select("l_orderkey", "l_linenumber")
 
 
-@query("snk14_toggle", "SELECT c_custkey FROM customer WHERE (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)")
+@query("snk14_toggle", "SELECT c_custkey::VARCHAR AS deck_path FROM customer WHERE (c_custkey % 2 = 0) <> (c_custkey % 3 = 0)")
 def snk14(spark, sf):
-    c = table(spark, sf, "customer").select("c_custkey")
-    have, toggled = c.where("c_custkey % 2 = 0"), c.where("c_custkey % 3 = 0")
-    return have.join(toggled, "c_custkey", "left_anti").unionByName(toggled.join(have, "c_custkey", "left_anti"))
+    c, lib = table(spark, sf, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("deck_path")), shelf.fresh(spark)
+    lib.toggle_all("deck_favorites", c.where("c_custkey % 2 = 0"))
+    lib.toggle_all("deck_favorites", c.where("c_custkey % 3 = 0"))
+    return lib.table("deck_favorites").select("deck_path")
 
 
 @query("agg19_font_status", "SELECT family, embedded, CASE WHEN right(family, 1) = '1' THEN 'app' WHEN right(family, 1) IN ('1', '2') THEN 'system' WHEN right(family, 1) = '3' THEN 'downloadable' ELSE 'missing' END AS status FROM (SELECT p_brand AS family, max(p_size) > 25 AS embedded FROM part GROUP BY p_brand)")
@@ -566,12 +657,29 @@ def strf4(spark, sf):
     return tray.png_names(p).select("id", "file_name")
 
 
-@query("vec14_duplicate_groups", "SELECT 'exact' AS kind, min(doc_id) AS \"group\", count(*) AS n FROM documents GROUP BY text HAVING count(*) > 1")
+DUPLICATE_SQL = f"""WITH RECURSIVE {shelf.WITH_SHELF}, heads AS (
+  SELECT content_hash, min(doc_id) AS head, count(*) AS n FROM docs WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1
+), near AS (
+  SELECT a.slide_id AS u, b.slide_id AS v, list_inner_product(a.v, b.v) AS score FROM vecs a JOIN vecs b ON a.slide_id <> b.slide_id
+  WHERE list_inner_product(a.v, b.v) >= 0.4 QUALIFY row_number() OVER (PARTITION BY a.slide_id ORDER BY round(score, 6) DESC, b.slide_id) <= 10
+), e AS (SELECT u, v FROM near UNION SELECT v, u FROM near), r AS (SELECT u, u AS root FROM e UNION SELECT e.u, r.root FROM e JOIN r ON e.v = r.u),
+cl AS (SELECT u AS slide_id, min(root) AS head FROM r GROUP BY u),
+real AS (SELECT head FROM cl JOIN docs ON doc_id = slide_id GROUP BY head HAVING NOT (count(DISTINCT content_hash) = 1 AND count(content_hash) = count(*))),
+members AS (SELECT 'exact' AS kind, head, doc_id FROM heads JOIN docs USING (content_hash) UNION ALL SELECT 'near', head, slide_id FROM cl JOIN real USING (head))
+SELECT kind, head AS "group", count(*) AS n, string_agg(m.doc_id::VARCHAR, ',' ORDER BY modified_unix DESC, m.doc_id) AS members,
+  row_number() OVER (ORDER BY kind, count(*) DESC, head) AS place
+FROM members m JOIN docs d ON d.doc_id = m.doc_id JOIN shelf_decks USING (path) GROUP BY kind, head"""
+
+
+@query("vec14_duplicate_groups", DUPLICATE_SQL)
 def vec14(spark, sf):
-    d = table(spark, sf, "documents")
-    s = d.select(F.col("doc_id").alias("id"), F.lit(1).alias("deck_id"), F.col("doc_id").alias("slide_index"), F.col("source").alias("title"), text.sha256("text").alias("content_hash"))
-    one = spark.createDataFrame([(1, "/x.pptx", 1)], "id int, path string, modified_unix int")
-    return duplicates.groups(s, one, None).select("kind", "group", "n")
+    """Both arms, groups large before small, members of newer decks first."""
+    lib = shelf.library(spark, sf)
+    found = duplicates.groups(lib.table("slides"), lib.table("decks"), lib.vector_store(), 0.4, clusters=lib.near_clusters(0.4))
+    members = F.array_join(F.transform("members", lambda m: m["slide_id"].cast("string")), ",")
+    # groups() orders its rows; their places are numbered as they come.
+    place = F.row_number().over(Window.orderBy("kind", F.desc("n"), "group"))
+    return found.select("kind", "group", "n", members.alias("members"), place.cast("long").alias("place"))
 
 
 @query("flt14_tag_suggestions", "SELECT c_name AS name FROM customer WHERE lower(c_name) LIKE '%01%' AND c_name NOT IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)")
@@ -588,3 +696,80 @@ def srt15(spark, sf):
 
     rows = filters.slides_with_decks(slides(spark, sf), decks(spark, sf)).withColumnRenamed("id", "slide_id")
     return saved.contiguous(rows, "exported", stats.export_counts(picks(spark, sf))).select("slide_id", "slide_index")
+
+
+@query("jn18_closure", "WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS source, (o_orderkey * 7 + o_custkey) % (SELECT count(*) FROM customer) + 1 AS target FROM orders WHERE o_orderstatus <> 'P'), r AS (SELECT c_custkey AS start, c_custkey AS node FROM customer WHERE c_nationkey = 3 UNION SELECT r.start, e.target FROM r JOIN e ON r.node = e.source) SELECT start, count(*) AS n, sum(node)::BIGINT AS nodes FROM r GROUP BY start")
+def jn18(spark, sf):
+    """What customers of a nation reach over a graph with cycles that orders make."""
+    from pagelore.operators import closure
+
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    total = c.agg(F.count(F.lit(1)).alias("total"))  # one row
+    edges = o.crossJoin(F.broadcast(total)).select(F.col("o_custkey").alias("source"), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % F.col("total") + 1).alias("target"), F.col("o_orderstatus").alias("kind"))
+    found = closure.reach(c.where("c_nationkey = 3").select(F.col("c_custkey").alias("start")), edges, ["F", "O"])
+    return found.groupBy("start").agg(F.count(F.lit(1)).alias("n"), F.sum("node").alias("nodes"))
+
+
+@query("src9_changed_contents", "SELECT s_suppkey, s_name || '|' || s_nationkey AS content FROM supplier WHERE s_suppkey % 4 = 1")
+def src9(spark, sf):
+    """One file for each supplier; those that differ from what is stored are opened, and no others."""
+    import uuid
+
+    from pagelore.sources import scan
+
+    root = f"{vectors.shared_folder(spark)}/pagelore-suppliers-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "supplier").select("s_suppkey", F.concat_ws("|", "s_name", F.col("s_nationkey").cast("string")).alias("value"))
+    rows.repartition(8, "s_suppkey").write.partitionBy("s_suppkey").text(root)
+    number = lambda c: F.regexp_extract(c, "s_suppkey=([0-9]+)", 1).cast("long")
+    found = scan.files(spark, root).where(F.col("relative").rlike("^s_suppkey=[0-9]+/part-")).withColumn("file_hash", text.file_hash("modified_unix", "size_bytes", 3))
+    stored = found.withColumn("file_hash", F.when(number("path") % 4 == 1, F.lit("old")).otherwise(F.col("file_hash")))
+    changed, _ = scan.changes(found, stored)
+    parts = [p.select(number("path").alias("s_suppkey"), F.rtrim(F.regexp_replace(F.col("content").cast("string"), "\n", "")).alias("content")) for p in scan.contents(spark, root, changed.select("path"), found.count())]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+@query("str1_differences", "SELECT path, CASE WHEN id % 10 = 0 THEN 'deleted' WHEN id % 10 = 1 THEN 'new' ELSE 'changed' END AS what FROM decks WHERE id % 10 IN (0, 1) OR id % 3 = 0")
+def str1(spark, sf):
+    from pagelore.streaming import watch
+
+    d = decks(spark, sf)
+    listed = lambda where, size: d.where(where).select("path", text.file_hash("modified_unix", size, 3).alias("file_hash"))
+    more = F.when(F.col("id") % 3 == 0, F.col("size_bytes") + 1).otherwise(F.col("size_bytes"))
+    return watch.differences(listed("id % 10 <> 1", "size_bytes"), listed("id % 10 <> 0", more))
+
+
+@query("vec5_stored_vectors_follow", f"WITH {shelf.WITH_SHELF} SELECT slide_id, text_hash FROM vecs WHERE slide_id % 4 <> 0")
+def vec5(spark, sf):
+    """The stored vectors of a library after a quarter of its slides went: brought up to date by the difference."""
+    whole, lib = shelf.library(spark, sf), shelf.fresh(spark)
+    lib.embedder = whole.embedder
+    for name in ("slides", "embeddings"):
+        lib.put(name, whole.table(name))
+    lib.vector_store()
+    lib.put("slides", whole.table("slides").where("id % 4 <> 0"))
+    return lib.vector_store().select("slide_id", "text_hash")
+
+
+@query("flt8_admitted", f"WITH {shelf.WITH_SHELF} SELECT doc_id AS slide_id FROM docs JOIN shelf_decks USING (path) WHERE doc_id % 5 = 0 AND doc_id % 2 = 1 AND modified_unix >= 1000000000")
+def flt8(spark, sf):
+    return shelf.library(spark, sf)._admitted(Filters(tag_id=2, modified_from=1_000_000_000))
+
+
+@query("flt11_places", f"WITH {shelf.WITH_SHELF} SELECT 'root' AS place, count(*) AS n FROM docs WHERE starts_with(path, '/shelf/src1') UNION ALL SELECT 'favorites', count(*) FROM docs WHERE doc_id % 3 = 0 UNION ALL SELECT 'tag', count(*) FROM docs WHERE doc_id % 10 = 0")
+def flt11(spark, sf):
+    from pagelore.plans import saved
+
+    lib = shelf.library(spark, sf)
+    counts = [lib._admitted(saved.of_place(kind, value)).agg(F.lit(kind).alias("place"), F.count(F.lit(1)).alias("n")) for kind, value in (("root", "/shelf/src1"), ("favorites", None), ("tag", 1))]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("flt12_old_filters_as_query", f"WITH {shelf.WITH_SHELF}, lexical AS ({bm25_sql(["a.col = 'deck_title' AND starts_with(a.term, 'src1')", "starts_with(a.term, 'und')"], "f0.f > 0 AND f1.f > 0", [0, 1], 0)}) SELECT slide_id, round(score, 4) AS score FROM lexical JOIN docs ON doc_id = slide_id JOIN shelf_decks USING (path) WHERE modified_unix >= 999993600")
+def flt12(spark, sf):
+    from pagelore.plans import saved
+
+    q = saved.as_query("und", Filters(deck_query="src1", modified_from=1_000_000_000))
+    return shelf.library(spark, sf).search(q, Filters(limit=1_000_000)).select("slide_id", F.round("score", 4).alias("score"))

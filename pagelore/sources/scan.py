@@ -112,6 +112,11 @@ def changes(found: DataFrame, decks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.join(known, ["path", "file_hash"], "left_anti"), found.join(known, ["path", "file_hash"], "left_semi")
 
 
+def vanished(found: DataFrame, decks: DataFrame) -> DataFrame:
+    """Stored decks that a listing of their root no longer has."""
+    return decks.join(found, "path", "left_anti")
+
+
 def extract_one(path: str, content: bytes) -> dict:
     """One deck's rows, or its error: a broken file never stops a scan."""
     from pagelore.sources.opc import DeckError
