@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelore.llm.common import LOWER, bounded_batches, components, lean, mix, parts, ragged, sorted_groups, spans, text_buffer, word_hashes, word_spans, written
 from pagelore.llm.simhash import BROADCAST_ROWS, folded, links, lowest_rows
@@ -41,6 +42,8 @@ SLICE_BYTES = 32 << 20
 SEEN = 200_000
 #: Pairs looked at in one step.
 STEP = 1 << 18
+#: Pairs whose bins are looked at in one step.
+PAIRS = 1 << 14
 #: Bytes of text hashed at a time: hashing takes some fifty bytes of memory a byte.
 PIECE = 256 << 10
 #: Multiplier that joins the hashes of a shingle's words.
@@ -186,38 +189,53 @@ def in_several(sets: DataFrame) -> DataFrame:
     return dealt.mapInArrow(lean(several), "k long, node long, size int, place int, low long, low_size int")
 
 
+def may_be_alike(x: np.ndarray, y: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether bins leave room for as many common hashes as 0.8 needs; a full bin says nothing. both: the sizes' sums."""
+    common = np.minimum(x, y)
+    return (9 * common.sum(1, dtype=np.int64) >= 4 * both) | (common == 255).any(1)
+
+
 def apart(rows: DataFrame) -> DataFrame:
-    """(a, b): pairs of a bucket in different components whose sizes, places and number of common head shingles allow 0.8. rows: k, node, size, place, root."""
+    """(a, b): pairs of a bucket in different components whose sizes, places and bins allow 0.8. rows: k, node, size, place, root, bins.
+
+    All that two sets have in common lies at or behind their first common shingle, so a pair is
+    given out only by buckets behind which both sets are still long enough; the bucket of its first
+    common shingle is one of them. Bins rule most other pairs out before they leave the bucket.
+    """
     names = ["a", "b", "size_a", "size_b", "place_a", "place_b"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in sorted_groups(batches, ["k"]):
             node, size, place, root = (t.column(c).combine_chunks().to_numpy() for c in ("node", "size", "place", "root"))
+            packed = np.frombuffer(b"".join(t.column("bins").to_pylist()), np.uint8).reshape(-1, BINS)
             for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                 kinds, kind, n = np.unique(root[lo:hi], return_inverse=True, return_counts=True)
                 if len(kinds) < 2:
                     continue
                 # The largest component comes first and is not compared with itself.
                 order = np.argsort(-n[kind], kind="stable") + lo
-                x, s, at_, c = node[order], size[order].astype(np.int64), place[order], root[order]
+                x, s, at_, c, bins = node[order], size[order].astype(np.int64), place[order], root[order], packed[order]
+                left = 9 * (s - at_)
                 i, step = int((c == c[0]).sum()), max(1, STEP // (hi - lo))
                 while i < hi - lo:
                     j = min(i + step, hi - lo)
                     fits = 5 * np.minimum(s[i:j, None], s[None, :j]) >= 4 * np.maximum(s[i:j, None], s[None, :j])
+                    fits &= np.minimum(left[i:j, None], left[None, :j]) >= 4 * (s[i:j, None] + s[None, :j])
                     p, q = np.nonzero(fits & (c[i:j, None] != c[None, :j]) & (np.arange(i, j)[:, None] > np.arange(j)[None, :]))
+                    p = p + i
+                    good = [may_be_alike(bins[p[u : u + PAIRS]], bins[q[u : u + PAIRS]], s[p[u : u + PAIRS]] + s[q[u : u + PAIRS]]) for u in range(0, len(p), PAIRS)]
+                    good = np.concatenate(good) if good else np.zeros(0, bool)
+                    p, q = p[good], q[good]
                     if len(p):
-                        p = p + i
                         low, high = np.where(x[p] < x[q], p, q), np.where(x[p] < x[q], q, p)
                         yield pa.RecordBatch.from_arrays([pa.array(v.astype(t)) for v, t in ((x[low], np.int64), (x[high], np.int64), (s[low], np.int32), (s[high], np.int32), (at_[low], np.int32), (at_[high], np.int32))], names)
                     i = j
 
     met = rows.repartition(parts(rows.sparkSession), "k").sortWithinPartitions("k").mapInArrow(lean(work), "a long, b long, size_a int, size_b int, place_a int, place_b int")
-    ends = [f(f"place_{c}").alias(f"{n}_{c}") for n, f in (("first", F.min), ("last", F.max)) for c in "ab"]
+    ends = [F.max(f"place_{c}").alias(f"last_{c}") for c in "ab"]
     met = met.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("n"), *ends)
-    # Common are those of both heads and others: none before the first, behind the last common one, or behind the head that ends first.
-    before = "size_a - first_a, size_b - first_b"
-    behind = "n + size_a - last_a - 1, n + size_b - last_b - 1, n + greatest((4 * size_a + 4) div 5, (4 * size_b + 4) div 5) - 1"
-    return met.where(f"9 * least({before}, {behind}) >= 4 * (size_a + size_b)").select("a", "b")
+    # Common are the n shingles met here, the first ones of all, and what lies behind the last of them.
+    return met.where("9 * least(n + size_a - last_a - 1, n + size_b - last_b - 1) >= 4 * (size_a + size_b)").select("a", "b")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -230,9 +248,8 @@ def similar(pairs: DataFrame, sets: DataFrame, rows: DataFrame, words: int) -> D
             if not b.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in (3, 5))
-            common = np.minimum(x, y).astype(np.int64)
             size = b.column(2).to_numpy().astype(np.int64) + b.column(4).to_numpy()
-            good = (9 * common.sum(1) >= 4 * size) | (common == 255).any(1)
+            good = may_be_alike(x, y, size)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size)], ["a", "b", "both"]).filter(pa.array(good))
 
     binned = pairs.where("a <> b").distinct().join(ends[0], "a").join(ends[1], "b").select("a", "b", "size_a", "bins_a", "size_b", "bins_b")
@@ -310,7 +327,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFra
     first = linked.select("x", "y").unionByName(alike.select("x", "y")).unionByName(starred).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     roots = written(components(similar(first, sets, rows, words), name="jaccard"), "near")
     rooted = buckets.join(roots, "node", "left").select("k", "node", "size", "place", F.coalesce("root", "node").alias("root"))
-    rest = similar(apart(rooted), sets, rows, words)
+    # Buckets that one component holds have no pair left; only the rows of others carry bins.
+    own = Window.partitionBy("k")
+    rooted = rooted.withColumns({"low": F.min("root").over(own), "high": F.max("root").over(own)}).where("low <> high").drop("low", "high")
+    binned = rooted.join(sets.groupBy("node").agg(F.first("bins").alias("bins")), "node")
+    rest = similar(apart(binned), sets, rows, words)
     ends = [roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab"]
     rest = rest.join(ends[0], "a", "left").join(ends[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     again = written(components(rest, name="jaccard"), "far").select(F.col("node").alias("root"), F.col("root").alias("top"))
