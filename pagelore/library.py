@@ -44,11 +44,6 @@ class LibraryError(ValueError):
     """A request that the library can't meet."""
 
 
-def merged(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame:
-    """target with the rows of source in place of those with their keys, and new ones added."""
-    return target.join(source.select(keys), keys, "left_anti").unionByName(source)
-
-
 def deck_id(path: F.Column) -> F.Column:
     return F.xxhash64(path)
 
