@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -30,6 +31,26 @@ PAGES = [
     ("", ""),
     (None, ""),
     ("< <>< a>", None),
+    ("a<!-- no", "a"),
+    ("a<!-->b<!--->c<!-- no --!>d<!no>e<?no?>f</ no>g</>h", "abcdefgh"),
+    ("a<b title='no", "a"),
+    ("<style>.h{display:none} #q, p.z {color:red; visibility:hidden}</style>a<b class='x h'>no</b><i id=q>no</i>c<p class=z>no</p><i class=z>d</i>", "ac\n\nd"),
+    ("<style>@media print{.a{display:none}} @media screen{.b{display:none}}</style><style media=print>.a{display:none}</style><i class=a>A</i><i class=b>B</i>", "A"),
+    ("<style>b{display:none!important} i{display:none} i.k{display:inline} div b.d{display:none}</style><b style='display:inline'>no</b><i>no</i><i class=k>yes</i>", "yes"),
+    ("<style>/* .a{display:none} */.b{display:none}</style><i class=a>A</i><i class=b>B</i>", "A"),
+    ("<b hidden style='display:block'>yes</b><template><style>p{display:none}</style></template><p>p", "yes\n\np"),
+    ("<span style='display:block'>a</span><span style='display:block'>b</span>c", "a\nb\nc"),
+    ("<ul><li style='display:inline'>a <li style='display:inline-block'>b</ul><div style='display:inline'>c</div>d", "a b\n\ncd"),
+    ("<input type=search value=s> <input type=EMAIL value=e@x> <input type=tel value=1> <input type=odd value=o> <input type=password value=no><input type=checkbox value=no><input value=t>", "s e@x 1 o t"),
+    ("<ol type=a start=26><li>x<li>y</ol><ol type=I reversed><li>p<li>q<li type=1>r<li>s</ol>", "z. x\naa. y\n\nIV. p\nIII. q\n2. r\nI. s"),
+    ("<table><tr><td><pre>" + "x  y " * 20 + "z</pre><td>k</table>", "x  y " * 20 + "z  k"),
+    ("<table><tr><td>" + "漢字" * 21 + " " + "漢字" * 21 + "<td>k</table>", None),
+    ("<svg><text/><path/><text>t</text><title>no</title></svg><svg><text><![CDATA[<c>]]></text></svg>r<![CDATA[no]]>", "t\n<c>\nr"),
+    ("<title>&lt;b&gt;</title><img alt='&notit &amp=1 &amp;&lt &#65;'>", "&notit &amp=1 &< A"),
+    ("&#" + "1" * 6000 + ";&#" + "0" * 6000 + "65;&#x" + "0" * 50 + "42;", "\ufffdAB"),
+    ("<xmp> <b>&amp;</xmp><iframe><p>no</iframe>x<noembed>no</noembed><plaintext></b>&amp;", " <b>&amp;\n\nx\n\n</b>&amp;"),
+    ("<script>if (a</b) '<p>'</SCRIPT >x<script>no", "x"),
+    ("<table><tr><td>a<b>B<tr>lost<p>too<td>c</table>", "lost\n\ntoo\n\naB\nc"),
 ]
 
 
@@ -128,3 +149,77 @@ def test_as_written_beside():
     for seed in range(400):
         html, text = Page(seed).whole()
         assert extract(html)[0] == text, html
+
+
+class Styled(Page):
+    """Pages with style sheets, list types and form values, again written beside their text."""
+
+    SHEET = "<style media=screen>.gone, #off { color: red; display: none } b.out{visibility:hidden} .line {display:block}</style>"
+
+    def inline(self):
+        html, w = super().inline()
+        return html + self.r.choice(["", "<i class='a gone'>no</i>", "<span id=off>no</span>", "<b class=out>no</b>", "<input type=hidden value=no>"]), w
+
+    def paragraph(self):
+        html, text = self.inline()
+        return f"<p>{html}</p>", [text], True
+
+    def division(self):
+        w, v = self.words(), self.words()
+        return self.r.choice([f"<span class=line>{w}</span><a class=line>{v}</a>", f"<div>{w}</div><div><input type=search value='{v}'></div>"]), [w, v], False
+
+    def list_(self, depth=1):
+        kind, back, n = self.r.choice(["a", "A", "i", "1"]), self.r.random() < 0.5, self.r.randrange(1, 6)
+        order = range(n, 0, -1) if back else range(1, n + 1)
+        signs = {"a": "abcde", "A": "ABCDE", "i": ["i", "ii", "iii", "iv", "v"], "1": "12345"}[kind]
+        items = [self.inline() for _ in range(n)]
+        return f"<ol type={kind}{' reversed' * back}>" + "".join(f"<li>{h}" for h, _ in items) + "</ol>", [f"{signs[i - 1]}. {t}" for i, (_, t) in zip(order, items)], True
+
+    def table(self):
+        wide = " ".join(self.words() for _ in range(40))
+        lines, now = [], ""
+        for w in wide.split():
+            if now and len(now) + 1 + len(w) > 80:
+                lines, now = [*lines, now], ""
+            now = f"{now} {w}".strip()
+        lines.append(now)
+        left = max(map(len, lines)) + 2
+        return f"<table><tr><td>{wide}<td>k</table>", [lines[0].ljust(left) + "k", *lines[1:]], True
+
+    def whole(self):
+        html, text = super().whole()
+        return self.SHEET + html, text
+
+
+def test_styled_as_written_beside():
+    for seed in range(300):
+        html, text = Styled(seed).whole()
+        assert extract(html)[0] == text, html
+
+
+HOSTILE = [
+    "<a ", "<!--", "</a", "<a b='", "<!", "<", "&", "<svg><title>x", "<table><tbody><tr><td>x", "<p><button><div>", "<style>.a{", "<style>@media print{", "<style>/*", "<script></script", "<b style=';;;", "<![CDATA[", "<textarea></text", "<ul><li value=9><select><option>",
+]
+
+
+@pytest.mark.parametrize("part", HOSTILE)
+def test_hostile_pages_take_time_in_proportion(part):
+    def taken(n):
+        page = part * n
+        t = time.process_time()
+        extract(page)
+        return time.process_time() - t
+
+    assert taken(8000) < 8 * taken(2000) + 0.5
+
+
+def test_layout_nests_to_a_depth_and_keeps_all_text():
+    got = extract("<ul><li>x" * 5000 + "<b>y</b>")[0]
+    assert got.count("x") == 5000 and got.endswith("y") and len(got) < 5000 * 200
+    assert extract("<table><tr><td>a<td>b" * 3000)[0].count("a") == 3000
+    assert extract("<table><tr><td>" * 20 + "x<td>y" + "</table>" * 20)[0] == "x  y"
+
+
+def test_elements_between_cells_take_time_in_proportion():
+    assert extract("<table>" + "<b>x</b>" * 60_000)[0] == "x" * 60_000
+    assert extract("<table><tr>" + "<td rowspan=60000 colspan=1000>a" * 5000 + "<tr><td>b" * 2000)[0].count("b") == 2000
