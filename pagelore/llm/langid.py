@@ -21,6 +21,7 @@ are not read; ``accepted`` passes them through, whatever their names.
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from pyspark.sql.window import Window
 
 from pagelore.llm.common import bounded_batches, held_model, lean, ragged, spans, text_buffer
 
-#: Bounds of the sample that a model is learned from, for each language: rows, and characters that their whole texts may have together (one text may have more).
+#: Bounds of the sample that a model is learned from, for each language: rows, and characters that their whole texts may have together.
 DOCS_PER_LANGUAGE, SAMPLE_CHARS = 48, 60_000
+#: A language all of whose labelled texts have more is learned from so many characters of one of them.
+LONGEST = 240_000
 #: Symbols that advance in lockstep. No result depends on it.
 SEGMENT = 256
 #: Bytes of text parsed at a time. No result depends on it.
@@ -67,39 +70,38 @@ def letters(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def automaton(text: np.ndarray, width: int) -> np.ndarray:
     """Transitions [state, symbol] of the suffix automaton of text; a missing one is NEW plus the state after the symbol alone."""
     most = 2 * len(text) + 3
-    to = np.full((most, width), -1, np.int32)
-    rows: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
+    to = array("i", [-1]) * (most * width)
+    link, length = array("i", [-1]) * most, array("i", [0]) * most
+    last, states = 0, 1
     for c in text.tolist():
-        cur = len(rows)
-        rows.append({})
-        length.append(length[last] + 1)
-        link.append(0)
+        cur = states
+        states += 1
+        length[cur], link[cur] = length[last] + 1, 0
         p = last
-        while p >= 0 and c not in rows[p]:
-            rows[p][c] = cur
+        while p >= 0 and to[p * width + c] < 0:
+            to[p * width + c] = cur
             p = link[p]
         if p >= 0:
-            q = rows[p][c]
+            q = to[p * width + c]
             if length[p] + 1 == length[q]:
                 link[cur] = q
             else:
-                clone = len(rows)
-                rows.append(dict(rows[q]))
-                length.append(length[p] + 1)
-                link.append(link[q])
-                while p >= 0 and rows[p].get(c) == q:
-                    rows[p][c] = clone
+                clone = states
+                states += 1
+                to[clone * width : (clone + 1) * width] = to[q * width : (q + 1) * width]
+                length[clone], link[clone] = length[p] + 1, link[q]
+                while p >= 0 and to[p * width + c] == q:
+                    to[p * width + c] = clone
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    rows.append({})  # at the start and after a symbol that the sample lacks: whatever follows is a new phrase
-    dead = len(rows) - 1
-    to = to[: len(rows)]
-    state = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    to[state, np.fromiter((c for r in rows for c in r), np.int64, len(state))] = np.fromiter((s for r in rows for s in r.values()), np.int32, len(state))
-    fresh = np.where(to[0] < 0, dead, to[0]) + NEW
-    return np.where(to < 0, fresh, to).astype(np.int32)
+    # One state more, at the start and after a symbol that the sample lacks: whatever follows is a new phrase.
+    table = np.frombuffer(to, np.int32).reshape(most, width)[: states + 1].copy()
+    del to
+    fresh = np.where(table[0] < 0, states, table[0]) + NEW
+    missing = table < 0
+    table[missing] = np.broadcast_to(fresh, table.shape)[missing]
+    return table
 
 
 class Model:
@@ -202,24 +204,30 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame) -> tuple[tuple[str, str], ...]:
-    """The sample: of each language, whole texts of the documents with the lowest hashes, as many as the bounds allow (one at least)."""
+def learn(docs: DataFrame, most_docs: int | None = None, most_chars: int | None = None) -> tuple[tuple[str, str], ...]:
+    """The sample: of each language, whole texts of the documents with the lowest hashes, as many as the bounds allow.
+
+    Texts that are longer than the bound alone teach only where a language has no
+    other; then one is taken, and of it no more than LONGEST characters.
+    """
+    most_docs, most_chars = most_docs or DOCS_PER_LANGUAGE, most_chars or SAMPLE_CHARS
     teach = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & ~held_out())
     teach = teach.select(F.col("lang").cast("string"), F.col("doc_id").cast("string"), F.col("text").cast("string")).withColumn("mark", F.xxhash64("text"))
-    near = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "mark")
-    named = teach.select("lang", "doc_id", "mark", F.length("text").alias("size")).withColumn("n", F.row_number().over(near)).where(F.col("n") <= DOCS_PER_LANGUAGE)
-    fits = named.withColumn("total", F.sum("size").over(Window.partitionBy("lang").orderBy("n"))).where((F.col("total") <= SAMPLE_CHARS) | (F.col("n") == 1))
+    near = Window.partitionBy("lang").orderBy(F.col("size") > most_chars, F.xxhash64("doc_id", F.lit(7)), "doc_id", "mark")
+    named = teach.select("lang", "doc_id", "mark", F.length("text").alias("size")).withColumn("n", F.row_number().over(near)).where(F.col("n") <= most_docs)
+    fits = named.withColumn("total", F.sum("size").over(Window.partitionBy("lang").orderBy("n"))).where((F.col("total") <= most_chars) | (F.col("n") == 1))
+    taken = teach.withColumn("text", F.substring("text", 1, max(LONGEST, most_chars))).join(F.broadcast(fits.select("lang", "doc_id", "mark", "n")), ["lang", "doc_id", "mark"])
     by: dict[str, dict[int, str]] = {}
-    for r in teach.join(F.broadcast(fits.select("lang", "doc_id", "mark", "n")), ["lang", "doc_id", "mark"]).dropDuplicates(["lang", "n"]).collect():
+    for r in taken.dropDuplicates(["lang", "n"]).collect():
         by.setdefault(r.lang, {})[r.n] = r.text
     found = ((k, "\n".join(v[n] for n in sorted(v))) for k, v in sorted(by.items()))
     return tuple((k, t) for k, t in found if any(c.isalpha() for c in t))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, phrases, symbols of every document."""
+def identify(docs: DataFrame, most_docs: int | None = None, most_chars: int | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, phrases, symbols of every document; the bounds are of the sample to learn from (see ``learn``)."""
     bounded_batches(docs.sparkSession)
-    sample = learn(docs)
+    sample = learn(docs, most_docs, most_chars)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -230,14 +238,14 @@ def identify(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(work, model=True), "doc_id long, held_out boolean, lang_pred string, score double, phrases long, symbols long")
 
 
-def accepted(docs: DataFrame, most_phrases: float = 0.45) -> DataFrame:
+def accepted(docs: DataFrame, most_phrases: float = 0.45, most_docs: int | None = None, most_chars: int | None = None) -> DataFrame:
     """The rows of docs whose text is in a learned language.
 
     Out go texts without a letter and those whose best parse has over
     ``most_phrases`` phrases a symbol: no language explains them.
     """
     bounded_batches(docs.sparkSession)
-    sample, at = learn(docs), docs.columns.index("text")
+    sample, at = learn(docs, most_docs, most_chars), docs.columns.index("text")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -81,6 +81,34 @@ def test_sample_holds_whole_texts_within_its_bounds(spark, monkeypatch):
         assert sample["xx"] == "lang " * 5000
 
 
+def test_long_texts_teach_only_where_there_is_no_other(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LONGEST", 5000)
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2]
+    long = [(ids[i], "the long one " * 1000, "en") for i in range(20)] + [(ids[20], "sehr lang " * 1000, "de")]
+    df = spark.createDataFrame([*long, *[(i, f"short number {i}", "en") for i in ids[30:40]]], "doc_id long, text string, lang string")
+    sample = dict(langid.learn(df, most_chars=1000))
+    assert sorted(sample["en"].split("\n")) == sorted(f"short number {i}" for i in ids[30:40])
+    assert sample["de"] == ("sehr lang " * 1000)[:5000]
+    assert len(dict(langid.learn(df, most_docs=3))["en"].split("\n")) == 3
+    got = {r.doc_id: r.lang_pred for r in langid.identify(df, most_chars=1000).collect()}
+    assert got[ids[20]] == "de" and len(got) == 31
+
+
+def test_automaton_holds_exactly_the_parts_of_a_text():
+    r = random.Random(3)
+    for _ in range(60):
+        text = "".join(r.choice("abc"[: r.randrange(1, 4)]) for _ in range(r.randrange(0, 40)))
+        table = langid.automaton(np.frombuffer(text.encode(), np.uint8) - 97, 4)
+        assert len(table) <= 2 * len(text) + 3
+        for _ in range(200):
+            word = "".join(r.choice("abcd") for _ in range(r.randrange(1, 7)))
+            state, known = 0, True
+            for c in word:
+                step = int(table[state, ord(c) - 97])
+                known, state = known and step < langid.NEW, step & (int(langid.NEW) - 1)
+            assert known == (word in text), (text, word)
+
+
 def test_edges(spark):
     rows = [(1, None, "en", 1), (2, "", "en", 1), (3, "?? 12", "fr", 1), (None, "the dog", "en", 1), (4, "the dog and the cat", "en", 1), (4, "the dog and the cat", "en", 1), (6, "le chien et le chat", "fr", 1), (8, "le chien et le chat", "fr", 1), (9, "le chien et le chat", "fr", 1), (7, "le chat " * 40_000, None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int")
