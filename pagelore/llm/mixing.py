@@ -7,8 +7,9 @@ a rerun draws the same ones.
 
 Targets are given by value, or found shares are flattened by an exponent. The rake
 goes on until no marginal is further than TOLERANCE from its target (relative), or
-for MOST_ROUNDS: targets that exclude each other are never met, and the residual
-says so. The fitted weight of a cell is its source's factor times its language's
+for MOST_ROUNDS: targets that exclude each other are never met. ``fit`` returns the
+residual; a mix that is further off than ``within`` asks for raises Unmet, and
+without ``within`` one that did not converge warns and names it. The fitted weight of a cell is its source's factor times its language's
 and topic's. Only the sums by language and topic visit the driver; sources,
 however many, stay in the cells' table, and a round is one aggregation over it.
 
@@ -25,6 +26,8 @@ in a struct, so that no name can clash.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -41,6 +44,10 @@ PIECE = 512 << 10
 TOPICS = ("shouting", "figures", "lines", "prose")
 
 
+class Unmet(ValueError):
+    """No weights were found whose marginals are as near to their targets as was asked for."""
+
+
 @F.arrow_udf(T.StructType([T.StructField("tokens", T.LongType()), T.StructField("topic", T.StringType())]))
 def text_profile(text: pa.Array) -> pa.Array:
     """Words of a text and its topic by form: mostly capitals, many digits, short lines, or prose."""
@@ -137,7 +144,7 @@ def fit(cells: DataFrame, exponents: tuple[float, float, float] = EXPONENTS, tar
     return raked().select("source", "lang", "topic", (F.col("w") * F.lit(total) / F.col("tokens")).alias("ratio")), residual
 
 
-def rated(docs: DataFrame, keep: float, exponents: tuple[float, float, float], targets: dict[str, dict] | None, topic: str | None) -> DataFrame:
+def rated(docs: DataFrame, keep: float, exponents: tuple[float, float, float], targets: dict[str, dict] | None, topic: str | None, within: float | None) -> DataFrame:
     """row, tokens, topic, rate, kept and copies.
 
     A document's rate is keep times its cell's ratio of target to found weight.
@@ -146,7 +153,13 @@ def rated(docs: DataFrame, keep: float, exponents: tuple[float, float, float], t
     """
     p = profiled(docs, topic)
     cells = written(p.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "cells")
-    ratio = written(fit(cells, exponents, targets)[0], "ratios")
+    fitted, residual = fit(cells, exponents, targets)
+    if residual > (TOLERANCE if within is None else within):
+        said = f"a marginal is {residual:.3g} of its target away from it after {MOST_ROUNDS} rounds"
+        if within is not None:
+            raise Unmet(said)
+        warnings.warn(said, stacklevel=3)
+    ratio = written(fitted, "ratios")
     j = p.join(ratio, ["source", "lang", "topic"], "left")
     rate = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.coalesce(F.lit(keep) * F.col("ratio"), F.lit(1.0)))
     draw = F.conv(F.substring(F.md5(F.col("row.doc_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
@@ -156,19 +169,20 @@ def rated(docs: DataFrame, keep: float, exponents: tuple[float, float, float], t
     return j.withColumn("rate", rate).select("row", "tokens", value.alias("topic"), "rate", F.coalesce(draw < F.least(F.lit(1.0), "rate"), F.lit(True)).alias("kept"), copies.alias("copies"))
 
 
-def mixed(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = EXPONENTS, targets: dict[str, dict] | None = None, topic: str | None = None) -> DataFrame:
+def mixed(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = EXPONENTS, targets: dict[str, dict] | None = None, topic: str | None = None, within: float | None = None) -> DataFrame:
     """docs with tokens, topic, probability, weight and kept (in place of columns of these names).
 
-    targets: {"source" | "lang" | "topic": {value: weight}}; topic: the name of a column, else the text's form.
+    targets: {"source" | "lang" | "topic": {value: weight}}; topic: the name of a column, else the text's form;
+    within: the largest relative distance of a marginal from its target that is accepted.
     """
     new = {"tokens": F.col("tokens"), "topic": F.col("topic"), "probability": F.least(F.lit(1.0), "rate"), "weight": F.greatest(F.lit(1.0), "rate"), "kept": F.col("kept")}
     own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in new]
-    return rated(docs, keep, exponents, targets, topic).select(*own, *[c.alias(k) for k, c in new.items()])
+    return rated(docs, keep, exponents, targets, topic, within).select(*own, *[c.alias(k) for k, c in new.items()])
 
 
-def drawn(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = EXPONENTS, targets: dict[str, dict] | None = None, topic: str | None = None) -> DataFrame:
+def drawn(docs: DataFrame, keep: float = 0.6, exponents: tuple[float, float, float] = EXPONENTS, targets: dict[str, dict] | None = None, topic: str | None = None, within: float | None = None) -> DataFrame:
     """The rows of docs that the mix draws, each as often as its rate asks for, so that the drawn tokens meet the targets."""
-    r = rated(docs, keep, exponents, targets, topic).where("copies > 0")
+    r = rated(docs, keep, exponents, targets, topic, within).where("copies > 0")
     return r.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 

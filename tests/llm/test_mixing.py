@@ -1,3 +1,6 @@
+import warnings
+
+import pytest
 from oracle import duck, spark_rows
 from pyspark.sql import functions as F
 
@@ -71,3 +74,15 @@ def test_topic_column_and_clashing_names(spark):
     assert set(out.subtract(df).collect()) == set()
     assert {r.topic for r in mixing.mixed(df, topic="topic").collect()} == {"k0", "k1"}
     assert mixing.drawn(df.limit(0)).collect() == []
+
+
+def test_what_is_out_of_reach_raises_or_warns(spark):
+    df = spark.createDataFrame([(i, "w " * (1 + i % 5), "en" if i % 2 else "fr", "a" if i % 2 else "b") for i in range(40)], "doc_id long, text string, lang string, source string")
+    apart = {"source": {"a": 1, "b": 1}, "lang": {"en": 9, "fr": 1}}
+    with pytest.raises(mixing.Unmet, match="target"):
+        mixing.drawn(df, targets=apart, within=0.05)
+    with pytest.warns(UserWarning, match="of its target away"):
+        assert mixing.mixed(df, targets=apart).count() == 40
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        mixing.mixed(df, targets={"source": {"a": 1, "b": 1}, "lang": {"en": 1, "fr": 1}}, within=1e-9)
