@@ -42,3 +42,11 @@ def test_searches_find_marked_words_whatever_their_form(spark):
             shown = [fulltext.snippet(t, fulltext.phrases(p)) for _, t in rows[2 * n : 2 * n + 2]]
             assert shown == [f"am <mark>{unicodedata.normalize(f, w)}</mark> rot" for f in ("NFC", "NFD")]
     assert df.select(F.size(text.tokens("body")).alias("n")).distinct().collect()[0].n == 3
+
+
+def test_sizes_are_rounded_as_printf_does(spark):
+    """Halves go to the even tenth, and nothing is rounded twice."""
+    sizes = [0, 1023, 1024, 1280, 1331, 1792, 10496, 10752, 61286, 1048575, 1048576, 1310720, 1835008, 5 << 28, 7 << 38, (1 << 40) + 1]
+    got = [r.s for r in spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, n long").orderBy("i").select(text.human_bytes("n").alias("s")).collect()]
+    units = [(1024**i, u) for i, u in enumerate(("KiB", "MiB", "GiB", "TiB"), 1)]
+    assert got == [next((f"{n / one:.1f} {u}" for one, u in reversed(units) if n >= one), f"{n} B") for n in sizes]
