@@ -132,6 +132,27 @@ def test_block_maxima_rule_chunks_out(spark, tmp_path, monkeypatch):
     assert got == [77] and sum(read) < chunks / 2, (read, chunks)
 
 
+def test_texts_are_exchanged_once(spark, tmp_path, monkeypatch):
+    """No token travels alone, and a chunk of many tokens is held in parts: the index is the same."""
+    monkeypatch.setattr(segments, "HELD", 60)
+    ids = [-(1 << 63), (1 << 63) - 1, -5, 0, *range(7, 4000, 100)]
+    rows = [(i % 4, i, None if i % 3 else f"Über word{i % 5}", f"word{i % 7} und word1 und " * (i % 6), "de", f"src{i % 2}") for i in ids] + [(1, 9, None, None, None, None)]
+    df = spark.createDataFrame(rows, "deck_id long, slide_id long, title string, body string, notes string, deck_title string")
+    plan = segments.blocks(df, 1, 2)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    lib = Library(spark, str(tmp_path / "lib"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")  # parts end with a batch
+    lib.index.add(df, replaced=False)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    blocks = lib.table("segments")
+    assert blocks.count() > blocks.select("term", "chunk").distinct().count()
+    assert {(r.slide_id, r.n_tokens) for r in lib.table("lengths").collect()} == {(r.slide_id, r.n_tokens) for r in fulltext.lengths(df).collect()}
+    parsed = query_parser.parse("word1 und OR deck:src1 uber")
+    want = {r.slide_id: round(r.score, 9) for r in fulltext.match(fulltext.postings(df), fulltext.lengths(df), parsed).collect()}
+    assert want and {r.slide_id: round(r.score, 9) for r in lib.index.matches(parsed).collect()} == want
+    assert sorted(segments.decoded(blocks).select("slide_id", "col", "pos", "term").collect()) == sorted(fulltext.postings(df).collect())
+
+
 def test_segments_are_merged(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(segments, "MOST_SEGMENTS", 2)
     lib = Library(spark, str(tmp_path / "lib"))
