@@ -184,3 +184,17 @@ def test_library_of_an_earlier_version_opens(spark, lib, tmp_path):
     one.store.set_schema(99)
     with pytest.raises(ValueError, match="newer"):
         Library(spark, str(old))
+
+
+def test_a_file_for_each_supplier_in_few_folders(spark, tmp_path, monkeypatch):
+    from pagelore.operators import vectors
+    from pagelore.plans import testbed
+
+    monkeypatch.setattr(vectors, "shared_folder", lambda s: str(tmp_path))
+    sf = "/root/testdata/sf0.001"
+    got = {(r.s_suppkey, r.content) for r in testbed.QUERIES["src9_changed_contents"](spark, sf).collect()}
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").collect()
+    assert got == {(r.s_suppkey, f"{r.s_name}|{r.s_nationkey}") for r in rows if r.s_suppkey % 4 == 1}
+    root, = tmp_path.glob("pagelore-suppliers-*")
+    made = list(root.rglob("part-*.txt"))
+    assert len(made) == len(rows) and len({f.parent for f in made}) <= 4
