@@ -41,7 +41,7 @@ def odd(tmp_path_factory):
     return folder(tmp_path_factory.mktemp("odd"), {"embeddings.parquet": near_vectors()})
 
 
-@pytest.mark.parametrize("name", ["vec6_semantic"])
+@pytest.mark.parametrize("name", ["vec6_semantic", "vec8_semantic_within_filters"])
 def test_query(spark, odd, name):
     got, want = spark_rows(testbed.QUERIES[name](spark, odd)), duck(odd, testbed.ORACLE_SQL[name])
     assert want[1] and got == want
