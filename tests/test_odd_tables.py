@@ -64,7 +64,7 @@ def unknown(tmp_path_factory):
     return folder(tmp_path_factory.mktemp("unknown"), {"documents.parquet": rows})
 
 
-@pytest.mark.parametrize("name", ["vec6_semantic", "vec8_semantic_within_filters", "agg12_pending_count", "jn9_embedding_counts"])
+@pytest.mark.parametrize("name", ["vec6_semantic", "vec8_semantic_within_filters", "agg12_pending_count", "jn9_embedding_counts", "hsh_identities"])
 def test_query(spark, odd, name):
     got, want = spark_rows(testbed.QUERIES[name](spark, odd)), duck(odd, testbed.ORACLE_SQL[name])
     assert want[1] and got == want
