@@ -64,13 +64,13 @@ def unknown(tmp_path_factory):
     return folder(tmp_path_factory.mktemp("unknown"), {"documents.parquet": rows})
 
 
-@pytest.mark.parametrize("name", ["vec6_semantic", "vec8_semantic_within_filters", "agg12_pending_count", "jn9_embedding_counts", "hsh_identities"])
+@pytest.mark.parametrize("name", ["vec6_semantic", "vec8_semantic_within_filters", "agg12_pending_count", "jn9_embedding_counts", "jn8_pending_texts", "hsh_identities"])
 def test_query(spark, odd, name):
     got, want = spark_rows(testbed.QUERIES[name](spark, odd)), duck(odd, testbed.ORACLE_SQL[name])
     assert want[1] and got == want
 
 
-@pytest.mark.parametrize("name", ["agg12_pending_count"])
+@pytest.mark.parametrize("name", ["agg12_pending_count", "jn8_pending_texts"])
 def test_vector_of_a_null_text(spark, unknown, name):
     assert spark_rows(testbed.QUERIES[name](spark, unknown)) == duck(unknown, testbed.ORACLE_SQL[name])
 
